@@ -115,7 +115,9 @@ def _anchors(size: int):
                 owner, first, n, ah, ch = anchors(np.concatenate([p for p, _, _ in held]), starts, lengths - size + 1, size)
                 rows, base = np.array([i for _, i, _ in held])[owner], np.array([s for _, _, s in held])[owner]
                 loc = tags[rows].astype(np.int64) << 39 | (first + base) << 7 | n
-                yield _emit(*_settle(ah, ch, dids[rows], loc))
+                kind, ah, ch, did, loc = _settle(ah, ch, dids[rows], loc)
+                ah = np.where(kind == GONE, mix(loc.view(np.uint64)), ah)  # these need no company: they go anywhere
+                yield _emit(kind, ah, ch, did, loc)
 
     return run
 
