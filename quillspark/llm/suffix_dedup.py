@@ -116,8 +116,8 @@ def _anchors(size: int):
                 rows, base = np.array([i for _, i, _ in held])[owner], np.array([s for _, _, s in held])[owner]
                 loc = tags[rows].astype(np.int64) << 39 | (first + base) << 7 | n
                 kind, ah, ch, did, loc = _settle(ah, ch, dids[rows], loc)
-                ah = np.where(kind == GONE, mix(loc.view(np.uint64)), ah)  # these need no company: they go anywhere
-                yield _emit(kind, ah, ch, did, loc)
+                yield _emit(*(c[kind == ANCHOR] for c in (kind, ah, ch, did, loc)))
+                yield _gone(did[kind == GONE], loc[kind == GONE])
 
     return run
 
@@ -136,6 +136,18 @@ def _settle(ah, ch, did, loc):
     return gone[keep].astype(np.int8), ah[keep], ch[keep], did[keep], loc[keep]
 
 
+def _gone(did, loc) -> pa.RecordBatch:
+    """Settled windows, runs of neighbouring anchors as one row: ch holds their number.  They need no company, so ah is the document's hash."""
+    order = np.lexsort((loc, did))
+    did, loc = did[order], loc[order]
+    n, first = loc & 127, loc >> 7
+    new = np.concatenate(([True], (did[1:] != did[:-1]) | (first[1:] > first[:-1] + n[:-1]))) if len(loc) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(loc)) - 1 if len(at) else at
+    windows = first[last] + n[last] - first[at]
+    return _emit(np.full(len(at), GONE), mix((did[at] ^ (loc[at] >> 39)).view(np.uint64)), windows, did[at], loc[at])
+
+
 def _emit(kind, ah, ch, did, loc) -> pa.RecordBatch:
     signed = lambda x: pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
     return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), signed(ah), signed(ch), signed(did), signed(loc)], names=["kind", "ah", "ch", "did", "loc"])
@@ -157,7 +169,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind, ah, ch, did, loc = _settle(ah[order], ch[order], did[order], loc[order])
     if not len(ah):
         return
-    yield _emit(*(c[kind == GONE] for c in (kind, ah, ch, did, loc)))
+    yield _gone(did[kind == GONE], loc[kind == GONE])
     ah, ch, did, loc = (c[kind != GONE] for c in (ah, ch, did, loc))
     again = ah[1:] == ah[:-1]
     more = np.concatenate(([False], again)) | np.concatenate((again, [False]))
@@ -322,8 +334,8 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         raise ValueError("size must be from 48 to 158 bytes")
     rows = _rows(docs, key, text)
     found = rows.mapInArrow(_anchors(size), ROWS).repartition("ah").mapInArrow(_classes, ROWS)
-    found = cut(found.select("kind", "ah", "did", "loc"))
-    tag, first, windows = F.shiftright("loc", 39), F.shiftright("loc", 7).bitwiseAND(0xFFFFFFFF), F.col("loc").bitwiseAND(127)
+    found = cut(found)
+    tag, first, windows = F.shiftright("loc", 39), F.shiftright("loc", 7).bitwiseAND(0xFFFFFFFF), F.col("ch")
     wanted = found.where(F.col("kind") == OPEN).groupBy("did", tag.cast("int").alias("tag")).agg(F.collect_list(F.struct("ah", "loc")).alias("wanted"))  # anchors of one document
     contexts = rows.join(wanted, ["did", "tag"]).select("did", "text", "wanted").mapInArrow(_contexts(size), "ah long, did long, loc long, bytes binary")
     repeats = contexts.repartition("ah").mapInArrow(_repeats(size), "did long, tag long, s long, e long")
