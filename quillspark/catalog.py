@@ -2,14 +2,640 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import text as T
+from .operators import bm25, chunking, context, evaluate, filters, fusion, profile, sessions, understanding, vectors
+from .plans import retrieval
+from .sources import markup, tables
+from .streaming import ingest
 
-def oracle_sql():
-    return {}
+NOW = 2026
+STANDING = {"src0": 1.0, "src1": 0.9, "src2": 0.55}
+ASKED = [
+    (1, "  Recent  trials of aspirin  in heart failure since 2019？"), (2, "last 5 years: HbA1c outcome and LDL result or CRP finding"), (3, "metformin mechanism, how to procedure between 2010 and 2015"),
+    (4, "after 2018 stroke review"), (5, "before 2012 discussion of MI and BP"), (6, "糖尿病 血压 treatment in 2020"), (7, "nothing special here"), (8, "past 3 years implication of high blood pressure"), (9, "糖尿病足"),
+]
+SHORT = [("mi", ["myocardial infarction", "heart attack"]), ("bp", ["blood pressure"]), ("ldl", ["low density lipoprotein"]), ("or", ["odds ratio"])]
+ALIKE = [("heart failure", ["cardiac failure"]), ("stroke", ["cerebrovascular accident"]), ("high blood pressure", ["hypertension"]), ("aspirin", ["acetylsalicylic acid"])]
+CHINESE = [("糖尿病", "diabetes"), ("血压", "blood pressure"), ("糖尿病足", "diabetic foot")]
+CLASSES = {"drug": "aspirin|metformin", "disease": "stroke|heart.?failure|diabetes", "biomarker": "HbA1c|LDL|CRP"}
+TITLES = ["1. Introduction", "2.1 Study Design", "Results and findings", "4 Discussion", "References", "Preface", "Funding sources"]
+MANIFEST = [("A1", "11", "a.xml", "2020-01-01 00:00:00", "no"), ("A2", "0", "b.xml", "2020-01-02 00:00:00", "YES"), ("A3", None, "c.xml", "2020-01-03 00:00:00", None), ("A4", "", "", "2020-01-04 00:00:00", "no"), ("A5", "x9", "a.xml", "2020-01-05 00:00:00", "yes"), ("A6", "77", "a.xml", "2020-01-06 00:00:00", "No"), ("A7", "5", "", "2020-01-07 00:00:00", "no")]
+SPEC = {"$and": [{"lang": {"$in": ["en", "fr"]}}, {"n_chars": {"$gte": 500, "$lt": 5000}}, {"source": {"$ne": "src3"}}]}
+REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    return queries()["hybrid_rrf_rerank"](spark, sf_dir)
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL."""
+
+    def add(f):
+        REGISTRY[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def chunk_table(spark, d):
+    """Documents as chunks: journal is the source, the year and the section follow from the key."""
+    section = F.element_at(T.strings(TITLES), (F.col("doc_id") % len(TITLES) + 1).cast("int"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source", F.col("source").alias("journal"), (2000 + F.col("doc_id") % 25).alias("pub_year"), section.alias("section"))
+
+
+def asked(spark):
+    return spark.createDataFrame(ASKED, "query_id long, query string")
+
+
+def hybrid_queries(spark, d):
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector"))
+    return table(spark, d, "benchmark").join(own, "item_id", "left").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "query_vector")
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings")
+
+
+def _vector_queries(spark, d):
+    return _vectors(spark, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def lst(values) -> str:
+    return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + "]"
+
+
+def rows(names: str, values) -> str:
+    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else lst(v) if isinstance(v, list) else "'" + v.replace("'", "''") + "'"
+    return f"(select * from (values {', '.join('(' + ', '.join(cell(x) for x in v) + ')' for v in values)}) as t({names}))"
+
+
+def tok(c: str) -> str:
+    return f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-zA-Z][a-zA-Z0-9\\-]{{1,}}'), lambda t: not list_contains({lst(T.STOPWORDS)}, t))"
+
+
+def wrd(c: str) -> str:
+    return f"list_filter(string_split_regex(coalesce({c}, ''), '[\\x09-\\x0D\\x20]+'), lambda w: w <> '')"
+
+
+def wset(c: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}_]+'))"
+
+
+POSTINGS = f"""tk as (select doc_id, {tok('text')} as ts from documents), dl as (select doc_id, len(ts) as dl from tk),
+p as (select doc_id, term, count(*) as tf from (select doc_id, unnest(ts) as term from tk) group by all),
+sz as (select count(*) as n, avg(dl) as avgdl from dl),
+st0 as (select term, count(*) as df, any_value(n) as n, any_value(avgdl) as avgdl, ln(any_value(n) - count(*) + 0.5::double) - ln(count(*) + 0.5::double) as raw from p, sz group by term),
+st as (select term, df, n, avgdl, case when raw < 0 then 0.25::double * (select avg(raw) from st0) else raw end as idf from st0)"""
+BM25 = f"""{POSTINGS},
+q as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({tok('text')}) as term from benchmark) group by all),
+sc as (select query_id, doc_id as chunk_id, round(sum(times * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl))), 6) as score from q join p using (term) join st using (term) join dl using (doc_id) group by all),
+kw as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from sc where score > 0) where rank <= 20)"""
+DOT = "list_dot_product(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double))"
+COS = "round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6)"
+VEC = "v as (select *, list_transform(embedding, lambda x: x::double) as v from embeddings)"
+HYBRID = f"""{BM25}, {VEC},
+vs as (select * from (select a.item_id as query_id, b.vec_id as chunk_id, {COS} as similarity, row_number() over (partition by a.item_id order by {COS} desc, b.vec_id) as rank from (select item_id, v from benchmark join v on vec_id = item_id) a, v b) where rank <= 20),
+m as (select coalesce(vs.query_id, kw.query_id) as query_id, coalesce(vs.chunk_id, kw.chunk_id) as chunk_id, similarity as vector_score, vs.rank as vector_rank, score as keyword_score, kw.rank as keyword_rank,
+ (vs.rank is not null)::int + (kw.rank is not null)::int as n_sources, coalesce(vs.rank, 1000000 + kw.rank) as place from vs full outer join kw on vs.query_id = kw.query_id and vs.chunk_id = kw.chunk_id)"""
+RRF = """f as (select *, row_number() over (partition by query_id order by fused_score desc, place, chunk_id) as fused_rank from (select *, round(coalesce(1.0::double / (60 + vector_rank), 0) + coalesce(1.0::double / (60 + keyword_rank), 0), 6) as fused_score from m))"""
+SECTION = lst(TITLES) + f"[(doc_id % {len(TITLES)} + 1)::int]"
+CHUNKS = f"c as (select doc_id as chunk_id, text, source, source as journal, 2000 + doc_id % 25 as pub_year, {SECTION} as section from documents)"
+FINAL = f"""{HYBRID}, {RRF}, {CHUNKS},
+r as (select f.query_id, f.chunk_id, f.fused_rank, c.source, c.text, qt, case when len(qt) = 0 then 0.0::double else len(list_intersect(qt, {tok('c.text')})) / len(qt)::double end as rel,
+ case when pub_year > 0 then pow(0.5::double, greatest(0, {NOW} - pub_year) / 8.0::double) else 0.5 end as rec, case source when 'src0' then 1.0::double when 'src1' then 0.9 when 'src2' then 0.55 else 0.5 end as auth
+ from f join c on f.chunk_id = c.chunk_id join (select item_id as query_id, list_distinct({tok('text')}) as qt from benchmark) b on b.query_id = f.query_id),
+fin as (select *, row_number() over (partition by query_id order by final_score desc, fused_rank) as final_rank from (select *, round(0.6::double * rel + 0.25::double * rec + 0.15::double * auth, 6) as final_score from r))"""
+
+
+# Ranking and retrieval
+
+
+@query(f"with {BM25} select query_id, chunk_id as doc_id, score, rank from kw where rank <= 10")
+def bm25_topk(spark, d):
+    asks = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return bm25.top(bm25.scores(table(spark, d, "documents"), asks), 10)
+
+
+@query(f"with {POSTINGS} select term, df, round(idf, 6) as idf from st")
+def bm25_term_stats(spark, d):
+    return bm25.term_stats(*bm25.index(table(spark, d, "documents"))).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"select doc_id, len({tok('text')}) as n_tokens, len(list_distinct({tok('text')})) as n_distinct from documents")
+def tokenize_counts(spark, d):
+    terms = T.tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(terms).alias("n_tokens"), F.size(F.array_distinct(terms)).alias("n_distinct"))
+
+
+def knn_sql(where: str = "true", pool: str = "true") -> str:
+    return f"with {VEC}, s as (select a.vec_id as query_id, b.vec_id, b.label, {COS} as similarity from v a, v b where a.vec_id % 100 = 0), p as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as pl from s) select query_id, vec_id, similarity, rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from p where ({where}) and ({pool})) where rank <= 10"
+
+
+@query(knn_sql())
+def knn_exact(spark, d):
+    return vectors.knn(_vectors(spark, d), _vector_queries(spark, d), 10)
+
+
+@query(knn_sql("label in (1, 3, 5)"))
+def knn_prefilter(spark, d):
+    return vectors.knn(_vectors(spark, d), _vector_queries(spark, d), 10, F.col("label").isin(1, 3, 5))
+
+
+@query(knn_sql("label in (1, 3, 5)", "pl <= 50"))
+def knn_pool_postfilter(spark, d):
+    return vectors.knn(_vectors(spark, d), _vector_queries(spark, d), 10, F.col("label").isin(1, 3, 5), pool=50)
+
+
+@query(f"with {VEC}, s as (select a.vec_id as q, b.vec_id as i, {COS} as c, row_number() over (partition by a.vec_id order by {COS} desc, b.vec_id) as r from v a, v b where a.vec_id % 100 = 0) select count(*) as n, count(*) filter (where q = i) as hits, round(count(*) filter (where q = i) / count(*)::double, 4) as recall, round(avg(1 - c), 4) as mean_distance, round(max(1 - c), 4) as max_distance from s where r = 1")
+def self_recall(spark, d):
+    top = vectors.knn(_vectors(spark, d), _vector_queries(spark, d), 1)
+    hit = F.col("query_id") == F.col("vec_id")
+    return top.agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.round(F.count_if(hit) / F.count("*"), 4).alias("recall"), F.round(F.avg(1 - F.col("similarity")), 4).alias("mean_distance"), F.round(F.max(1 - F.col("similarity")), 4).alias("max_distance"))
+
+
+def _merged(spark, d):
+    queries = hybrid_queries(spark, d)
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    near = vectors.knn(_vectors(spark, d).withColumnRenamed("vec_id", "chunk_id"), queries.where("query_vector is not null").select("query_id", "query_vector"), 20, key="chunk_id")
+    return fusion.merge(near, bm25.top(bm25.scores(chunks, queries, key="chunk_id"), 20, key="chunk_id"))
+
+
+FUSED = ["query_id", "chunk_id", "n_sources", "fused_score", "fused_rank"]
+
+
+@query(f"with {HYBRID} select query_id, chunk_id, n_sources, n_sources::double as fused_score, row_number() over (partition by query_id order by n_sources desc, coalesce(vector_score, 0) desc, coalesce(keyword_score, 0) desc, place, chunk_id) as fused_rank from m")
+def fusion_simple(spark, d):
+    return fusion.fuse(_merged(spark, d), "simple").select(FUSED)
+
+
+@query(f"with {HYBRID}, {RRF} select query_id, chunk_id, n_sources, fused_score, fused_rank from f")
+def fusion_rrf(spark, d):
+    return fusion.fuse(_merged(spark, d), "rrf").select(FUSED)
+
+
+@query(f"""with {HYBRID}, w as (select *, min(keyword_score) over (partition by query_id) as lo, max(keyword_score) over (partition by query_id) as hi from m),
+ x as (select *, round(0.7::double * coalesce(vector_score, 0) + 0.3::double * coalesce((keyword_score - lo) / nullif(hi - lo, 0), 0), 6) as fused_score from w)
+ select query_id, chunk_id, n_sources, fused_score, row_number() over (partition by query_id order by fused_score desc, place, chunk_id) as fused_rank from x""")
+def fusion_weighted(spark, d):
+    return fusion.fuse(_merged(spark, d), "weighted").select(FUSED)
+
+
+def _hits(spark, d, k=10):
+    embeddings = _vectors(spark, d).select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return retrieval.retrieve(chunk_table(spark, d), embeddings, hybrid_queries(spark, d), NOW, k=k, authority=STANDING)
+
+
+@query(f"with {FINAL} select query_id, chunk_id, final_score, final_rank from fin where final_rank <= 10")
+def hybrid_rrf_rerank(spark, d):
+    return _hits(spark, d).select("query_id", "chunk_id", "final_score", "final_rank")
+
+
+@query(f"with {FINAL} select query_id, chunk_id, round(rel, 6) as relevance_score, round(rec, 6) as recency_score, round(auth, 6) as authority_score, final_score, final_rank from fin")
+def rerank_multicriteria(spark, d):
+    return _hits(spark, d, None).select("query_id", "chunk_id", "relevance_score", "recency_score", "authority_score", "final_score", "final_rank")
+
+
+@query("select lang, count(*) as n, sum(n_chars) as chars from documents where lang in ('en', 'fr') and n_chars >= 500 and n_chars < 5000 and source <> 'src3' group by lang")
+def filter_and_mixed(spark, d):
+    return table(spark, d, "documents").where(filters.compile_filter(SPEC)).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+# Contexts
+
+SIM = f"case when len(a.w) > 0 and len(b.w) > 0 then round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double, 6) else 0 end"
+
+
+@query(f"with {FINAL}, h as (select query_id, chunk_id, {wset('text')} as w from fin where final_rank <= 10) select a.query_id, a.chunk_id, b.chunk_id as other_id, {SIM} as similarity from h a join h b on a.query_id = b.query_id and a.chunk_id < b.chunk_id where {SIM} >= 0.2")
+def context_jaccard_pairs(spark, d):
+    return context.similar_pairs(_hits(spark, d), 0.2)
+
+
+DIVERSE = f"""{FINAL}, h as (select *, row_number() over (partition by query_id, source order by final_score desc, chunk_id) as source_rank from fin where final_rank <= 10),
+dv as (select *, row_number() over (partition by query_id order by (source_rank > 2)::int, final_score desc, chunk_id) as place from h)"""
+
+
+@query(f"with {DIVERSE} select query_id, chunk_id, source_rank, place from dv")
+def context_diversity(spark, d):
+    return context.diversify(_hits(spark, d)).select("query_id", "chunk_id", "source_rank", "place")
+
+
+@query(f"""with {DIVERSE}, s as (select *, len({wrd('text')}) as tokens from dv), u as (select *, coalesce(sum(tokens) over (partition by query_id order by place rows between unbounded preceding and 1 preceding), 0)::bigint as used from s)
+select query_id, chunk_id, tokens, used, used + tokens > 1500 as is_cut, row_number() over (partition by query_id order by place) as citation_id from u where used + tokens <= 1500 or (used <= 1500 and 1500 - used > 50)""")
+def context_budget(spark, d):
+    return context.within_budget(context.diversify(_hits(spark, d)), 1500).select("query_id", "chunk_id", "tokens", "used", "is_cut", "citation_id")
+
+
+@query()
+def context_greedy_dedup(spark, d):
+    return context.drop_near_duplicates(_hits(spark, d), 0.3).select("query_id", "chunk_id")
+
+
+@query()
+def generate_answers(spark, d):
+    made = retrieval.contexts(_hits(spark, d)).join(hybrid_queries(spark, d).select("query_id", "query"), "query_id")
+    return retrieval.generate(made)
+
+
+# Understanding queries
+
+Q = rows("query_id, query", ASKED)
+ENTITIES = [(k, rf"\b(?:{p.lower()})\b") for k, p in CLASSES.items()]
+CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(query, '\s+', ' ', 'g'), '[。？！，、；：]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"select query_id, {CLEAN} as cleaned from {Q}")
+def query_clean(spark, d):
+    return asked(spark).select("query_id", understanding.clean(F.col("query")).alias("cleaned"))
+
+
+@query(f"select query_id, replace(replace(replace(query, '糖尿病', ' diabetes '), '血压', ' blood pressure '), '糖尿病足', ' diabetic foot ') as english, case when regexp_matches(query, '[一-鿿]') then 'zh' else 'en' end as language from {Q}")
+def query_translate(spark, d):
+    return asked(spark).select("query_id", understanding.translate(F.col("query"), CHINESE).alias("english"), T.language(F.col("query")).alias("language"))
+
+
+@query(f"select query_id, kind, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(query), pattern))), ',') as found from {Q}, {rows('kind, pattern', ENTITIES)} where len(regexp_extract_all(lower(query), pattern)) > 0")
+def query_entities(spark, d):
+    found = asked(spark).select("query_id", F.explode(understanding.entities(F.col("query"), CLASSES)).alias("kind", "f"))
+    return found.select("query_id", "kind", F.array_join(F.array_sort("f"), ",").alias("found"))
+
+
+@query(f"select distinct query_id, term, array_to_string(expansions, '|') as expansions from (select query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_''-]+')) as term from {Q}) join {rows('term, expansions', SHORT)} using (term)")
+def query_abbrev(spark, d):
+    out = understanding.abbreviations(asked(spark), spark.createDataFrame(SHORT, "term string, expansions array<string>"))
+    return out.withColumn("expansions", F.array_join("expansions", "|"))
+
+
+@query(f"select query_id, term, array_to_string(expansions, '|') as expansions from {Q}, {rows('term, expansions', ALIKE)} where contains(lower(query), term)")
+def query_synonyms(spark, d):
+    out = understanding.synonyms(asked(spark), spark.createDataFrame(ALIKE, "term string, expansions array<string>"))
+    return out.withColumn("expansions", F.array_join("expansions", "|"))
+
+
+@query(f"""with q as (select *, lower(query) as l from {Q}), r as (select query_id, case
+ when regexp_matches(l, 'last\\s+(\\d+)\\s+years?') then [{NOW} - regexp_extract(l, 'last\\s+(\\d+)\\s+years?', 1)::int, {NOW}]
+ when regexp_matches(l, 'past\\s+(\\d+)\\s+years?') then [{NOW} - regexp_extract(l, 'past\\s+(\\d+)\\s+years?', 1)::int, {NOW}]
+ when regexp_matches(l, 'since\\s+(20\\d{{2}})') then [regexp_extract(l, 'since\\s+(20\\d{{2}})', 1)::int, {NOW}]
+ when regexp_matches(l, 'after\\s+(20\\d{{2}})') then [regexp_extract(l, 'after\\s+(20\\d{{2}})', 1)::int + 1, {NOW}]
+ when regexp_matches(l, 'before\\s+(20\\d{{2}})') then [1900, regexp_extract(l, 'before\\s+(20\\d{{2}})', 1)::int - 1]
+ when regexp_matches(l, 'between\\s+(20\\d{{2}})\\s+and\\s+(20\\d{{2}})') then [regexp_extract(l, 'between\\s+(20\\d{{2}})\\s+and', 1)::int, regexp_extract(l, 'and\\s+(20\\d{{2}})', 1)::int]
+ when regexp_matches(l, 'in\\s+(20\\d{{2}})') then [regexp_extract(l, 'in\\s+(20\\d{{2}})', 1)::int, regexp_extract(l, 'in\\s+(20\\d{{2}})', 1)::int]
+ when regexp_matches(l, 'recent(?:ly)?') then [{NOW} - 5, {NOW}] end as t from q) select query_id, t[1] as lo, t[2] as hi from r""")
+def query_time_filter(spark, d):
+    return asked(spark).select("query_id", understanding.time_range(F.col("query"), NOW).alias("t")).select("query_id", "t.lo", "t.hi")
+
+
+@query(f"""with h as (select query_id, section, count(*) as votes, min(ord) as ord from {Q}, {rows('word, section, ord', [(w, s, i) for i, (w, s) in enumerate(understanding.HINTS.items())])} where contains(lower(query), word) group by all)
+select query_id, section, votes from (select *, row_number() over (partition by query_id order by votes desc, ord) as n from h) where n = 1""")
+def query_imrad_vote(spark, d):
+    return understanding.section_votes(asked(spark))
+
+
+@query(f"""with q as (select query_id, {CLEAN} as c from {Q}), e as (select query_id, flatten(list(expansions order by term)) as x from {Q}, {rows('term, expansions', ALIKE)} where contains(lower(query), term) group by query_id)
+select q.query_id, case when len(coalesce(list_filter(x, lambda v: not contains(lower(c), lower(v))), [])) = 0 then c else c || ' ' || array_to_string(list_filter(x, lambda v: not contains(lower(c), lower(v))), ' ') end as keyword_query from q left join e on q.query_id = e.query_id""")
+def query_keyword(spark, d):
+    vocabulary = spark.createDataFrame(ALIKE, "term string, expansions array<string>")
+    more = understanding.synonyms(asked(spark), vocabulary).groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("term", "expansions"))), lambda e: e["expansions"])).alias("x"))
+    rows_ = asked(spark).join(more, "query_id", "left")
+    return rows_.select("query_id", understanding.keyword_query(understanding.clean(F.col("query")), F.col("x")).alias("keyword_query"))
+
+
+# Chunking
+
+WINDOWS = f"""w as (select doc_id, {wrd('text')} as w from documents), s as (select doc_id, w, unnest(range(0, greatest(len(w) - 80 - 1, 0) + 1, 320)) as st from w),
+cw as (select doc_id, (st // 320) as chunk_index, w[st + 1 : st + 400] as piece from s)"""
+
+
+@query(f"with {WINDOWS} select doc_id, chunk_index, len(piece) as token_count, md5(array_to_string(piece, ' ')) as text_md5 from cw")
+def chunk_sliding_window(spark, d):
+    return chunking.windows(table(spark, d, "documents")).select("doc_id", "chunk_index", "token_count", F.md5("text").alias("text_md5"))
+
+
+@query(f"""with {WINDOWS}, t as (select doc_id, chunk_index, array_to_string(piece, ' ') as text from cw), n as (select *, lead(text) over (partition by doc_id order by chunk_index) as nx, trim(substring(case when length(text) > 80 then right(text, 80) else text end, 11, 20)) as nd from t)
+select doc_id, chunk_index, contains(nx, nd) as found from n where nx is not null and length(nd) >= 5""")
+def chunk_overlap_check(spark, d):
+    return chunking.overlap_found(chunking.windows(table(spark, d, "documents")))
+
+
+@query("""with l as (select conv_id, turn, role, case when lag(role) over w is not distinct from role then 0 else 1 end as n from conversations window w as (partition by conv_id order by turn))
+select conv_id, turn, role, sum(n) over (partition by conv_id order by turn) - 1 as island from l""")
+def section_islands(spark, d):
+    return chunking.islands(table(spark, d, "conversations").select("conv_id", "turn", "role"), "role", "conv_id", "turn")
+
+
+PARAGRAPHS = f"""l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as t, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos from documents),
+k as (select doc_id, t, len({wrd('t')}) as n, row_number() over (partition by doc_id order by pos) as i from l where len({wrd('t')}) > 0)"""
+
+
+@query(f"""with recursive {PARAGRAPHS}, m as (select doc_id, i, n as total, 0 as chunk from k where i = 1 union all
+ select k.doc_id, k.i, case when m.total + k.n <= 300 then m.total + k.n else k.n end, case when m.total + k.n <= 300 then m.chunk else m.chunk + 1 end from m join k on k.doc_id = m.doc_id and k.i = m.i + 1)
+select m.doc_id, chunk as chunk_index, sum(n)::bigint as token_count, md5(string_agg(t, chr(10) || chr(10) order by m.i)) as text_md5 from m join k on k.doc_id = m.doc_id and k.i = m.i group by all""")
+def paragraph_merge(spark, d):
+    return chunking.merge_paragraphs(chunking.paragraphs(table(spark, d, "documents"))).select("doc_id", "chunk_index", "token_count", F.md5("text").alias("text_md5"))
+
+
+@query()
+def chunk_strategy_ab(spark, d):
+    return chunking.strategy_chunks(table(spark, d, "documents").withColumn("title", F.concat(F.lit("Document "), F.col("doc_id").cast("string"))))
+
+
+def _kind(parts) -> str:
+    return " or ".join(f"contains(t, '{p}')" for p in parts)
+
+
+@query(f"""with d as (select doc_id, {SECTION} as title from documents), c as (select *, lower(coalesce(nullif(trim(regexp_replace(title, '^\\d+(\\.\\d+)*\\.?\\s+', '')), ''), title)) as t from d)
+select doc_id, case {' '.join(f"when {_kind(p)} then '{k}'" for k, p in T.IMRAD.items())} else 'other' end as imrad, {_kind(T.NOISE)} as is_noise from c""")
+def imrad_classify(spark, d):
+    title = chunk_table(spark, d).select(F.col("chunk_id").alias("doc_id"), "section")
+    return title.select("doc_id", T.imrad(F.col("section")).alias("imrad"), T.is_noise(F.col("section")).alias("is_noise"))
+
+
+@query("""select doc_id, case doc_id % 4 when 0 then 'https://pubmed.ncbi.nlm.nih.gov/' || (doc_id + 1) || '/' when 1 then 'https://doi.org/10.1/' || doc_id when 2 then 'https://www.ncbi.nlm.nih.gov/pmc/articles/PMC' || doc_id || '/' end as url from documents""")
+def source_url_fallback(spark, d):
+    i = F.col("doc_id")
+    pmid = F.when(i % 4 == 0, (i + 1).cast("string")).when(i % 4 == 1, "0").otherwise(F.lit("x1"))
+    doi, pmc = F.when(i % 4 <= 1, F.concat(F.lit("10.1/"), i.cast("string"))).otherwise(""), F.when(i % 4 == 2, F.concat(F.lit("PMC"), i.cast("string")))
+    return table(spark, d, "documents").select("doc_id", T.source_url(pmid, doi, pmc).alias("url"))
+
+
+NAMES = "AccessionID, PMID, Article_File, LastUpdated, Retracted"
+
+
+def manifest(spark):
+    return spark.createDataFrame(MANIFEST, tables.MANIFEST)
+
+
+@query(f"select AccessionID as pmc_id, PMID as pmid_csv, Article_File as article_file, LastUpdated as last_updated, Retracted as retracted from {rows(NAMES, MANIFEST)} where lower(Retracted) is distinct from 'yes'")
+def manifest_clean(spark, d):
+    return tables.clean_manifest(manifest(spark))
+
+
+@query(f"select AccessionID, Article_File as article_file from (select *, row_number() over (partition by Article_File order by AccessionID) as n from {rows(NAMES, MANIFEST)}) where n = 1 or Article_File = ''")
+def manifest_union_dedup(spark, d):
+    own = manifest(spark).select("AccessionID", F.col("`Article File`").alias("article_file"))
+    return tables.union_distinct([own.where("AccessionID < 'A4'"), own.where("AccessionID >= 'A4'")], "article_file", "AccessionID")
+
+
+@query("select lang, count(*) as n from documents where doc_id not in (select doc_id from labels) group by lang")
+def resume_antijoin(spark, d):
+    return tables.pending(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query()
+def html_paragraphs(spark, d):
+    return markup.html_paragraphs(table(spark, d, "pages"))
+
+
+# Profiles
+
+COUNTED = f"t as (select *, len({wrd('text')}) as n_words from documents)"
+STATS = "count(*) as n, round(avg(n_words), 4) as mean, " + ", ".join(f"round(quantile_cont(n_words, {q}), 4) as {a}" for q, a in ((0.5, "median"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))) + ", min(n_words) as least, max(n_words) as most, round(stddev_samp(n_words), 4) as deviation, count(*) filter (where n_words > 512) as n_over, round(100.0::double * count(*) filter (where n_words > 512) / count(*), 4) as pct_over"
+
+
+def counted(spark, d):
+    return table(spark, d, "documents").withColumn("n_words", F.size(T.words(F.col("text"))))
+
+
+@query(f"with {COUNTED} select lang, {STATS} from t group by lang")
+def token_stats(spark, d):
+    return profile.token_stats(counted(spark, d), "n_words", 512, ("lang",))
+
+
+@query(f"with {COUNTED}, s as (select {STATS} from t) select *, case when p95 <= 512 then 'truncate' when p95 <= 768 then 'sliding_window' else 'larger_model_or_sentences' end as strategy, p99 > 768 as long_tail from s")
+def split_recommendation(spark, d):
+    return profile.recommend(profile.token_stats(counted(spark, d), "n_words", 512), 512)
+
+
+@query(f"with {COUNTED}, b as {rows('bucket, lo, hi', [(0, 0, 64), (1, 64, 128), (2, 128, 256), (3, 256, 512), (4, 512, 1024), (5, 1024, None)])} select bucket, lo, hi, (select count(*) from t where n_words >= lo and (hi is null or n_words < hi)) as n from b")
+def token_histogram(spark, d):
+    return profile.histogram(counted(spark, d), "n_words", [0, 64, 128, 256, 512, 1024])
+
+
+@query("select lang, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (), 4) as pct from documents group by lang")
+def strategy_distribution(spark, d):
+    return profile.distribution(table(spark, d, "documents"), "lang")
+
+
+@query("select case when grouping(lang) = 0 then 'lang' else 'source' end as dimension, coalesce(lang, source) as member, count(*) as n, sum(n_chars)::bigint as total, round(sum(n_chars) / count(*)::double, 4) as mean from documents group by grouping sets ((lang), (source))")
+def grouping_sets_profile(spark, d):
+    return profile.by_each(table(spark, d, "documents"), ["lang", "source"], "n_chars")
+
+
+@query("with j as (select d.doc_id, quality, toxic from documents d left join labels l on d.doc_id = l.doc_id) select column_name, n_null, round(100.0::double * n_null / n, 4) as pct from (select count(*) as n, count(*) - count(doc_id) as a, count(*) - count(quality) as b, count(*) - count(toxic) as c from j), lateral (values ('doc_id', a), ('quality', b), ('toxic', c)) as x(column_name, n_null)")
+def null_profile(spark, d):
+    return profile.nulls(table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left"))
+
+
+@query(f"select term, count(*) as n from (select unnest({tok('text')}) as term from documents) group by term order by n desc, term limit 40")
+def top_terms(spark, d):
+    return profile.top_terms(table(spark, d, "documents"), T.tokens(F.col("text")), 40)
+
+
+@query(f"with {COUNTED} select case when n_words < 100 then 'short' when n_words <= 250 then 'mid' else 'long' end as tier, count(*) as n, count(*) filter (where contains(lower(text), 'licensed')) as n_licensed from t group by all")
+def length_tiers(spark, d):
+    tier = F.when(F.col("n_words") < 100, "short").when(F.col("n_words") <= 250, "mid").otherwise("long")
+    return counted(spark, d).groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.count_if(F.contains(F.lower("text"), F.lit("licensed"))).alias("n_licensed"))
+
+
+ROLLUP = "r as (select conv_id, turn, role, count(*) over (partition by conv_id) as chunk_count, min(turn) over (partition by conv_id) as first_seen, row_number() over (partition by conv_id order by (role = 'assistant')::int desc, turn) as n from conversations)"
+
+
+def _rollup(spark, d):
+    return profile.rollup_documents(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", F.col("role") == "assistant", "turn")
+
+
+@query(f"with {ROLLUP} select conv_id, turn, role, chunk_count, first_seen from r where n = 1")
+def document_rollup(spark, d):
+    return _rollup(spark, d)
+
+
+@query(f"with {ROLLUP} select conv_id, turn, role, chunk_count, first_seen from r where n = 1 order by conv_id limit 20 offset 20")
+def document_page(spark, d):
+    return profile.page(_rollup(spark, d), ["conv_id"], 2, 20)
+
+
+@query("select doc_id, stratum from (select doc_id, lang as stratum, row_number() over (partition by lang order by md5(doc_id || '-42'), doc_id) as n from documents) where n <= 5")
+def stratified_sample(spark, d):
+    return profile.sample_each(table(spark, d, "documents"), F.col("lang"), 5, "doc_id", 42).select("doc_id", "stratum")
+
+
+@query("select source, n, n_before::bigint as n_before from (select source, n, sum(n) over (order by md5(source || '-42'), source) - n as n_before from (select source, count(*) as n from documents group by source)) where n_before < 200")
+def cluster_sample(spark, d):
+    return profile.sample_clusters(table(spark, d, "documents"), "source", 200, 42)
+
+
+@query("with j as (select d.doc_id, source, quality from documents d left join labels l on d.doc_id = l.doc_id) select doc_id, coalesce(source, '') as source, '' as doi, coalesce(quality, 0)::bigint as quality from j")
+def metadata_sanitize(spark, d):
+    joined = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return profile.sanitize(joined, ["source", "doi"], ["quality"])
+
+
+@query(f"with {COUNTED} select count(*) as n, count(*) filter (where trim(text) = '') as n_empty, count(*) filter (where n_words not between 1 and 1024) as n_bad_length, (select count(*) from embeddings where len(embedding) <> 64) as n_bad_vectors, count(*) - count(distinct doc_id) as n_repeated from t")
+def index_quality_checks(spark, d):
+    bad = _vectors(spark, d).agg(F.count_if(F.size("embedding") != 64).alias("n_bad_vectors"))
+    own = counted(spark, d).agg(F.count("*").alias("n"), F.count_if(F.trim("text") == "").alias("n_empty"), F.count_if(~F.col("n_words").between(1, 1024)).alias("n_bad_length"), (F.count("*") - F.count_distinct("doc_id")).alias("n_repeated"))
+    return own.crossJoin(F.broadcast(bad)).select("n", "n_empty", "n_bad_length", "n_bad_vectors", "n_repeated")  # one row each
+
+
+# Sessions, caches, statistics
+
+TURNS = "tn as (select conv_id, turn, text as query, answer from (select *, lead(text) over w as answer, lead(role) over w as nr from conversations window w as (partition by conv_id order by turn)) where role = 'user' and nr = 'assistant')"
+
+
+@query(f"with {TURNS} select conv_id, turn, md5(query) as query_md5, md5(answer) as answer_md5 from (select *, row_number() over (partition by conv_id order by turn desc) as n from tn) where n <= 3")
+def session_last_turns(spark, d):
+    last = sessions.last_turns(sessions.turns(table(spark, d, "conversations")), 3)
+    return last.select("conv_id", "turn", F.md5("query").alias("query_md5"), F.md5("answer").alias("answer_md5"))
+
+
+@query(f"with {TURNS} select conv_id, string_agg('Q: ' || query || chr(10) || 'A: ' || substring(answer, 1, 300), chr(10) order by turn) as prefix from (select *, row_number() over (partition by conv_id order by turn desc) as n from tn) where n <= 3 group by conv_id")
+def session_context_prefix(spark, d):
+    return sessions.context_prefix(sessions.turns(table(spark, d, "conversations")))
+
+
+@query("with l as (select user_id, count(*) as n_turns, max(ts) as last_active from events group by user_id), n as (select max(ts) as now from events) select user_id, n_turns, floor(epoch(now))::bigint - floor(epoch(last_active))::bigint <= 86400 as is_active from l, n")
+def session_expiry(spark, d):
+    events = table(spark, d, "events")
+    now = events.agg(F.max("ts").alias("now")).first()["now"]
+    return sessions.active(events, F.lit(now), 86400).select("user_id", "n_turns", "is_active")
+
+
+@query("select user_id, count(*) as n_calls, count(*) filter (where event_type <> 'error') as n_ok, count(*) filter (where event_type = 'error') as n_failed, round(count(*) filter (where event_type <> 'error') / count(*)::double, 4) as success_rate, round(avg(value), 4) as mean_latency from events group by user_id")
+def qa_stats(spark, d):
+    return sessions.call_stats(table(spark, d, "events"), F.col("event_type") == "error", "value", ("user_id",))
+
+
+@query("select doc_id, sha256('lang=' || lang || chr(31) || 'source=' || source) as cache_key from documents")
+def cache_key(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.cache_key(F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))).alias("cache_key"))
+
+
+@query("with n as (select max(ts) as now from events), e as (select user_id as cache_key, max(ts) as last_access from events group by user_id) select cache_key, row_number() over (order by last_access desc, cache_key) as recency from e, n where floor(epoch(now))::bigint - floor(epoch(last_access))::bigint <= 172800 order by last_access desc, cache_key limit 50")
+def cache_lru_ttl(spark, d):
+    events = table(spark, d, "events")
+    now = events.agg(F.max("ts").alias("now")).first()["now"]
+    entries = events.groupBy(F.col("user_id").alias("cache_key")).agg(F.max("ts").alias("last_access"))
+    return sessions.live_entries(entries, F.lit(now), 172800, 50).select("cache_key", "recency")
+
+
+@query("select user_id as session_id, event_type as chunk_id, max(value) as score, not bool_or(ts < timestamp '2024-01-10') as is_new from events group by user_id, event_type")
+def seen_chunk_merge(spark, d):
+    own = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_type").alias("chunk_id"), F.col("value").alias("score"), (F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")).alias("old"))
+    return sessions.merge_seen(own.where("old"), own.where("not old"))
+
+
+@query("select time_bucket(interval 1 hour, ts) as start_ts, count(*) as n_calls, count(*) filter (where event_type = 'error') as n_failed, round(avg(value), 4) as mean_latency from events group by all")
+def windowed_call_stats(spark, d):
+    out = ingest.windowed_stats(table(spark, d, "events"), "ts", F.col("event_type") == "error", "value")
+    return out.select(F.col("start").alias("start_ts"), "n_calls", "n_failed", "mean_latency")
+
+
+@query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 12 hours then 0 else 1 end as n from events), s as (select *, sum(n) over (partition by user_id order by ts rows unbounded preceding) as s from g)
+select user_id, count(*) as n_events, min(ts) as start_ts, max(ts) as last_active from s group by user_id, s""")
+def session_windows(spark, d):
+    return ingest.sessions(table(spark, d, "events"), "ts", "user_id", "12 hours").select("user_id", "n_events", F.col("start").alias("start_ts"), "last_active")
+
+
+# Answers
+
+ANSWER = "an as (select doc_id, case doc_id % 4 when 0 then text when 1 then text || ' [来源1] [来源 2]' when 2 then '[来源9]' || text || '[来源2]' else text || ' [来源 3][来源3]' end as answer from documents)"
+
+
+def answers(spark, d):
+    t, i = F.col("text"), F.col("doc_id") % 4
+    return table(spark, d, "documents").select("doc_id", F.when(i == 0, t).when(i == 1, F.concat(t, F.lit(" [来源1] [来源 2]"))).when(i == 2, F.concat(F.lit("[来源9]"), t, F.lit("[来源2]"))).otherwise(F.concat(t, F.lit(" [来源 3][来源3]"))).alias("answer"))
+
+
+CITED = "c as (select doc_id, answer, list_transform(regexp_extract_all(answer, '\\[来源\\s*(\\d+)\\]', 1), lambda x: x::int) as ids from an)"
+
+
+@query(f"with {ANSWER}, {CITED} select doc_id, array_to_string(list_sort(list_distinct(ids)), ',') as cited, array_to_string(list_sort(list_filter(list_distinct(ids), lambda i: i > 3)), ',') as invalid, len(ids) = 0 as missing_citations, len(list_filter(ids, lambda i: i > 3)) = 0 and len(ids) > 0 as passes from c")
+def citation_validate(spark, d):
+    out = evaluate.check_citations(answers(spark, d), F.lit(3), F.lit(False), "answer")
+    return out.select("doc_id", F.array_join(F.col("cited_ids").cast("array<string>"), ",").alias("cited"), F.array_join(F.col("invalid_ids").cast("array<string>"), ",").alias("invalid"), "missing_citations", "passes")
+
+
+@query(f"with {ANSWER} select doc_id, md5(regexp_replace(answer, '\\[来源\\s*9\\]', '', 'g')) as stripped_md5 from an")
+def citation_strip(spark, d):
+    out = evaluate.check_citations(answers(spark, d), F.lit(3), F.lit(False), "answer")
+    return out.select("doc_id", F.md5(evaluate.strip_citations(F.col("answer"), F.col("invalid_ids"))).alias("stripped_md5"))
+
+
+@query("select doc_id, not (doc_id % 3 = 0) as has_answer, doc_id % 2 = 0 as has_references from documents")
+def format_sections(spark, d):
+    t = F.concat(F.when(F.col("doc_id") % 3 != 0, F.lit("## Answer:\n")).otherwise(F.lit("the answer\n")), F.lit("body\n"), F.when(F.col("doc_id") % 2 == 0, F.lit("**References**")).otherwise(F.lit("no references")))
+    gone = evaluate.missing_sections(t, ["Answer", "References"])
+    return table(spark, d, "documents").select("doc_id", (~F.array_contains(gone, "Answer")).alias("has_answer"), (~F.array_contains(gone, "References")).alias("has_references"))
+
+
+CLAIMS = "cl as (select doc_id, text || case doc_id % 3 when 0 then ' Studies show it is completely safe, 100 % proven to work.' when 1 then ' Take 5 mg for 3 weeks; risk 12%.' else '' end as t from documents)"
+
+
+def claims(spark, d):
+    more = F.when(F.col("doc_id") % 3 == 0, F.lit(" Studies show it is completely safe, 100 % proven to work.")).when(F.col("doc_id") % 3 == 1, F.lit(" Take 5 mg for 3 weeks; risk 12%.")).otherwise("")
+    return table(spark, d, "documents").select("doc_id", F.concat("text", more).alias("t"))
+
+
+def _re(p: str) -> str:
+    return p.replace("'", "''")
+
+
+@query(f"with {CLAIMS}, s as (select doc_id, {' + '.join(f"len(regexp_extract_all(t, '{_re(p)}'))" for p in evaluate.SIGNALS.values())} as n from cl) select doc_id, n as n_signals, round(least(1.0::double, n / 5.0::double), 4) as risk_score, case when n >= 3 then 'high' when n >= 1 then 'medium' else 'low' end as risk_level from s")
+def hallucination_risk(spark, d):
+    return claims(spark, d).select("doc_id", evaluate.hallucination(F.col("t")).alias("h")).select("doc_id", "h.*")
+
+
+@query("with s as (select doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[。！？!?.]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as p from documents) select doc_id, len(p) as n_sentences, round(case when len(p) = 0 then 0 else list_sum(list_transform(p, lambda x: length(x))) / len(p)::double end, 4) as mean_chars, round(case when len(p) = 0 then 0 else list_sum(list_transform(p, lambda x: len(string_split_regex(x, '[\\x09-\\x0D\\x20]+')))) / len(p)::double end, 4) as mean_words from s")
+def readability(spark, d):
+    return table(spark, d, "documents").select("doc_id", evaluate.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
+
+
+@query(f"with {CLAIMS} select doc_id, array_to_string(list_sort(list_distinct(list_concat({', '.join(f"list_transform(regexp_extract_all(t, '{_re(p)}'), lambda x: '{k}:' || regexp_replace(lower(x), '\\s', '', 'g'))" for k, p in evaluate.KEY_INFO.items())}))), ',') as facts from cl")
+def key_info(spark, d):
+    return claims(spark, d).select("doc_id", F.array_join(F.array_sort(evaluate.key_info(F.col("t"))), ",").alias("facts"))
+
+
+GRAMS = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+
+
+@query(f"""with p as (select item_id, {wrd('lower(b.text)')} as a, {wrd('lower(d.text)')} as r from benchmark b join documents d on d.doc_id = b.item_id), g as (select item_id, {GRAMS.format('a')} as a, {GRAMS.format('r')} as r from p),
+x as (select item_id, len(a) as na, len(r) as nr, coalesce(list_sum(list_transform(list_distinct(a), lambda v: least(len(list_filter(a, lambda y: y = v)), len(list_filter(r, lambda y: y = v))))), 0)::double as both_n from g),
+y as (select item_id, case when na = 0 then 0 else both_n / na end as p, case when nr = 0 then 0 else both_n / nr end as r from x) select item_id, round(p, 6) as "precision", round(r, 6) as recall, round(case when p + r = 0 then 0 else 2 * p * r / (p + r) end, 6) as f1 from y""")
+def rouge_2(spark, d):
+    return _pairs(spark, d).select("item_id", evaluate.rouge_n(F.col("a"), F.col("r"), 2).alias("g")).select("item_id", "g.*")
+
+
+def _pairs(spark, d):
+    own = table(spark, d, "benchmark").select("item_id", T.words(F.lower("text")).alias("a"))
+    return own.join(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), T.words(F.lower("text")).alias("r")), "item_id")
+
+
+@query()
+def rouge_l(spark, d):
+    return _pairs(spark, d).select("item_id", evaluate.rouge_l(F.col("a"), F.col("r")).alias("f1"))
+
+
+@query()
+def json_repair(spark, d):
+    raw = F.concat(F.lit("Here: ```json\n"), F.col("props"), F.lit(",\n```"))
+    return table(spark, d, "events").select("event_id", evaluate.repair_json(raw).alias("fixed"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(REGISTRY)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_rrf_rerank(spark, sf_dir)
