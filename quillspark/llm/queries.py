@@ -72,8 +72,8 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from m group by doc_id"""
 
 VECTORS = """
-with recursive v as (select vec_id, list_transform(embedding, x -> x::double) as e from embeddings where embedding is not null),
-u as (select vec_id, list_transform(e, x -> x / sqrt(list_dot_product(e, e))) as e from v),
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings where embedding is not null),
+u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as e from v),
 l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and list_dot_product(a.e, b.e) >= 0.9),
 r as (select vec_id, vec_id as c from u union select r.vec_id, l.b from r join l on r.c = l.a)
 select e.vec_id, (select count(*) from l where l.a = e.vec_id) as n_links, coalesce(min(r.c), e.vec_id) as component_id,
