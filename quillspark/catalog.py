@@ -43,7 +43,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return tables.spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def chunk_table(spark, d):

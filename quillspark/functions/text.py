@@ -34,8 +34,8 @@ def strings(values) -> Column:
 
 def tokens(text: Column, stopwords=STOPWORDS) -> Column:
     """Ranking terms, repeats included: lower-cased Latin words of two characters or more that aren't stop words."""
-    stop = strings(stopwords)
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda t: ~F.array_contains(stop, t))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    return F.filter(found, lambda t: ~t.isin(*stopwords)) if stopwords else found
 
 
 def words(text: Column) -> Column:

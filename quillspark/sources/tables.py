@@ -13,6 +13,13 @@ TEXTS = ["chunk_id", "text", "doc_id", "source_title", "chunk_type", "section_ti
 CHUNKS = StructType([StructField(c, StringType()) for c in TEXTS] + [StructField(c, LongType()) for c in ("chunk_index", "total_chunks", "token_count", "pub_year")])
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals out a table that has far fewer splits than there are cores, so one small file doesn't keep one core
+    busy; larger tables are left as they are scanned."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows
+
+
 def read_manifest(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     return clean_manifest(spark.read.option("header", True).schema(MANIFEST).option("enforceSchema", True).csv(path), limit)
 
