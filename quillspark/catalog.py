@@ -308,6 +308,17 @@ def query_keyword(spark, d):
     return rows_.select("query_id", understanding.keyword_query(understanding.clean(F.col("query")), F.col("x")).alias("keyword_query"))
 
 
+OTHER = [("Stroke", ["CVA", "Cerebrovascular Accident"]), ("copd", ["chronic obstructive pulmonary disease"])]
+
+
+@query(f"""with b as (select lower(term) as term, expansions as b from {rows('term, expansions', ALIKE)}), m as (select lower(term) as term, expansions as m from {rows('term, expansions', OTHER)})
+select coalesce(b.term, m.term) as term, array_to_string(list_concat(coalesce(b, []), list_filter(coalesce(m, []), lambda x: not list_contains(list_transform(coalesce(b, []), lambda y: lower(y)), lower(x)))), '|') as expansions from b full outer join m on b.term = m.term""")
+def vocabulary_merge(spark, d):
+    kind = "term string, expansions array<string>"
+    out = understanding.merge_vocabularies(spark.createDataFrame(ALIKE, kind), spark.createDataFrame(OTHER, kind))
+    return out.select("term", F.array_join("expansions", "|").alias("expansions"))
+
+
 # Chunking
 
 WINDOWS = f"""w as (select doc_id, {wrd('text')} as w from documents), s as (select doc_id, w, unnest(range(0, greatest(len(w) - 80 - 1, 0) + 1, 320)) as st from w),
@@ -603,6 +614,13 @@ def key_info(spark, d):
     return claims(spark, d).select("doc_id", F.array_join(F.array_sort(evaluate.key_info(F.col("t"))), ",").alias("facts"))
 
 
+@query("select doc_id, case doc_id % 3 when 0 then 0 when 1 then 2 else 1 end as n_entries, case doc_id % 3 when 0 then 0 else 1 end as n_complete, doc_id % 3 = 2 as passes from documents")
+def references_check(spark, d):
+    i = F.col("doc_id") % 3
+    tail = F.when(i == 0, F.lit("nothing cited")).when(i == 1, F.lit("## REFERENCES\n[1] A title — Cell (2020), PMC1\n[2] no year")).otherwise(F.lit("References:\n[1] A title — Cell (2020), PMC1"))
+    return table(spark, d, "documents").select("doc_id", evaluate.references(F.concat(F.lit("An answer.\n"), tail)).alias("r")).select("doc_id", "r.*")
+
+
 GRAMS = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
 
 

@@ -76,3 +76,13 @@ def keyword_query(cleaned: Column, expansions: Column) -> Column:
     """The cleaned query and the distinct expansions that aren't in it yet."""
     more = F.filter(F.array_distinct(F.coalesce(expansions, strings([]))), lambda x: ~F.contains(F.lower(cleaned), F.lower(x)))
     return F.array_join(F.concat(F.array(cleaned), more), " ")
+
+
+def merge_vocabularies(base: DataFrame, more: DataFrame) -> DataFrame:
+    """(term, expansions) of both, terms lower-cased; expansions that are only written differently aren't repeated."""
+    b = base.select(F.lower("term").alias("term"), F.col("expansions").alias("b"))
+    m = more.select(F.lower("term").alias("term"), F.col("expansions").alias("m"))
+    none = strings([])
+    own, new = F.coalesce("b", none), F.coalesce("m", none)
+    fresh = F.filter(new, lambda x: ~F.exists(own, lambda y: F.lower(y) == F.lower(x)))
+    return b.join(m, "term", "full_outer").select("term", F.concat(own, fresh).alias("expansions"))

@@ -163,3 +163,33 @@ def test_chunk_ids(spark):
     got = chunking.strategy_chunks(docs).orderBy("doc_id", "chunk_index").collect()
     assert (got[0]["chunk_id"], got[0]["split_strategy"], got[0]["text"]) == ("1", "A_no_split", "T\n\nshort text")
     assert got[1]["chunk_id"] == "2_chunk_0000" and all(r["total_chunks"] == len(got) - 1 and r["text"].startswith("T\n\n") for r in got[1:])
+
+
+def test_tools_retry_and_stop(spark):
+    from quillspark.plans import agent
+
+    waits, tries = [], []
+
+    def flaky(x):
+        tries.append(x)
+        if len(tries) < 3:
+            raise agent.RetryableError("again")
+        return x
+
+    registry = agent.Registry(sleep=waits.append)
+    registry.add("flaky", agent.Tool(flaky, ("x",)))
+    registry.add("broken", agent.Tool(lambda: 1 / 0))
+    assert registry.call("flaky", x=5) == {"success": True, "result": 5, "error": None, "retryable": False, "retries": 2} and waits == [0.5, 1.0]
+    assert not registry.call("flaky")["success"] and not registry.call("unknown")["success"]
+    tries.clear()
+    trace, results = agent.run_steps(registry, [("flaky", {"x": 1}), ("broken", {}), ("flaky", {"x": 2})], 60, 9)
+    assert [t[:2] for t in trace] == [("flaky", "ok"), ("broken", "failed")] and results == [1, None]
+    assert agent.run_steps(registry, [("broken", {})], 60, 0)[0][0][1] == "max_iterations"
+    assert agent.trace_table(spark, trace).count() == 2
+
+
+def test_answer_with_references(spark):
+    entries = F.array(F.struct(F.lit(1).alias("citation_id"), F.lit("T").alias("title"), F.lit("Cell").alias("journal"), F.lit(2020).alias("pub_year"), F.lit("c9").alias("chunk_id")))
+    text = one(spark, evaluate.with_references(F.lit("Yes [来源1]"), entries, "No advice."))
+    assert text == "Yes [来源1]\n\nReferences\n[1] T — Cell (2020), c9\n\nNo advice."
+    assert one(spark, evaluate.references(F.lit(text)))["passes"]
