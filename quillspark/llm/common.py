@@ -13,12 +13,22 @@ from pyspark.sql import functions as F
 from ..sources.tables import spread
 
 LEAST_LONG = -(2**63)
+TEXT_ROWS, BATCH_ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def map_texts(rows: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow for rows that hold whole texts: the session's Arrow batches are set to TEXT_ROWS rows, unless they
+    are smaller already, as a batch is held several times over."""
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_ROWS)) <= TEXT_ROWS:
+        conf.set(BATCH_ROWS, str(TEXT_ROWS))
+    return rows.mapInArrow(run, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs a read, not a recomputation.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEAST_LONG, cut
+from .common import LEAST_LONG, cut, map_texts
 
 STRIP = b" \t\n\x0b\x0c\r"
 LINES = "h1 long, h2 long, did long, rid long, at array<int>"
@@ -128,7 +128,7 @@ def keep_bitmaps(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     two rows a partition.
     """
     keyed = _keyed(docs, key, text)
-    lines = keyed.mapInArrow(_lines(least_chars), LINES)
+    lines = map_texts(keyed, _lines(least_chars), LINES)
     order = [F.col("h1"), F.col("h2"), F.col("did").desc()]
     found = cut(lines.repartitionByRange(*order).sortWithinPartitions(*order, "rid").mapInArrow(_decide(least_docs), DECISIONS))
     runs = found.where(F.col("kind") == RUN).groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("did").alias("keeper"))
@@ -157,7 +157,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, key: str = "doc_id", t
             texts = [(x or b"").decode("utf-8", "replace") if not gone else kept_lines(x, k, bits).decode("utf-8", "replace") for x, k, gone, bits in zip(*(batch.column(n + i).to_pylist() for i in range(4)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()), batch.column(n + 1), batch.column(n + 2)], names=[*rest, text, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(cleaned, schema).select(*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns))
+    return map_texts(joined, cleaned, schema).select(*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns))
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_texts
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
 _tokenizers: dict[int, object] = {}
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, text: str = "text", capacity
             yield pa.RecordBatch.from_arrays([*base, *new[: len(own)]], names=[*kept, *own])
 
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [PIECE] + ["ids binary"] * with_ids)
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

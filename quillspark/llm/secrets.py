@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 BASE = ("assign", "access", "hex")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -114,7 +116,7 @@ def find_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
             spans = [[{"start": s, "end": e, "kind": k} for s, e, k in scan(t.as_py() or "")] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=[key, "spans"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, spans array<struct<start: int, end: int, kind: string>>")
+    return map_texts(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, spans array<struct<start: int, end: int, kind: string>>")
 
 
 def report(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,7 +147,7 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "[secret]") -> Da
             new = pa.array([None if (t := x.as_py()) is None else redacted(t, mark) for x in batch.column(i)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:i], new, *batch.columns[i + 1 :]], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 SPACE = "▁"
 CACHED, CACHED_CHARS = 250_000, 48  # words whose ids a worker remembers, and their length
 
@@ -167,7 +169,7 @@ def encode(docs: DataFrame, model_path: str, *, text: str = "text", ids: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*kept, text, ids])
 
     rows = docs.select(*kept, text)
-    return rows.mapInArrow(run, f"{_ddl(rows)}, `{ids}` binary")
+    return map_texts(rows, run, f"{_ddl(rows)}, `{ids}` binary")
 
 
 def decode(rows: DataFrame, model_path: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -183,7 +185,7 @@ def decode(rows: DataFrame, model_path: str, *, ids: str = "ids", decoded: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*kept, ids, decoded])
 
     rows = rows.select(*kept, ids)
-    return rows.mapInArrow(run, f"{_ddl(rows)}, `{decoded}` string")
+    return map_texts(rows, run, f"{_ddl(rows)}, `{decoded}` string")
 
 
 def _ddl(df: DataFrame) -> str:

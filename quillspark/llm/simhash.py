@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, span
+from .common import components, cut, map_texts, span
 
 BITS, BLOCK, ROWS = 64, 1 << 15, 1 << 14
 PLACES = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     fingerprints on; beyond that ``segments`` and ``distance`` decide the trade.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    prints = cut(rows.mapInArrow(_fingerprints(words), "id long, fp long"))
+    prints = cut(map_texts(rows, _fingerprints(words), "id long, fp long"))
     classes = prints.groupBy("fp").agg(F.min("id").alias("rep"))
     probes = classes.where("rep is not null").select("fp", "rep").mapInArrow(_probes(segments, distance), "key long, fp long, rep long")
     links = probes.repartition("key").mapInArrow(_matches(distance), "a long, b long")

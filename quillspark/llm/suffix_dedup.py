@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEAST_LONG, cut
+from .common import LEAST_LONG, cut, map_texts
 
 GRAM, SHALLOW, CHUNK = 32, 32, 1 << 21
 ANCHOR, GONE, OPEN = 0, 1, 2
@@ -333,11 +333,11 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     if size < GRAM + 16 or size - GRAM + 1 > 127:
         raise ValueError("size must be from 48 to 158 bytes")
     rows = _rows(docs, key, text)
-    found = rows.mapInArrow(_anchors(size), ROWS).repartition("ah").mapInArrow(_classes, ROWS)
+    found = map_texts(rows, _anchors(size), ROWS).repartition("ah").mapInArrow(_classes, ROWS)
     found = cut(found)
     tag, first, windows = F.shiftright("loc", 39), F.shiftright("loc", 7).bitwiseAND(0xFFFFFFFF), F.col("ch")
     wanted = found.where(F.col("kind") == OPEN).groupBy("did", tag.cast("int").alias("tag")).agg(F.collect_list(F.struct("ah", "loc")).alias("wanted"))  # anchors of one document
-    contexts = rows.join(wanted, ["did", "tag"]).select("did", "text", "wanted").mapInArrow(_contexts(size), "ah long, did long, loc long, bytes binary")
+    contexts = map_texts(rows.join(wanted, ["did", "tag"]).select("did", "text", "wanted"), _contexts(size), "ah long, did long, loc long, bytes binary")
     repeats = contexts.repartition("ah").mapInArrow(_repeats(size), "did long, tag long, s long, e long")
     gone = found.where(F.col("kind") == GONE).select("did", tag.alias("tag"), first.alias("s"), (first + windows + size - 1).alias("e"))
     spans = gone.unionByName(repeats)
@@ -382,7 +382,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("did"), *(pa.array(o, k) for o, k in zip(out, kinds))], names=["did", "n_bytes", "n_removed", "spans", "kept"])
 
     joined = rows.join(spans, ["did", "tag"], "left").select("did", "text", "spans")
-    out = joined.mapInArrow(run, "did long, n_bytes long, n_removed long, spans array<struct<s: long, e: long>>, kept binary")
+    out = map_texts(joined, run, "did long, n_bytes long, n_removed long, spans array<struct<s: long, e: long>>, kept binary")
     return out.select(F.when(F.col("did") != LEAST_LONG, F.col("did")).alias(key), "n_bytes", "n_removed", "spans", "kept")
 
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 WORD = re.compile(r"[^\W_]+")
 STARTS = (3, 4, 5, 6)
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 200_000
@@ -244,7 +246,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "s
             found = pa.array([model.score(t.as_py() or "", cache) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, column])
 
-    return rows.mapInArrow(run, f"{schema}, `{column}` double")
+    return map_texts(rows, run, f"{schema}, `{column}` double")
 
 
 def report(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3, **how) -> DataFrame:
