@@ -647,6 +647,191 @@ def json_repair(spark, d):
     return table(spark, d, "events").select("event_id", evaluate.repair_json(raw).alias("fixed"))
 
 
+# Whole-corpus checks
+
+
+@query(f"with {WINDOWS}, t as (select doc_id, sum(len(piece))::bigint as total from cw group by doc_id) select {STATS.replace('n_words', 'total')} from t")
+def document_token_totals(spark, d):
+    totals = chunking.windows(table(spark, d, "documents")).groupBy("doc_id").agg(F.sum("token_count").alias("total"))
+    return profile.token_stats(totals, "total", 512)
+
+
+@query()
+def approximate_percentiles(spark, d):
+    return profile.approximate(counted(spark, d), "n_words", [0.5, 0.9, 0.95, 0.99])
+
+
+@query("select source, count(*) as n from (select *, row_number() over (partition by md5(text) order by doc_id) as r from documents) where r = 1 group by source")
+def distinct_text_sources(spark, d):
+    return profile.first_counts(table(spark, d, "documents"), F.md5("text"), "doc_id", "source")
+
+
+@query("select sum(n)::bigint as n_rows, count(*) as n_documents, round(avg(n), 4) as rows_each, max(n) as most from (select conv_id, count(*) as n from conversations group by conv_id)")
+def corpus_shape(spark, d):
+    return profile.shape(table(spark, d, "conversations"), "conv_id")
+
+
+@query("select conv_id, turn, role from conversations where conv_id = (select conv_id from conversations group by conv_id order by count(*) desc, conv_id limit 1)")
+def longest_document(spark, d):
+    return profile.longest(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id")
+
+
+@query("select conv_id, role, turn, md5(text) as text_md5 from (select *, row_number() over (partition by conv_id, role order by turn desc) as n from conversations) where n = 1")
+def latest_by_role(spark, d):
+    last = profile.latest(table(spark, d, "conversations").select("conv_id", "role", "turn", "text"), ["conv_id", "role"], "turn")
+    return last.select("conv_id", "role", "turn", F.md5("text").alias("text_md5"))
+
+
+@query("select count(*) as n, count(*) filter (where trim(coalesce(lang, '')) = '') as missing_lang, count(*) filter (where trim(coalesce(source, '')) = '') as missing_source, count(*) filter (where trim(coalesce(text, ''), ' ') <> '' and length(text) < 50) as n_short, count(*) filter (where trim(coalesce(text, ''), ' ') = '') as n_without_text from documents")
+def completeness_profile(spark, d):
+    return profile.completeness(table(spark, d, "documents"), ["lang", "source"], "text")
+
+
+TYPES = ["research-article", "Letter", "review-article", "news", None]
+
+
+@query(f"""with {COUNTED}, k as (select *, {lst([t or '' for t in TYPES])}[(doc_id % 5 + 1)::int] as kind from t), w as (select *, case when lower(case when kind = '' then 'other' else kind end) in {tuple(T.DROPPED_TYPES)} then 'type' when coalesce(text, '') = '' then 'no_text' end as why from k)
+select count(*) as n, count(*) filter (where why = 'type') as skipped_type, count(*) filter (where why = 'no_text') as skipped_no_text, count(*) filter (where why is null) as n_kept, count(*) filter (where why is null and n_words <= 512) as n_whole, count(*) filter (where why is null and n_words > 512) as n_split from w""")
+def ingest_counters(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("doc_id") % 5 + 1).cast("int"))
+    skips = {"type": ~T.kept_type(kind), "no_text": F.coalesce("text", F.lit("")) == ""}
+    return profile.counters(counted(spark, d), skips, {"whole": F.col("n_words") <= 512, "split": F.col("n_words") > 512})
+
+
+@query("select doc_id, case when a < 50 then (case when trim(text) <> '' then 'body_fallback' end) else 'original' end as abstract_source, md5(case when a < 50 then (case when trim(text) <> '' then substring(text, 1, 500) end) else substring(text, 1, doc_id % 100) end) as text_md5 from (select *, length(substring(coalesce(text, ''), 1, doc_id % 100)) as a from documents)")
+def abstract_fallback(spark, d):
+    own = table(spark, d, "documents").select("doc_id", T.abstract_or_body(F.col("text").substr(F.lit(1), (F.col("doc_id") % 100).cast("int")), F.col("text")).alias("a"))
+    return own.select("doc_id", F.col("a.source").alias("abstract_source"), F.md5("a.text").alias("text_md5"))
+
+
+@query(f"select term, count(*) as n from (select unnest(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F\\pP\\pS\\pZ\\pC\\pM]', 'a', 'g'), '\\b([A-Z]{{2,6}}(?:[/-][A-Z]{{1,4}})?)\\b', 1)) as term from documents) group by term order by n desc, term limit 40")
+def top_abbreviations(spark, d):
+    return profile.top_terms(table(spark, d, "documents"), T.abbreviations(F.col("text")), 40)
+
+
+@query("select doc_id, regexp_matches(coalesce(text, ''), '" + T.STRUCTURED + "') as structured, " + ", ".join(f"regexp_matches(coalesce(text, ''), '{p}') as {k}" for k, p in T.PARTS.items()) + " from documents")
+def abstract_structure(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.structure(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+@query("select (select count(*) from documents) as n_chunks, (select count(*) from embeddings) as n_vectors, (select count(*) from documents join embeddings on doc_id = vec_id) as n_matched, (select count(*) from documents) = (select count(*) from embeddings) and (select count(*) from documents) = (select count(*) from documents join embeddings on doc_id = vec_id) as agrees")
+def embedding_alignment(spark, d):
+    return tables.alignment(table(spark, d, "documents"), _vectors(spark, d), "doc_id", "vec_id")
+
+
+@query("select file, first_key from (select doc_id // 10 as file, min(doc_id) as first_key from documents group by file) where first_key in (select doc_id from labels)")
+def checkpoint_rebuild(spark, d):
+    own = table(spark, d, "documents").select(F.expr("doc_id div 10").alias("file"), "doc_id")
+    return tables.finished_files(own, "file", "doc_id", table(spark, d, "labels"))
+
+
+@query("select source, doc_id from (select *, row_number() over (partition by source order by doc_id) as n from documents) where n <= 3")
+def head_each_file(spark, d):
+    return tables.head_each(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 3)
+
+
+@query("select user_id, ts::date as turn, pos, event_type as step, value from (select *, row_number() over (partition by user_id, ts::date order by ts, event_id) - 1 as pos from events) where event_type = 'error'")
+def trace_flatten(spark, d):
+    step = F.struct("ts", "event_id", F.col("event_type").alias("step"), "value")
+    turns = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("turn")).agg(F.array_sort(F.collect_list(step)).alias("trace"))
+    return sessions.flatten_traces(turns, "user_id", "turn", "trace", "error").select("user_id", "turn", "pos", "step", "value")
+
+
+@query("select event_id, case when value > 50 then 'timeout' when event_id % 7 >= 5 then 'max_iterations' end as reason from events")
+def termination_reason(spark, d):
+    return table(spark, d, "events").select("event_id", sessions.terminated(F.col("value"), 50, F.col("event_id") % 7, 5).alias("reason"))
+
+
+@query("select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as n from events) where n = 1")
+def run_dedup(spark, d):
+    return sessions.first_each(table(spark, d, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("""select doc_id, sha256('search' || chr(31) || '{"lang":"' || lang || '","source":"' || source || '"}') as tool_key from documents""")
+def tool_result_key(spark, d):
+    arguments = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", T.tool_key(F.lit("search"), arguments).alias("tool_key"))
+
+
+MEMO = "h as (select *, coalesce(floor(epoch(ts))::bigint - floor(epoch(lag(ts) over (partition by user_id, event_type order by ts, event_id)))::bigint <= 86400, false) as hit from events)"
+
+
+@query(f"with {MEMO} select event_id, hit from h")
+def memo_lookup(spark, d):
+    return sessions.memo_hits(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], "ts", 86400).select("event_id", "hit")
+
+
+@query(f"with {MEMO} select event_type, count(*) filter (where hit) as hits, count(*) filter (where not hit) as misses, round(count(*) filter (where hit) / count(*)::double, 4) as hit_rate from h group by event_type")
+def cache_hit_rate(spark, d):
+    return sessions.hit_rate(sessions.memo_hits(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], "ts", 86400), by=("event_type",))
+
+
+@query("select event_type, count(*) as n, count(*) filter (where value < 1) as n_errors, min(value) as least, round(avg(value), 4) as mean, max(value) as most from events group by event_type")
+def batch_wall_stats(spark, d):
+    return sessions.wall_stats(table(spark, d, "events"), F.col("value") < 1, "value", ("event_type",))
+
+
+@query(f"with {FINAL}, e as (select query_id, chunk_id, chunk_id % 3 <> 1 as gone, count(*) filter (where chunk_id % 3 = 1) over (partition by query_id) as n_left from fin where final_rank <= 10) select query_id, chunk_id from e where not gone or n_left = 0")
+def evidence_filter(spark, d):
+    return evaluate.keep_evidence(_hits(spark, d).select("query_id", "chunk_id"), F.col("chunk_id") % 3 != 1)
+
+
+@query(f"with {FINAL} select query_id, source, count(*) as n from fin where final_rank <= 10 group by all")
+def context_sources(spark, d):
+    return _hits(spark, d).groupBy("query_id", "source").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {BM25}, e as (select item_id as query_id, list_sort(list_distinct({tok('text')}))[1:4] as keywords from benchmark)
+select kw.query_id, chunk_id, len(list_filter(keywords, lambda k: contains(lower(d.text), k))) as n_held, len(list_filter(keywords, lambda k: contains(lower(d.text), k))) >= 0.5 * len(keywords) as passes from kw join e on e.query_id = kw.query_id join documents d on doc_id = chunk_id where rank <= 3""")
+def keyword_sanity(spark, d):
+    asks = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    docs = table(spark, d, "documents")
+    top = bm25.top(bm25.scores(docs, asks), 3).join(docs.select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    wanted = asks.select("query_id", F.slice(F.array_sort(F.array_distinct(T.tokens(F.col("query")))), 1, 4).alias("keywords"))
+    return evaluate.keyword_sanity(top, wanted).select("query_id", "chunk_id", "n_held", "passes")
+
+
+@query("""with w as (select doc_id, text, floor(length(text) * 0.9::double)::int as st from documents), t as (select *, substring(text, st + 1) as tail from w),
+c as (select *, greatest(case when contains(tail, '。') then length(tail) - instr(reverse(tail), '。') else -1 end, case when contains(tail, '. ') then length(tail) - instr(reverse(tail), ' .') - 1 else -1 end, case when contains(tail, '.' || chr(10)) then length(tail) - instr(reverse(tail), chr(10) || '.') - 1 else -1 end) as cut from t)
+select doc_id, md5(case when cut < 0 then text else regexp_replace(substring(text, 1, st + cut + 1), '\\s+$', '') end) as text_md5 from c""")
+def sentence_truncate(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(evaluate.truncate_at_sentence(F.col("text"))).alias("text_md5"))
+
+
+SPELLED = [" Patients with MI and BP.", " A heart attack (MI) was noted.", " LDL or HDL"]
+
+
+@query(f"""with a as (select doc_id, lower(text || {lst(SPELLED)}[(doc_id % 3 + 1)::int]) as t from documents), k as (select doc_id, t, term, expansions from a, {rows('term, expansions', SHORT)} where term <> 'or' and list_contains(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_''-]+'), term)),
+f as (select doc_id, term, len(list_filter(expansions, lambda e: contains(t, e))) = 0 as gone from k)
+select a.doc_id, coalesce(string_agg(term, ',' order by term), '') as found, coalesce(string_agg(term, ',' order by term) filter (where gone), '') as missing, count(*) filter (where gone) = 0 as passes from a left join f on a.doc_id = f.doc_id group by a.doc_id""")
+def abbreviation_check(spark, d):
+    more = F.element_at(T.strings(SPELLED), (F.col("doc_id") % 3 + 1).cast("int"))
+    got = table(spark, d, "documents").select("doc_id", evaluate.check_abbreviations(F.concat("text", more), dict(SHORT)).alias("c"))
+    return got.select("doc_id", F.array_join("c.found", ",").alias("found"), F.array_join("c.missing", ",").alias("missing"), "c.passes")
+
+
+def facts_sql(c: str) -> str:
+    return f"list_distinct(list_concat({', '.join(f"list_transform(regexp_extract_all({c}, '{_re(p)}'), lambda x: '{k}:' || regexp_replace(lower(x), '\\s', '', 'g'))" for k, p in evaluate.KEY_INFO.items())}))"
+
+
+@query(f"with {CLAIMS}, f as (select {facts_sql('d.text')} as got, unnest({facts_sql('t')}) as fact from cl join documents d on d.doc_id = cl.doc_id) select split_part(fact, ':', 1) as kind, count(*) as n_reference, count(*) filter (where list_contains(got, fact)) as n_found, round(count(*) filter (where list_contains(got, fact)) / count(*)::double, 4) as recall from f group by kind")
+def fact_recall(spark, d):
+    both = claims(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return evaluate.fact_recall(both, "text", "t")
+
+
+@query(f"with {ANSWER}, {CITED}, v as (select doc_id, list_sort(list_filter(list_distinct(ids), lambda i: i > 3)) as bad, len(ids) = 0 as none from c) select doc_id, concat_ws(chr(10), case when len(bad) > 0 then 'These citations have no source, so remove or correct them: ' || array_to_string(list_transform(bad, lambda i: '[来源 ' || i || ']'), ', ') end, case when none then 'Cite a source as [来源 N] for every claim.' end) as note from v")
+def retry_instruction(spark, d):
+    out = evaluate.check_citations(answers(spark, d), F.lit(3), F.lit(False), "answer")
+    return out.select("doc_id", evaluate.retry_note(F.col("invalid_ids"), F.col("missing_citations")).alias("note"))
+
+
+@query(f"""select c.query_id, cleaned, language, lo, hi, section, keyword_query from ({SQL['query_clean']}) c join ({SQL['query_translate']}) t on t.query_id = c.query_id join ({SQL['query_time_filter']}) y on y.query_id = c.query_id
+ left join ({SQL['query_imrad_vote']}) s on s.query_id = c.query_id join ({SQL['query_keyword']}) k on k.query_id = c.query_id""")
+def query_process(spark, d):
+    return understanding.process(asked(spark), spark.createDataFrame(ALIKE, "term string, expansions array<string>"), NOW)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 

@@ -116,3 +116,38 @@ def cache_key(parts: Column) -> Column:
     """SHA-256 of a map's entries, sorted and joined, so order doesn't matter."""
     entries = F.array_sort(F.transform(F.map_entries(parts), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return F.sha2(F.array_join(entries, "\u001f"), 256)
+
+
+# fixed values: abbreviations, labels of a structured abstract, and words that speak for one of its parts
+ABBREVIATION = r"(?<![\p{L}\p{N}_])([A-Z]{2,6}(?:[/-][A-Z]{1,4})?)(?![\p{L}\p{N}_])"
+STRUCTURED = r"(?i)(?:^|\n)\s*(BACKGROUND|INTRODUCTION|OBJECTIVE|AIM|PURPOSE|METHODS?|MATERIALS?\s+AND\s+METHODS?|RESULTS?|FINDING|CONCLUSIONS?|SUMMARY)\s*[:\.]"
+PARTS = {
+    "background": r"(?i)\b(background|introduction|objective|aims?|purpose|previously|recent(?:ly)?)\b",
+    "methods": r"(?i)\b(method|material|patient|subject|design|procedure|protocol|cohort|trial|enrol)\b",
+    "results": r"(?i)\b(result|finding|outcome|observ|show|found|demonstrated|revealed)\b",
+    "conclusion": r"(?i)\b(conclusion|suggest|indicate|implicat|recommend|therefore|thus)\b",
+}
+
+
+def abbreviations(text: Column) -> Column:
+    """Words of two to six capitals, repeats included."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ABBREVIATION), F.lit(1))
+
+
+def structure(text: Column) -> Column:
+    """struct(structured, background, methods, results, conclusion): explicit labels, and words for each part."""
+    t = F.coalesce(text, F.lit(""))
+    return F.struct(t.rlike(STRUCTURED).alias("structured"), *(t.rlike(p).alias(name) for name, p in PARTS.items()))
+
+
+def tool_key(tool: Column, arguments: Column) -> Column:
+    """SHA-256 of a tool's name and its arguments as JSON, sorted by name, so order doesn't matter."""
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(arguments)))
+    return F.sha2(F.concat(tool, F.lit("\u001f"), F.to_json(ordered)), 256)
+
+
+def abstract_or_body(abstract: Column, body: Column, least: int = 50, most: int = 500) -> Column:
+    """struct(text, source): the abstract, or the start of the body where it is missing or shorter than ``least``; null without a body then."""
+    filled = F.nullif(F.trim(body), F.lit(""))
+    fallback = F.when(filled.isNotNull(), F.struct(F.substring(body, 1, most).alias("text"), F.lit("body_fallback").alias("source")))
+    return F.when(F.length(F.coalesce(abstract, F.lit(""))) < least, fallback).otherwise(F.struct(abstract.alias("text"), F.lit("original").alias("source")))

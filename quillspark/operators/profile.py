@@ -88,3 +88,51 @@ def sanitize(rows: DataFrame, texts: list[str], numbers: list[str]) -> DataFrame
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("") for c in texts}
     number = {c: F.coalesce(F.try_to_number(F.col(c).cast("string"), F.lit("9999999999")).cast("long") if rows.schema[c].dataType.typeName() == "string" else F.col(c).cast("long"), F.lit(0).cast("long")) if c in have else F.lit(0).cast("long") for c in numbers}
     return rows.withColumns(text | number)
+
+
+def approximate(rows: DataFrame, value: str, shares: list[float], accuracy: int = 10_000) -> DataFrame:
+    """share, value: percentiles by a mergeable sketch, for tables whose values are too many to sort."""
+    found = rows.agg(F.percentile_approx(value, F.array(*map(F.lit, shares)), accuracy).alias("p"))
+    return found.select(F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("p").alias("value"))).alias("x")).select("x.share", "x.value")
+
+
+def first_counts(rows: DataFrame, key: Column, order: str, by: str) -> DataFrame:
+    """How many keys have each value of ``by`` in their first row; the first rows are found by a partial aggregation, so a
+    key with very many rows is no bottleneck."""
+    first = rows.groupBy(key.alias("_key")).agg(F.min_by(F.struct(by), order).alias("f"))
+    return first.groupBy(F.col(f"f.{by}").alias(by)).agg(F.count("*").alias("n"))
+
+
+def shape(rows: DataFrame, key: str) -> DataFrame:
+    """One row: rows, distinct keys, rows a key on average and at most."""
+    each = rows.groupBy(key).agg(F.count("*").alias("n"))
+    out = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(key).alias("n_documents"), F.avg("n").alias("_mean"), F.max("n").alias("most"))
+    return out.select("n_rows", "n_documents", F.round(F.coalesce("_mean", F.lit(0.0)), 4).alias("rows_each"), "most")
+
+
+def longest(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of the key with the most rows, ties to the smaller key."""
+    best = rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(1)  # one row
+    return rows.join(F.broadcast(best.select(key)), key, "left_semi")
+
+
+def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key by ``order``, by a partial aggregation."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("x")).select(*keys, "x.*")
+
+
+def completeness(rows: DataFrame, fields: list[str], text: str, least: int = 50) -> DataFrame:
+    """One row: how many rows lack each field, have a text shorter than ``least``, or none."""
+    empty = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    return rows.agg(F.count("*").alias("n"), *(F.count_if(empty(c)).alias(f"missing_{c}") for c in fields), F.count_if(~empty(text) & (F.length(text) < least)).alias("n_short"), F.count_if(empty(text)).alias("n_without_text"))
+
+
+def counters(rows: DataFrame, skips: dict[str, Column], kinds: dict[str, Column]) -> DataFrame:
+    """One row of counters: rows skipped for the first reason that holds, and of the others how many are of each kind."""
+    why = F.lit(None).cast("string")
+    for reason, holds in reversed(skips.items()):
+        why = F.when(holds, reason).otherwise(why)
+    own = rows.withColumn("_why", why)
+    kept = F.col("_why").isNull()
+    return own.agg(F.count("*").alias("n"), *(F.count_if(F.col("_why") == r).alias(f"skipped_{r}") for r in skips), F.count_if(kept).alias("n_kept"), *(F.count_if(kept & c).alias(f"n_{k}") for k, c in kinds.items()))

@@ -59,3 +59,26 @@ def first_each(rows: DataFrame, key: str, order: str) -> DataFrame:
 def terminated(elapsed: Column, timeout: int, iterations: Column, most: int) -> Column:
     """Why a run ends: the time-out counts first; null if it goes on."""
     return F.when(elapsed > timeout, "timeout").when(iterations >= most, "max_iterations")
+
+
+def flatten_traces(rows: DataFrame, session: str, turn: str, trace: str, step: str | None = None) -> DataFrame:
+    """One row a step of every turn's trace, with its place; only steps of that name if one is given."""
+    flat = rows.select(session, turn, F.posexplode(trace).alias("pos", "_s")).select(session, turn, "pos", "_s.*")
+    return flat.where(F.col("step") == step) if step else flat
+
+
+def memo_hits(calls: DataFrame, key: list[str], order: list[str], ts: str, ttl_seconds: int) -> DataFrame:
+    """Whether each call would find its key remembered: a call, found or not, keeps a key for ``ttl_seconds`` more."""
+    before = F.lag(ts).over(Window.partitionBy(*key).orderBy(*order))
+    return calls.withColumn("hit", F.coalesce(F.unix_timestamp(ts) - F.unix_timestamp(before) <= ttl_seconds, F.lit(False)))
+
+
+def hit_rate(calls: DataFrame, hit: str = "hit", by: tuple[str, ...] = ()) -> DataFrame:
+    """hits, misses and their rate, 0 without calls."""
+    out = calls.groupBy(*by).agg(F.count_if(F.col(hit)).alias("hits"), F.count_if(~F.col(hit)).alias("misses"))
+    return out.withColumn("hit_rate", F.round(F.coalesce(F.try_divide(F.col("hits"), F.col("hits") + F.col("misses")), F.lit(0.0)), 4))
+
+
+def wall_stats(calls: DataFrame, failed: Column, seconds: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Errors, and the least, mean and longest time of a batch's calls."""
+    return calls.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(failed).alias("n_errors"), F.min(seconds).alias("least"), F.round(F.avg(seconds), 4).alias("mean"), F.max(seconds).alias("most"))

@@ -86,3 +86,15 @@ def merge_vocabularies(base: DataFrame, more: DataFrame) -> DataFrame:
     own, new = F.coalesce("b", none), F.coalesce("m", none)
     fresh = F.filter(new, lambda x: ~F.exists(own, lambda y: F.lower(y) == F.lower(x)))
     return b.join(m, "term", "full_outer").select("term", F.concat(own, fresh).alias("expansions"))
+
+
+def process(queries: DataFrame, vocabulary: DataFrame, year: int, query: str = "query_id", text: str = "query") -> DataFrame:
+    """(query, cleaned, language, lo, hi, section, keyword_query): all that is understood of each query, one row each."""
+    from ..functions.text import language
+
+    cleaned = clean(F.col(text))
+    own = queries.select(query, text, cleaned.alias("cleaned"), language(F.col(text)).alias("language"), time_range(F.col(text), year).alias("_t"))
+    terms = synonyms(queries, vocabulary, query, text).groupBy(query).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("term", "expansions"))), lambda e: e["expansions"])).alias("_x"))
+    votes = section_votes(queries, None, query, text).select(query, "section")
+    out = own.join(terms, query, "left").join(votes, query, "left")
+    return out.select(query, "cleaned", "language", F.col("_t.lo").alias("lo"), F.col("_t.hi").alias("hi"), "section", keyword_query(F.col("cleaned"), F.col("_x")).alias("keyword_query"))

@@ -128,3 +128,23 @@ def html_paragraphs(pages: DataFrame, key: str = "page_id", html: str = "html")
         return series.map(one)
 
     return pages.select(key, F.posexplode(parse(F.col(html))).alias("pos", "text"))
+
+
+def sections_of(xml: bytes | str) -> list[tuple[str, str]]:
+    """(title, text) of every section of the body at any depth: text inside an inner section counts for the outer one too."""
+    try:
+        root = ET.fromstring(xml)
+    except (ET.ParseError, ValueError, TypeError):
+        return []
+    return [(full_text(sec.find("title")), full_text(sec)) for body in root.iter("body") for sec in body.iter("sec")]
+
+
+def flat_sections(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
+    """path, pos, title, text of every section; articles that can't be parsed have none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(p, i, t, x) for p, c in zip(frame[path], frame[content]) for i, (t, x) in enumerate(sections_of(c))]
+            yield pd.DataFrame(found, columns=["path", "pos", "title", "text"])
+
+    return files.select(path, content).mapInPandas(run, "path string, pos int, title string, text string")

@@ -68,3 +68,22 @@ def write_index(rows: DataFrame, path: str, key: str = "chunk_id") -> None:
 
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
+
+
+def head_each(rows: DataFrame, file: str, order: str, n: int) -> DataFrame:
+    """The first n rows of each file."""
+    nth = F.row_number().over(Window.partitionBy(file).orderBy(order))
+    return rows.withColumn("_n", nth).where(F.col("_n") <= n).drop("_n")
+
+
+def finished_files(rows: DataFrame, file: str, key: str, index: DataFrame) -> DataFrame:
+    """Files whose first key is in the index already: what a lost checkpoint would have held."""
+    first = rows.groupBy(file).agg(F.min(key).alias(key))
+    return first.join(index.select(key), key, "left_semi").select(file, F.col(key).alias("first_key"))
+
+
+def alignment(chunks: DataFrame, vectors: DataFrame, key: str, vector_key: str) -> DataFrame:
+    """One row: chunks, vectors, chunks with a vector, and whether all three agree."""
+    both = chunks.select(F.col(key).alias("_k"), F.lit(1).alias("_c")).join(vectors.select(F.col(vector_key).alias("_k"), F.lit(1).alias("_v")), "_k", "full_outer")
+    out = both.agg(F.count("_c").alias("n_chunks"), F.count("_v").alias("n_vectors"), F.count_if(F.col("_c").isNotNull() & F.col("_v").isNotNull()).alias("n_matched"))
+    return out.withColumn("agrees", (F.col("n_chunks") == F.col("n_vectors")) & (F.col("n_vectors") == F.col("n_matched")))

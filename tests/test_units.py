@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import chunking, context, evaluate, filters, fusion, profile, sessions
-from quillspark.plans import retrieval
+from quillspark.plans import retrieval, service
 from quillspark.sources import markup, tables
 from quillspark.streaming import ingest
 
@@ -193,3 +193,83 @@ def test_answer_with_references(spark):
     text = one(spark, evaluate.with_references(F.lit("Yes [来源1]"), entries, "No advice."))
     assert text == "Yes [来源1]\n\nReferences\n[1] T — Cell (2020), c9\n\nNo advice."
     assert one(spark, evaluate.references(F.lit(text)))["passes"]
+
+
+class Clock:
+    now = 1000.0
+
+    def __call__(self):
+        return self.now
+
+
+def served(spark, clock, answer=None):
+    docs = spark.createDataFrame([(i, 2 * i) for i in range(1, 6)], "doc_id long, first_seen long")
+    return service.Service(answer or (lambda ask, context: {"answer": f"{ask.query}|{context}"}), docs, clock=clock)
+
+
+@pytest.mark.parametrize("request_", [{}, {"query": ""}, {"query": "x" * 2001}, {"query": "x", "top_k": 0}, {"query": "x", "top_k": 21}, {"query": "x", "fusion_strategy": "best"}, {"query": "x", "other": 1}])
+def test_bad_requests(spark, request_):
+    got = served(spark, Clock()).ask(request_, "r1")
+    assert got["code"] == 1001 and got["data"] is None and got["request_id"] == "r1"
+
+
+def test_service_sessions_and_statistics(spark):
+    clock = Clock()
+    s = served(spark, clock)
+    key = s.create_session()["data"]["session_id"]
+    assert s.ask({"query": "a", "session_id": key})["data"]["answer"] == "a|"
+    assert s.ask({"query": "b", "session_id": key})["data"]["answer"] == "b|Q: a\nA: a|"
+    for i in range(25):
+        s.ask({"query": str(i), "session_id": key})
+    assert s.get_session(key)["data"]["turn_count"] == 20 and s.stats()["data"]["active_sessions"] == 1
+    clock.now += 3600
+    assert s.get_session(key)["code"] == 0
+    clock.now += 0.5
+    assert s.get_session(key)["code"] == 3002 and s.delete_session(key)["code"] == 3002
+    assert s.stats()["data"]["total_calls"] == 27 and s.stats()["data"]["success_rate"] == 1.0
+
+
+def test_service_streams(spark):
+    s = served(spark, Clock())
+    events = [json.loads(e.removeprefix("data: ")) for e in s.ask_stream({"query": "a", "session_id": "k"}, "r")]
+    assert [e["event"] for e in events] == ["status", "token", "done"] and events[-1]["data"]["answer"] == "a|" and s.get_session("k")["data"]["turn_count"] == 1
+
+    def broken(ask, context):
+        raise OSError("no model")
+
+    s = served(spark, Clock(), broken)
+    assert json.loads(list(s.ask_stream({"query": "a"}))[-1].removeprefix("data: "))["event"] == "error"
+    assert s.ask({"query": "a"})["code"] == 4001 and s.stats()["data"]["failure_count"] == 2
+
+
+def test_service_documents_and_health(spark):
+    s = served(spark, Clock())
+    got = s.list_documents(2, 2)["data"]
+    assert [r["doc_id"] for r in got["items"]] == [3, 4] and got["page_info"] == {"page": 2, "page_size": 2, "total": 5, "total_pages": 3}
+    assert s.get_document(5)["data"]["first_seen"] == 10 and s.get_document(9)["code"] == 3001 and s.list_documents(0)["code"] == 1001
+    assert [s.health(c)["data"]["status"] for c in (None, {"a": lambda: True, "b": lambda: 1 / 0}, {"a": lambda: False})] == ["ok", "degraded", "down"]
+
+
+def test_truncation_at_sentences(spark):
+    cut = lambda t: one(spark, evaluate.truncate_at_sentence(F.lit(t)))
+    assert cut("a" * 95 + ". bcd") == "a" * 95 + "." and cut("a" * 50 + ". " + "b" * 50) == "a" * 50 + ". " + "b" * 50
+    assert cut("") == "" and cut("中" * 97 + "。文") == "中" * 97 + "。"
+
+
+def test_flat_sections_count_nested_text_twice(spark):
+    xml = "<article><body><sec><title>A</title><p>one</p><sec><title>B</title><p>two</p></sec></sec></body></article>"
+    files = spark.createDataFrame([("p", bytearray(xml.encode())), ("bad", bytearray(b"<article>")), ("none", None)], "path string, content binary")
+    got = [(r["pos"], r["title"], r["text"]) for r in markup.flat_sections(files).orderBy("pos").collect()]
+    assert got == [(0, "A", "AoneBtwo"), (1, "B", "Btwo")]
+
+
+def test_memory_slides(spark):
+    calls = spark.createDataFrame([(1, "k", 0), (2, "k", 10), (3, "k", 20), (4, "k", 31)], "id int, key string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = sessions.memo_hits(calls, ["key"], ["id"], "ts", 10)
+    assert [r["hit"] for r in got.orderBy("id").collect()] == [False, True, True, False]
+    assert sessions.hit_rate(got.where("id > 9")).first()["hit_rate"] == 0.0
+
+
+def test_evidence_stays_if_nothing_else_would(spark):
+    rows = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 3, True), (2, 4, True), (3, 5, None)], "query_id int, chunk_id int, bad boolean")
+    assert sorted(r["chunk_id"] for r in evaluate.keep_evidence(rows, F.col("bad")).collect()) == [2, 3, 4, 5]
