@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import chunking, context, evaluate, filters, fusion, profile, sessions
+from quillspark.operators import bm25, chunking, context, evaluate, filters, fusion, profile, sessions
 from quillspark.plans import retrieval, service
 from quillspark.sources import markup, tables
 from quillspark.streaming import ingest
@@ -273,3 +273,11 @@ def test_memory_slides(spark):
 def test_evidence_stays_if_nothing_else_would(spark):
     rows = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 3, True), (2, 4, True), (3, 5, None)], "query_id int, chunk_id int, bad boolean")
     assert sorted(r["chunk_id"] for r in evaluate.keep_evidence(rows, F.col("bad")).collect()) == [2, 3, 4, 5]
+
+
+def test_frequencies_match_postings(spark):
+    docs = spark.createDataFrame([(1, "alpha beta alpha"), (2, "beta gamma"), (3, None), (4, "")], "doc_id long, text string")
+    postings, lengths = bm25.index(docs)
+    assert sorted(map(tuple, bm25.frequencies(docs).collect())) == [("alpha", 1), ("beta", 2), ("gamma", 1)]
+    rows = lambda stats: sorted(tuple(r) for r in stats.collect())
+    assert rows(bm25.term_stats(postings, lengths)) == rows(bm25.term_stats(postings, lengths, bm25.frequencies(docs)))
