@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
@@ -116,3 +116,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     if now[0]:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def keep_one(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
+    """The row of ``docs`` with the smallest key of each component, null keys last; of rows that repeat key and text any one.
+
+    classes: row (xxhash64 of key and text), id, component.  The kept rows' hashes are dealt out like the
+    documents, so the choice among repeated rows needs no shuffle of its own.
+    """
+    first = classes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    kept = docs.withColumn("_row", F.xxhash64(key, text)).join(first.select(F.col("first.row").alias("_row")), "_row")
+    return kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))).where("_nth = 1").select(*docs.columns)
