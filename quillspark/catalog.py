@@ -832,6 +832,23 @@ def query_process(spark, d):
     return understanding.process(asked(spark), spark.createDataFrame(ALIKE, "term string, expansions array<string>"), NOW)
 
 
+def understood(spark, asks):
+    kind = "term string, expansions array<string>"
+    return understanding.understand(asks, spark.createDataFrame(SHORT, kind), spark.createDataFrame(ALIKE, kind), NOW, CHINESE, CLASSES)
+
+
+@query()
+def query_understand(spark, d):
+    return understood(spark, asked(spark).unionByName(hybrid_queries(spark, d).select("query_id", "query")))
+
+
+@query()
+def hybrid_understood(spark, d):
+    embeddings, asks = _vectors(spark, d).select(F.col("vec_id").alias("chunk_id"), "embedding"), hybrid_queries(spark, d)
+    hits = retrieval.retrieve(chunk_table(spark, d), embeddings, asks, NOW, authority=STANDING, understood=understood(spark, asks))
+    return hits.select("query_id", "chunk_id", "final_score", "final_rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 

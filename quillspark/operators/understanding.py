@@ -14,6 +14,10 @@ HINTS = {
     "background": "introduction", "review": "introduction", "discuss": "discussion", "implication": "discussion", "conclusion": "discussion",
 }
 
+# fixed values: what the embedding model wants before a query
+PREFIX = "Represent this question for searching relevant passages: "
+NO_MAP = "cast(map() as map<string, array<string>>)"
+
 
 def clean(query: Column) -> Column:
     """White space runs as one space, Chinese punctuation as a space, nothing at the ends."""
@@ -98,3 +102,31 @@ def process(queries: DataFrame, vocabulary: DataFrame, year: int, query: str = "
     votes = section_votes(queries, None, query, text).select(query, "section")
     out = own.join(terms, query, "left").join(votes, query, "left")
     return out.select(query, "cleaned", "language", F.col("_t.lo").alias("lo"), F.col("_t.hi").alias("hi"), "section", keyword_query(F.col("cleaned"), F.col("_x")).alias("keyword_query"))
+
+
+def understand(queries: DataFrame, short: DataFrame, alike: DataFrame, year: int, chinese: list[tuple[str, str]] = (), patterns: dict[str, str] | None = None, prefix: str = PREFIX, query: str = "query_id", text: str = "query") -> DataFrame:
+    """All of it at once, in this order: translate, clean, entities, abbreviations, synonyms (also of the abbreviations' full forms), time
+    range, section, queries for both paths.  One row each: query, cleaned, language, entities, abbreviations and synonyms (maps),
+    expanded_terms, vector_query, keyword_query, lo, hi, section.
+
+    short and alike: term, expansions, a row a term.  Abbreviations come in the text's order; then synonyms of the text's terms, then those of
+    full forms, each by term.  The vector query is the prefix and the text as it was asked.
+    """
+    from ..functions.text import language
+
+    own = queries.select(query, F.col(text).alias("_raw"), clean(translate(F.col(text), list(chinese))).alias("cleaned"))
+    place = F.array_position(F.regexp_extract_all(F.lower("cleaned"), F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0)), F.col("term"))
+    full = abbreviations(own, short, query, "cleaned").join(own.select(query, "cleaned"), query).withColumn("_at", place)
+    direct = synonyms(own, alike, query, "cleaned").withColumn("_at", F.lit(0).cast("long"))
+    forms = full.select(query, F.explode("expansions").alias("term")).join(alike.select("term", "expansions"), "term").withColumn("_at", F.lit(1).cast("long"))
+    same = direct.unionByName(forms).groupBy(query, "term").agg(F.min("_at").alias("_at"), F.first("expansions").alias("expansions"))
+    listed = lambda rows, name: rows.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("_at", "term", "expansions"))).alias(name))
+    votes = section_votes(own, None, query, "cleaned").select(query, "section")
+    out = own.join(listed(full, "_a"), query, "left").join(listed(same, "_s"), query, "left").join(votes, query, "left")
+    as_map = lambda c: F.coalesce(F.map_from_entries(F.transform(c, lambda e: F.struct(e["term"], e["expansions"]))), F.expr(NO_MAP))
+    terms = lambda c: F.coalesce(F.flatten(F.transform(c, lambda e: e["expansions"])), strings([]))
+    out = out.withColumn("expanded_terms", F.array_distinct(F.concat(terms("_a"), terms("_s")))).withColumn("_t", time_range(F.col("cleaned"), year))
+    return out.select(
+        query, "cleaned", language(F.col("_raw")).alias("language"), (entities(F.col("cleaned"), patterns) if patterns else F.expr(NO_MAP)).alias("entities"), as_map("_a").alias("abbreviations"), as_map("_s").alias("synonyms"),
+        "expanded_terms", F.concat(F.lit(prefix), "_raw").alias("vector_query"), keyword_query(F.col("cleaned"), F.col("expanded_terms")).alias("keyword_query"), F.col("_t.lo").alias("lo"), F.col("_t.hi").alias("hi"), "section",
+    )

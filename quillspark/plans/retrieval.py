@@ -18,16 +18,26 @@ def overlap(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, tokens(text))), F.size(q)), F.lit(0.0))
 
 
-def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now: int, k: int = 10, k_vector: int = 20, k_keyword: int = 20, strategy: str = "rrf", where: Column | None = None, filter_keywords: bool = False, weights: dict | None = None, authority: dict | None = None) -> DataFrame:
+def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now: int, k: int = 10, k_vector: int = 20, k_keyword: int = 20, strategy: str = "rrf", where: Column | None = None, filter_keywords: bool = False, weights: dict | None = None, authority: dict | None = None, understood: DataFrame | None = None) -> DataFrame:
     """The k best chunks for each query.
 
     chunks: chunk_id, text, journal, pub_year and what ``where`` names; embeddings: chunk_id, embedding; queries: query_id, query,
     query_vector.  The filter holds for the vector path; for the keyword path only if asked for.
+    understood: query_id, keyword_query, lo, hi, as ``understanding.understand`` gives them; then the keyword path asks for keyword_query, and
+    without ``where`` each query's own range of pub_year is the filter.
     """
-    rows = embeddings.join(chunks.drop("text"), "chunk_id") if where is not None else embeddings
-    near = vectors.knn(rows, queries.where("query_vector is not null").select("query_id", "query_vector"), k_vector, where, key="chunk_id")
+    asks, own = queries, understood is not None and where is None
+    if understood is not None:
+        asks = queries.select("query_id", "query_vector").join(understood.select("query_id", F.col("keyword_query").alias("query"), "lo", "hi"), "query_id")
+    range_ = ["lo", "hi"] if own else []
+    within = F.col("lo").isNull() | F.col("pub_year").between(F.col("lo"), F.col("hi")) if own else None
+    rows = embeddings.join(chunks.drop("text"), "chunk_id") if own or where is not None else embeddings
+    near = vectors.knn(rows, asks.where("query_vector is not null").select("query_id", "query_vector", *range_), k_vector, where, key="chunk_id", match=within)
     text = chunks.where(where) if filter_keywords and where is not None else chunks
-    ranked = bm25.top(bm25.scores(text, queries, key="chunk_id"), k_keyword, key="chunk_id")
+    scored = bm25.scores(text, asks, key="chunk_id")
+    if own and filter_keywords:
+        scored = scored.join(chunks.select("chunk_id", "pub_year"), "chunk_id").join(asks.select("query_id", "lo", "hi"), "query_id").where(within)
+    ranked = bm25.top(scored.select("query_id", "chunk_id", "score"), k_keyword, key="chunk_id")
     fused = fusion.fuse(fusion.merge(near, ranked), strategy)
     full = fused.join(chunks, "chunk_id").join(queries.select("query_id", "query"), "query_id")
     return fusion.rerank(full, now, overlap(F.col("query"), F.col("text")), weights, authority, k=k)
