@@ -50,6 +50,12 @@ KEYWORDS = {
     "ghp_": "checked", "gho_": "checked", "ghu_": "checked", "ghs_": "checked", "ghr_": "checked", "npm_": "checked", "card": "card", "iban": "iban",
 }
 KINDS = (*BASE, "checked", "card", "iban")
+#: Letters and digits of an IBAN by its country, as registered; a country not listed here may have any length.
+IBAN_SIZES = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22,
+    IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, MC=27, MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, SA=24, SE=24, SI=19, SK=24,
+    SM=27, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+)
 _automata: list = []
 
 
@@ -65,12 +71,27 @@ def automaton():
     return _automata[0]
 
 
+def shorter(run: str, good, sizes) -> int:
+    """Where the longest start of a run ends that passes its checksum, 0 if none does.
+
+    ``sizes`` are the numbers of letters and digits it may have; it ends where a group ends, at the run's end or before a space or hyphen.
+    """
+    ends = [i for i in range(len(run), 0, -1) if run[i - 1] not in " -" and (i == len(run) or run[i] in " -")]
+    return next((i for i in ends if sum(c not in " -" for c in run[:i]) in sizes and good(run[:i])), 0)
+
+
+def iban_sizes(run: str):
+    return (IBAN_SIZES[run[:2]],) if run[:2] in IBAN_SIZES else range(15, 35)
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) in code points, by start and then by kind as listed in KINDS.
 
     One automaton pass finds the keywords; a kind's pattern is tried at their places only, and not
     within a match of the same kind, which is what a scan from the left gives.  Runs of hexadecimal digits have no keyword;
-    their length is the test.  Tokens, card numbers and account numbers count only if their checksums hold.
+    their length is the test.  Tokens, card numbers and account numbers count only if their checksums hold.  Of a run of
+    digit groups or words whose checksum fails, the longest start that is a number of 13 to 19 digits or an account
+    number of its country's length counts.
     """
     found: list[tuple[int, int, str]] = []
     low = text.lower() if text.isascii() else text.translate(LOWER)
@@ -89,11 +110,13 @@ def scan(text: str) -> list[tuple[int, int, str]]:
             elif kind == "checked":
                 good = base62_crc(m[1], m[2])
             elif kind == "card":
-                span, good = m.span(1), luhn(m[1])
+                n = len(m[1]) if luhn(m[1]) else shorter(m[1], luhn, range(13, 20))
+                span, good = (m.start(1), m.start(1) + n), n > 0
             else:
-                span, good = m.span(1), mod97(m[1])
+                n = len(m[1]) if mod97(m[1]) else shorter(m[1], mod97, iban_sizes(m[1]))
+                span, good = (m.start(1), m.start(1) + n), n > 0
             if good or kind in BASE:
-                free[kind] = m.end()
+                free[kind] = span[1]
             if good:
                 found.append((*span, kind))
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
