@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, map_texts, span
+from .common import components, cut, keep_one, map_texts, span
 
 BITS, BLOCK, ROWS = 64, 1 << 15, 1 << 14
 PLACES = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
@@ -39,8 +39,8 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["row", "id", "fp"])
 
     return run
 
@@ -106,30 +106,32 @@ def _matches(distance: int):
     return run
 
 
+def _classes(docs: DataFrame, key: str, text: str, words: int, distance: int, segments: int) -> DataFrame:
+    """A row for each document: row (hash of key and text), id, fp, component, which is one of its fingerprints."""
+    rows = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    prints = cut(map_texts(rows, _fingerprints(words), "row long, id long, fp long"))
+    probes = prints.select("fp").distinct().select("fp", F.col("fp").alias("rep")).mapInArrow(_probes(segments, distance), "key long, fp long, rep long")
+    found = components(probes.repartition("key").mapInArrow(_matches(distance), "a long, b long"))
+    return prints.join(found, prints["fp"] == found["node"], "left").select("row", "id", "fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, segments: int = 2) -> DataFrame:
     """Documents with their fingerprint and class: key, fingerprint (16 hexadecimal digits), component_id.
 
     Fingerprints link if they differ in ``distance`` bits or fewer; component_id is the smallest key
-    reachable.  Equal fingerprints are joined by an aggregation first, so copies, however many, are one
-    entry of the index.  Texts without words have fingerprint zero and link like others; null keys keep
+    reachable.  Every distinct fingerprint is one entry of the index, however many copies have it and whether
+    their keys are null or not.  Texts without words have fingerprint zero and link like others; null keys keep
     their row, with the smallest other key reachable (null if there is none); repeated keys each keep
     their row; an empty table gives no rows; other columns are ignored.
 
     With 2 segments of 32 bits a key of the index has chance matches only from about 2 ** 26 distinct
     fingerprints on; beyond that ``segments`` and ``distance`` decide the trade.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    prints = cut(map_texts(rows, _fingerprints(words), "id long, fp long"))
-    classes = prints.groupBy("fp").agg(F.min("id").alias("rep"))
-    probes = classes.where("rep is not null").select("fp", "rep").mapInArrow(_probes(segments, distance), "key long, fp long, rep long")
-    links = probes.repartition("key").mapInArrow(_matches(distance), "a long, b long")
-    found = components(links)
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller key; rows with a null key stay, and of rows
-    that repeat the smallest key all stay."""
-    classes = near_duplicates(docs, key=key, text=text, **how).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(classes, docs[key] == classes["_kept"], "left").where(F.col("_kept").isNotNull() | F.col(key).isNull()).drop("_kept")
+    every = _classes(docs, key, text, words, distance, segments)
+    least = every.groupBy("component").agg(F.min("id").alias("component_id"))
+    return every.join(least, "component").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, segments: int = 2) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest key, or any if all its keys are null."""
+    return keep_one(docs, _classes(docs, key, text, words, distance, segments), key, text)
