@@ -121,11 +121,13 @@ def _rerank(kind: str, k: int):
         q, b = np.flatnonzero(asks), np.flatnonzero(~asks)
         most = min(k + 1, len(b))
         for q in np.array_split(q, len(q) // 512 + 1):
-            rough = (x[q] ** 2).sum(axis=1)[:, None] + (x[b] ** 2).sum(axis=1)[None] - 2 * x[q] @ x[b].T
+            asked, other = (x[q] ** 2).sum(axis=1), (x[b] ** 2).sum(axis=1)
+            rough = asked[:, None] + other[None] - 2 * x[q] @ x[b].T
             rough[np.abs(rank[q][:, None] - rank[b][None]) > width[q][:, None]] = np.inf
-            near = np.argpartition(rough, most - 1, axis=1)[:, : most + 8] if most + 8 > len(b) else np.argpartition(rough, most + 7, axis=1)[:, : most + 8]
-            for i, (own, some) in enumerate(zip(q.tolist(), near)):
-                some = some[np.isfinite(rough[i, some])]
+            # whatever may be among the nearest, ties included, whichever way the rough distances were rounded
+            limit = np.partition(rough, most - 1, axis=1)[:, most - 1] + 8 * (x.shape[1] + 4) * np.finfo(float).eps * (asked + other.max())
+            for i, own in enumerate(q.tolist()):
+                some = np.flatnonzero((rough[i] <= limit[i]) & np.isfinite(rough[i]))
                 exact = np.sqrt(((x[b[some]] - x[own]) ** 2).sum(axis=1))
                 best = np.lexsort((least[b[some]], exact))[:most]
                 yield np.full(len(best), cls[own]), cls[b[some]][best], least[b[some]][best], exact[best]
