@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..sources.tables import spread
 
 LEAST_LONG = -(2**63)
-TEXT_ROWS, BATCH_ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_texts(rows: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow for rows that hold whole texts: the session's Arrow batches are set to TEXT_ROWS rows, unless they
-    are smaller already, as a batch is held several times over."""
-    conf = rows.sparkSession.conf
-    if not 0 < int(conf.get(BATCH_ROWS)) <= TEXT_ROWS:
-        conf.set(BATCH_ROWS, str(TEXT_ROWS))
+    """mapInArrow for rows that hold whole texts.  Arrow batches end at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch) or at one
+    text that is longer; ``run`` should take texts from a batch one by one, not as a list."""
     return rows.mapInArrow(run, schema)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs a read, not a recomputation.
 
