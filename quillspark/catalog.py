@@ -97,29 +97,30 @@ st0 as (select term, count(*) as df, any_value(n) as n, any_value(avgdl) as avgd
 st as (select term, df, n, avgdl, case when raw < 0 then 0.25::double * (select avg(raw) from st0) else raw end as idf from st0)"""
 BM25 = f"""{POSTINGS},
 q as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({tok('text')}) as term from benchmark) group by all),
-sc as (select query_id, doc_id as chunk_id, round(sum(times * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl))), 6) as score from q join p using (term) join st using (term) join dl using (doc_id) group by all),
+sc as (select query_id, doc_id as chunk_id, round(sum(times * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl))), 10) as score from q join p using (term) join st using (term) join dl using (doc_id) group by all),
 kw as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from sc where score > 0) where rank <= 20)"""
+MEAN = "((2 * sum(round(value * 1000000)::hugeint) + 100 * count(value)) // (200 * count(value)))::double / 10000"  # of values that aren't negative, by whole numbers
 DOT = "list_dot_product(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double))"
-COS = "round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6)"
+COS = "round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 12)"
 VEC = "v as (select *, list_transform(embedding, lambda x: x::double) as v from embeddings)"
 HYBRID = f"""{BM25}, {VEC},
 vs as (select * from (select a.item_id as query_id, b.vec_id as chunk_id, {COS} as similarity, row_number() over (partition by a.item_id order by {COS} desc, b.vec_id) as rank from (select item_id, v from benchmark join v on vec_id = item_id) a, v b) where rank <= 20),
 m as (select coalesce(vs.query_id, kw.query_id) as query_id, coalesce(vs.chunk_id, kw.chunk_id) as chunk_id, similarity as vector_score, vs.rank as vector_rank, score as keyword_score, kw.rank as keyword_rank,
  (vs.rank is not null)::int + (kw.rank is not null)::int as n_sources, coalesce(vs.rank, 1000000 + kw.rank) as place from vs full outer join kw on vs.query_id = kw.query_id and vs.chunk_id = kw.chunk_id)"""
-RRF = """f as (select *, row_number() over (partition by query_id order by fused_score desc, place, chunk_id) as fused_rank from (select *, round(coalesce(1.0::double / (60 + vector_rank), 0) + coalesce(1.0::double / (60 + keyword_rank), 0), 6) as fused_score from m))"""
+RRF = """f as (select * exclude (fs), round(fs, 6) as fused_score, row_number() over (partition by query_id order by fs desc, place, chunk_id) as fused_rank from (select *, round(coalesce(1.0::double / (60 + vector_rank), 0) + coalesce(1.0::double / (60 + keyword_rank), 0), 10) as fs from m))"""
 SECTION = lst(TITLES) + f"[(doc_id % {len(TITLES)} + 1)::int]"
 CHUNKS = f"c as (select doc_id as chunk_id, text, source, source as journal, 2000 + doc_id % 25 as pub_year, {SECTION} as section from documents)"
 FINAL = f"""{HYBRID}, {RRF}, {CHUNKS},
 r as (select f.query_id, f.chunk_id, f.fused_rank, c.source, c.text, qt, case when len(qt) = 0 then 0.0::double else len(list_intersect(qt, {tok('c.text')})) / len(qt)::double end as rel,
  case when pub_year > 0 then pow(0.5::double, greatest(0, {NOW} - pub_year) / 8.0::double) else 0.5 end as rec, case source when 'src0' then 1.0::double when 'src1' then 0.9 when 'src2' then 0.55 else 0.5 end as auth
  from f join c on f.chunk_id = c.chunk_id join (select item_id as query_id, list_distinct({tok('text')}) as qt from benchmark) b on b.query_id = f.query_id),
-fin as (select *, row_number() over (partition by query_id order by final_score desc, fused_rank) as final_rank from (select *, round(0.6::double * rel + 0.25::double * rec + 0.15::double * auth, 6) as final_score from r))"""
+fin as (select * exclude (fs), round(fs, 6) as final_score, row_number() over (partition by query_id order by fs desc, fused_rank) as final_rank from (select *, round(0.6::double * rel + 0.25::double * rec + 0.15::double * auth, 10) as fs from r))"""
 
 
 # Ranking and retrieval
 
 
-@query(f"with {BM25} select query_id, chunk_id as doc_id, score, rank from kw where rank <= 10")
+@query(f"with {BM25} select query_id, chunk_id as doc_id, round(score, 6) as score, rank from kw where rank <= 10")
 def bm25_topk(spark, d):
     asks = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return bm25.top(bm25.scores(table(spark, d, "documents"), asks), 10)
@@ -137,7 +138,7 @@ def tokenize_counts(spark, d):
 
 
 def knn_sql(where: str = "true", pool: str = "true") -> str:
-    return f"with {VEC}, s as (select a.vec_id as query_id, b.vec_id, b.label, {COS} as similarity from v a, v b where a.vec_id % 100 = 0), p as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as pl from s) select query_id, vec_id, similarity, rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from p where ({where}) and ({pool})) where rank <= 10"
+    return f"with {VEC}, s as (select a.vec_id as query_id, b.vec_id, b.label, {COS} as similarity from v a, v b where a.vec_id % 100 = 0), p as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as pl from s) select query_id, vec_id, round(similarity, 6) as similarity, rank from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from p where ({where}) and ({pool})) where rank <= 10"
 
 
 @query(knn_sql())
@@ -157,7 +158,7 @@ def knn_pool_postfilter(spark, d):
 
 @query(f"with {VEC}, s as (select a.vec_id as q, b.vec_id as i, {COS} as c, row_number() over (partition by a.vec_id order by {COS} desc, b.vec_id) as r from v a, v b where a.vec_id % 100 = 0) select count(*) as n, count(*) filter (where q = i) as hits, round(count(*) filter (where q = i) / count(*)::double, 4) as recall, round(avg(1 - c), 4) as mean_distance, round(max(1 - c), 4) as max_distance from s where r = 1")
 def self_recall(spark, d):
-    top = vectors.knn(_vectors(spark, d), _vector_queries(spark, d), 1)
+    top = vectors.knn(_vectors(spark, d), _vector_queries(spark, d), 1, digits=vectors.GUARD)
     hit = F.col("query_id") == F.col("vec_id")
     return top.agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.round(F.count_if(hit) / F.count("*"), 4).alias("recall"), F.round(F.avg(1 - F.col("similarity")), 4).alias("mean_distance"), F.round(F.max(1 - F.col("similarity")), 4).alias("max_distance"))
 
@@ -165,8 +166,8 @@ def self_recall(spark, d):
 def _merged(spark, d):
     queries = hybrid_queries(spark, d)
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    near = vectors.knn(_vectors(spark, d).withColumnRenamed("vec_id", "chunk_id"), queries.where("query_vector is not null").select("query_id", "query_vector"), 20, key="chunk_id")
-    return fusion.merge(near, bm25.top(bm25.scores(chunks, queries, key="chunk_id"), 20, key="chunk_id"))
+    near = vectors.knn(_vectors(spark, d).withColumnRenamed("vec_id", "chunk_id"), queries.where("query_vector is not null").select("query_id", "query_vector"), 20, key="chunk_id", digits=vectors.GUARD)
+    return fusion.merge(near, bm25.top(bm25.scores(chunks, queries, key="chunk_id"), 20, key="chunk_id", digits=bm25.GUARD))
 
 
 FUSED = ["query_id", "chunk_id", "n_sources", "fused_score", "fused_rank"]
@@ -183,8 +184,8 @@ def fusion_rrf(spark, d):
 
 
 @query(f"""with {HYBRID}, w as (select *, min(keyword_score) over (partition by query_id) as lo, max(keyword_score) over (partition by query_id) as hi from m),
- x as (select *, round(0.7::double * coalesce(vector_score, 0) + 0.3::double * coalesce((keyword_score - lo) / nullif(hi - lo, 0), 0), 6) as fused_score from w)
- select query_id, chunk_id, n_sources, fused_score, row_number() over (partition by query_id order by fused_score desc, place, chunk_id) as fused_rank from x""")
+ x as (select *, round(0.7::double * coalesce(vector_score, 0) + 0.3::double * coalesce((keyword_score - lo) / nullif(hi - lo, 0), 0), 10) as fs from w)
+ select query_id, chunk_id, n_sources, round(fs, 6) as fused_score, row_number() over (partition by query_id order by fs desc, place, chunk_id) as fused_rank from x""")
 def fusion_weighted(spark, d):
     return fusion.fuse(_merged(spark, d), "weighted").select(FUSED)
 
@@ -257,7 +258,7 @@ def query_clean(spark, d):
     return asked(spark).select("query_id", understanding.clean(F.col("query")).alias("cleaned"))
 
 
-@query(f"select query_id, replace(replace(replace(query, '糖尿病', ' diabetes '), '血压', ' blood pressure '), '糖尿病足', ' diabetic foot ') as english, case when regexp_matches(query, '[一-鿿]') then 'zh' else 'en' end as language from {Q}")
+@query(f"select query_id, replace(replace(replace(query, '糖尿病', 'diabetes'), '血压', 'blood pressure'), '糖尿病足', 'diabetic foot') as english, case when regexp_matches(query, '[一-鿿]') then 'zh' else 'en' end as language from {Q}")
 def query_translate(spark, d):
     return asked(spark).select("query_id", understanding.translate(F.col("query"), CHINESE).alias("english"), T.language(F.col("query")).alias("language"))
 
@@ -358,8 +359,37 @@ def chunk_strategy_ab(spark, d):
     return chunking.strategy_chunks(table(spark, d, "documents").withColumn("title", F.concat(F.lit("Document "), F.col("doc_id").cast("string"))))
 
 
-def _kind(parts) -> str:
-    return " or ".join(f"contains(t, '{p}')" for p in parts)
+def _kind(parts, c: str = "t") -> str:
+    return " or ".join(f"contains({c}, '{p}')" for p in parts)
+
+
+def body(spark, d):
+    """The lines of documents as paragraphs; two at a time are a section, whose top title goes round."""
+    nth = F.expr("pos div 2")
+    lines = chunking.paragraphs(table(spark, d, "documents")).drop("token_count")
+    top = F.element_at(T.strings(TITLES), ((nth + F.col("doc_id")) % len(TITLES) + 1).cast("int"))
+    part = F.concat(F.lit("Part "), nth.cast("string"))
+    return lines.withColumns({"section_title": part, "section_path": F.concat(T.clean_title(top), F.lit(" > "), part)})
+
+
+@query(f"""with recursive {PARAGRAPHS.replace("select doc_id, t, len", "select doc_id, t, pos // 2 as s, len")}, m as (select doc_id, i, s, n as total, 0 as chunk from k where i = 1 union all
+ select k.doc_id, k.i, k.s, case when k.s = m.s and m.total + k.n <= 300 then m.total + k.n else k.n end, case when k.s = m.s and m.total + k.n <= 300 then m.chunk else m.chunk + 1 end from m join k on k.doc_id = m.doc_id and k.i = m.i + 1),
+c as (select m.doc_id, chunk, m.s, sum(n)::bigint + 2 as token_count, 'Part ' || m.s as section_title, string_agg(t, chr(10) || chr(10) order by m.i) as txt from m join k on k.doc_id = m.doc_id and k.i = m.i group by all),
+u as (select *, {lst(TITLES)}[((s + doc_id) % {len(TITLES)} + 1)::int] as title from c), v as (select *, coalesce(nullif(trim(regexp_replace(title, '^\\d+(\\.\\d+)*\\.?\\s+', '')), ''), title) as top from u)
+select doc_id, section_title, top || ' > ' || section_title as section_path, case {' '.join(f"when {_kind(p, 'lower(top)')} then '{k}'" for k, p in T.IMRAD.items())} else 'other' end as imrad_type, token_count, md5(section_title || chr(10) || chr(10) || txt) as text_md5 from v where token_count <= 512""")
+def body_chunks_merged(spark, d):
+    out = chunking.body_chunks(body(spark, d)).where("split_strategy = 'C_body_merged'")
+    return out.select("doc_id", "section_title", "section_path", "imrad_type", "token_count", F.md5("text").alias("text_md5"))
+
+
+@query()
+def body_chunks(spark, d):
+    return chunking.body_chunks(body(spark, d), limit=128, size=100, overlap=20)
+
+
+@query("select doc_id, substring(coalesce(text, ''), 1, 200) as preview from documents")
+def text_preview(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
 @query(f"""with d as (select doc_id, {SECTION} as title from documents), c as (select *, lower(coalesce(nullif(trim(regexp_replace(title, '^\\d+(\\.\\d+)*\\.?\\s+', '')), ''), title)) as t from d)
@@ -519,7 +549,7 @@ def session_expiry(spark, d):
     return sessions.active(events, F.lit(now), 86400).select("user_id", "n_turns", "is_active")
 
 
-@query("select user_id, count(*) as n_calls, count(*) filter (where event_type <> 'error') as n_ok, count(*) filter (where event_type = 'error') as n_failed, round(count(*) filter (where event_type <> 'error') / count(*)::double, 4) as success_rate, round(avg(value), 4) as mean_latency from events group by user_id")
+@query(f"select user_id, count(*) as n_calls, count(*) filter (where event_type <> 'error') as n_ok, count(*) filter (where event_type = 'error') as n_failed, round(count(*) filter (where event_type <> 'error') / count(*)::double, 4) as success_rate, {MEAN} as mean_latency from events group by user_id")
 def qa_stats(spark, d):
     return sessions.call_stats(table(spark, d, "events"), F.col("event_type") == "error", "value", ("user_id",))
 
@@ -543,7 +573,7 @@ def seen_chunk_merge(spark, d):
     return sessions.merge_seen(own.where("old"), own.where("not old"))
 
 
-@query("select time_bucket(interval 1 hour, ts) as start_ts, count(*) as n_calls, count(*) filter (where event_type = 'error') as n_failed, round(avg(value), 4) as mean_latency from events group by all")
+@query(f"select time_bucket(interval 1 hour, ts) as start_ts, count(*) as n_calls, count(*) filter (where event_type = 'error') as n_failed, {MEAN} as mean_latency from events group by all")
 def windowed_call_stats(spark, d):
     out = ingest.windowed_stats(table(spark, d, "events"), "ts", F.col("event_type") == "error", "value")
     return out.select(F.col("start").alias("start_ts"), "n_calls", "n_failed", "mean_latency")
@@ -766,7 +796,7 @@ def cache_hit_rate(spark, d):
     return sessions.hit_rate(sessions.memo_hits(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], "ts", 86400), by=("event_type",))
 
 
-@query("select event_type, count(*) as n, count(*) filter (where value < 1) as n_errors, min(value) as least, round(avg(value), 4) as mean, max(value) as most from events group by event_type")
+@query(f"select event_type, count(*) as n, count(*) filter (where value < 1) as n_errors, min(value) as least, {MEAN} as mean, max(value) as most from events group by event_type")
 def batch_wall_stats(spark, d):
     return sessions.wall_stats(table(spark, d, "events"), F.col("value") < 1, "value", ("event_type",))
 
@@ -798,10 +828,10 @@ def sentence_truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(evaluate.truncate_at_sentence(F.col("text"))).alias("text_md5"))
 
 
-SPELLED = [" Patients with MI and BP.", " A heart attack (MI) was noted.", " LDL or HDL"]
+SPELLED = [" Patients with MI and BP.", " A heart attack ('MI') was noted.", " LDL or HDL"]
 
 
-@query(f"""with a as (select doc_id, lower(text || {lst(SPELLED)}[(doc_id % 3 + 1)::int]) as t from documents), k as (select doc_id, t, term, expansions from a, {rows('term, expansions', SHORT)} where term <> 'or' and list_contains(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_''-]+'), term)),
+@query(f"""with a as (select doc_id, lower(text || {lst(SPELLED)}[(doc_id % 3 + 1)::int]) as t from documents), k as (select doc_id, t, term, expansions from a, {rows('term, expansions', SHORT)} where term <> 'or' and list_contains(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_-]+'), term)),
 f as (select doc_id, term, len(list_filter(expansions, lambda e: contains(t, e))) = 0 as gone from k)
 select a.doc_id, coalesce(string_agg(term, ',' order by term), '') as found, coalesce(string_agg(term, ',' order by term) filter (where gone), '') as missing, count(*) filter (where gone) = 0 as passes from a left join f on a.doc_id = f.doc_id group by a.doc_id""")
 def abbreviation_check(spark, d):

@@ -103,13 +103,23 @@ def not_retracted(flag: Column) -> Column:
     return ~F.lower(flag).eqNullSafe("yes")
 
 
+def preview(text: Column, most: int = 200) -> Column:
+    return F.substring(F.coalesce(text, F.lit("")), 1, most)
+
+
+def rouge_tokens(text: Column) -> Column:
+    """What overlap is counted in: characters of a text that holds Chinese ones, else words."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(t.rlike("[\\x{4e00}-\\x{9fff}]"), F.filter(F.split(t, ""), lambda c: ~c.rlike(r"^\s*$"))).otherwise(words(t))
+
+
 def language(query: Column) -> Column:
     return F.when(query.rlike("[\\x{4e00}-\\x{9fff}]"), "zh").otherwise("en")
 
 
 def citations(text: Column) -> Column:
-    """Numbers of the citations in a text, repeats included."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[来源\s*(\d+)\]"), F.lit(1)), lambda n: n.cast("int"))
+    """Numbers of the citations in a text, repeats included; one too long for a long is the greatest long, which no source has."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[来源\s*(\d+)\]"), F.lit(1)), lambda n: F.coalesce(n.try_cast("bigint"), F.lit(2**63 - 1)))
 
 
 def cache_key(parts: Column) -> Column:
@@ -151,3 +161,16 @@ def abstract_or_body(abstract: Column, body: Column, least: int = 50, most: int
     filled = F.nullif(F.trim(body), F.lit(""))
     fallback = F.when(filled.isNotNull(), F.struct(F.substring(body, 1, most).alias("text"), F.lit("body_fallback").alias("source")))
     return F.when(F.length(F.coalesce(abstract, F.lit(""))) < least, fallback).otherwise(F.struct(abstract.alias("text"), F.lit("original").alias("source")))
+
+
+def truncate_at_sentence(text: Column, share: float = 0.1) -> Column:
+    """Up to the last full stop in the last tenth of a text; all of it if there is none."""
+    start = F.floor(F.length(text) * F.lit(1 - share)).cast("int")
+    tail = F.substring(text, start + 1, F.length(text))
+
+    def last(mark: str) -> Column:
+        back = F.locate(mark[::-1], F.reverse(tail))
+        return F.when(back > 0, F.length(tail) - back - len(mark) + 1).otherwise(-1)
+
+    cut = F.greatest(last("。"), last(". "), last(".\n"))
+    return F.when(cut < 0, text).otherwise(F.regexp_replace(F.substring(text, F.lit(1), start + cut + 1), r"\s+$", ""))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import imrad, kept_type, words
 
 LIMIT, SIZE, OVERLAP, TARGET = 512, 400, 80, 300
 SEPARATORS = ["\n\n", "\n", ". ", " "]
@@ -96,6 +96,48 @@ def strategy_chunks(docs: DataFrame, limit: int = LIMIT, size: int = SIZE, overl
     return out.select(key, name.alias("chunk_id"), "chunk_index", "total_chunks", "text", "token_count", "split_strategy")
 
 
+def body_chunks(rows: DataFrame, limit: int = LIMIT, target: int = TARGET, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
+    """Body paragraphs as chunks: key, chunk_id, chunk_index, total_chunks, text, token_count, section_title, section_path, imrad_type,
+    split_strategy.
+
+    rows: key, pos, text, section_title, section_path.  Neighbours of one section merge up to ``target`` tokens; with the section's
+    title before it that is a chunk (C_body_merged), or, beyond ``limit`` tokens, pieces of it each with the title
+    (D_body_recursive).  The kind of section is that of the top title of the path.
+    """
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            yield series.map(lambda t: split_recursively(t or "", size, overlap))
+
+    own = rows.select(key, "pos", "text", *(F.coalesce(c, F.lit("")).alias(c) for c in ("section_title", "section_path")))
+    parts = islands(own.withColumn("token_count", F.size(words(F.col("text")))), "section_path", key)
+    merged = merge_paragraphs(parts, target, (key, "island", "section_title", "section_path")).withColumnRenamed("chunk_index", "part")
+    prefix = F.when(F.col("section_title") != "", F.concat("section_title", F.lit("\n\n"))).otherwise(F.lit(""))
+    merged = merged.withColumn("prefix", prefix).withColumn("whole", F.concat("prefix", "text"))
+    fits = F.size(words(F.col("whole"))) <= limit
+    names = [key, "island", "part", "section_title", "section_path"]
+    short = merged.where(fits).select(*names, F.lit(0).alias("piece"), F.col("whole").alias("text"), F.lit("C_body_merged").alias("split_strategy"))
+    long = merged.where(~fits).select(*names, "prefix", F.posexplode(pieces(F.col("text"))).alias("piece", "own"))
+    long = long.select(*names, "piece", F.concat("prefix", "own").alias("text"), F.lit("D_body_recursive").alias("split_strategy"))
+    order = Window.partitionBy(key).orderBy("island", "part", "piece")
+    out = short.unionByName(long).withColumn("chunk_index", F.row_number().over(order) - 1).withColumn("total_chunks", F.count("*").over(Window.partitionBy(key)))
+    name = F.format_string("%s_body_%05d", F.col(key).cast("string"), F.col("chunk_index"))
+    top = F.element_at(F.split("section_path", " > "), 1)
+    return out.select(key, name.alias("chunk_id"), "chunk_index", "total_chunks", "text", F.size(words(F.col("text"))).alias("token_count"), "section_title", "section_path", imrad(top).alias("imrad_type"), "split_strategy")
+
+
+def article_chunks(articles: DataFrame) -> DataFrame:
+    """What becomes of articles: chunks of title and abstract (A, B) and of the body (C, D), with the article's own columns; types that are
+    left out have none."""
+    kept = articles.where(kept_type(F.col("article_type"))).withColumn("doc_id", F.coalesce("pmc_id", "path"))
+    head = strategy_chunks(kept, title="title", text="abstract").withColumns({"section_title": F.lit("Abstract"), "section_path": F.lit("Abstract"), "imrad_type": F.lit("abstract"), "chunk_type": F.lit("abstract")})
+    paragraphs_ = kept.select("doc_id", F.explode("paragraphs").alias("p")).select("doc_id", "p.*")
+    body = body_chunks(paragraphs_).withColumn("chunk_type", F.lit("body"))
+    meta = kept.select("doc_id", F.col("title").alias("source_title"), "pmc_id", "pmid", "doi", "journal", "pub_year", "article_type", "abstract_source", "source_url")
+    return head.unionByName(body).join(meta, "doc_id")
+
+
 def overlap_found(chunks: DataFrame, key: str = "doc_id", index: str = "chunk_index", text: str = "text") -> DataFrame:
     """For neighbouring chunks, whether the next one holds characters 11 to 30 of the last 80 of this one."""
     order = Window.partitionBy(key).orderBy(index)

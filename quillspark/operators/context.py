@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, word_set, words
+from ..functions.text import jaccard, truncate_at_sentence, word_set, words
 
 
 def drop_near_duplicates(hits: DataFrame, least: float = 0.85, query: str = "query_id", key: str = "chunk_id", score: str = "final_score", text: str = "text") -> DataFrame:
@@ -34,11 +34,18 @@ def diversify(hits: DataFrame, most: int = 2, query: str = "query_id", source: s
     return later.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy("_late", *by))).drop("_late")
 
 
-def within_budget(hits: DataFrame, budget: int = 3000, least_left: int = 50, query: str = "query_id", place: str = "place", text: str = "text") -> DataFrame:
+def within_budget(hits: DataFrame, budget: int = 3000, least_left: int = 50, query: str = "query_id", place: str = "place", text: str | Column = "text") -> DataFrame:
     """Hits in order of place while their tokens fit; the first that doesn't is cut if more than ``least_left`` tokens are left, then the list ends.
-    Adds tokens, used (before it), is_cut and citation_id."""
-    sized = hits.withColumn("tokens", F.size(words(F.col(text))))
+    Adds tokens, used (before it), is_cut and citation_id; ``cut`` does the cutting."""
+    sized = hits.withColumn("tokens", F.size(words(F.col(text) if isinstance(text, str) else text)))
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy(query).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sized = sized.withColumn("used", before).withColumn("is_cut", F.col("used") + F.col("tokens") > budget)
     fits = sized.where(~F.col("is_cut") | ((F.col("used") <= budget) & (budget - F.col("used") > least_left)))
     return fits.withColumn("citation_id", F.row_number().over(Window.partitionBy(query).orderBy(place)))
+
+
+def cut(text: Column, tokens: Column, left: Column) -> Column:
+    """As many characters of a text as its share of ``left`` tokens allows, ended at a sentence if one ends in the last tenth; then no
+    more words than are left, where the share by characters has too many."""
+    part = truncate_at_sentence(F.substring(text, F.lit(1), F.floor(F.length(text) * F.try_divide(left, tokens)).cast("int")))
+    return F.when(F.size(words(part)) <= left, part).otherwise(F.array_join(F.slice(words(part), F.lit(1), F.greatest(left, F.lit(0)).cast("int")), " "))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 RRF_K, VECTOR_SHARE, KEYWORD_SHARE = 60, 0.7, 0.3
 WEIGHTS = {"relevance": 0.6, "recency": 0.25, "authority": 0.15}
 HALF_LIFE = 8
+GUARD = 10
 # fixed values: standing of journals
 AUTHORITY = {
     "nature": 1.0, "science": 1.0, "cell": 1.0, "new england journal of medicine": 1.0, "nejm": 1.0, "the lancet": 1.0, "lancet": 1.0, "jama": 0.95, "nature medicine": 0.95,
@@ -27,7 +28,7 @@ def fuse(merged: DataFrame, strategy: str, query: str = "query_id", key: str = "
     """fused_score and fused_rank; ties keep vector hits by rank, then keyword hits by rank.
 
     simple: the number of paths, then both scores.  rrf: sums of 1 / (60 + rank).  weighted: 0.7 x similarity + 0.3 x
-    keyword score, scaled to 0..1 over the query's hits; without a range it is 0.
+    keyword score, scaled to 0..1 over the query's hits; without a range it is 0.  Ranks look at GUARD digits, the result has 6.
     """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     place = F.coalesce(F.col("vector_rank"), F.lit(1_000_000) + F.col("keyword_rank"))
@@ -42,7 +43,8 @@ def fuse(merged: DataFrame, strategy: str, query: str = "query_id", key: str = "
         score, order = VECTOR_SHARE * zero("vector_score") + KEYWORD_SHARE * scaled, [F.desc("fused_score")]
     else:
         raise ValueError(f"unknown strategy {strategy}")
-    ranked = merged.withColumn("fused_score", F.round(score, 6)).withColumn("fused_rank", F.row_number().over(Window.partitionBy(query).orderBy(*order, place, key)))
+    ranked = merged.withColumn("fused_score", F.round(score, GUARD)).withColumn("fused_rank", F.row_number().over(Window.partitionBy(query).orderBy(*order, place, key)))
+    ranked = ranked.withColumn("fused_score", F.round("fused_score", 6))
     return ranked.where(F.col("fused_rank") <= k) if k else ranked
 
 
@@ -62,6 +64,6 @@ def rerank(hits: DataFrame, now: int, relevance: Column, weights: dict | None =
     w = WEIGHTS | (weights or {})
     parts = {"relevance": relevance, "recency": recency(F.col("pub_year"), now), "authority": authority(F.col("journal"), table)}
     final = sum((w[name] * c for name, c in parts.items()), F.lit(0.0))
-    out = hits.withColumns({f"{name}_score": F.round(c, 6) for name, c in parts.items()} | {"final_score": F.round(final, 6)})
-    out = out.withColumn("final_rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("final_score"), "fused_rank")))
+    out = hits.withColumns({f"{name}_score": F.round(c, 6) for name, c in parts.items()} | {"final_score": F.round(final, GUARD)})
+    out = out.withColumn("final_rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("final_score"), "fused_rank"))).withColumn("final_score", F.round("final_score", 6))
     return out.where(F.col("final_rank") <= k) if k else out

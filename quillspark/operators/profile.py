@@ -86,7 +86,7 @@ def sanitize(rows: DataFrame, texts: list[str], numbers: list[str]) -> DataFrame
     """Metadata without nulls: text columns become '', numbers 0, also where a column is missing or no number."""
     have = set(rows.columns)
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("") for c in texts}
-    number = {c: F.coalesce(F.try_to_number(F.col(c).cast("string"), F.lit("9999999999")).cast("long") if rows.schema[c].dataType.typeName() == "string" else F.col(c).cast("long"), F.lit(0).cast("long")) if c in have else F.lit(0).cast("long") for c in numbers}
+    number = {c: F.coalesce(F.col(c).try_cast("long"), F.lit(0).cast("long")) if c in have else F.lit(0).cast("long") for c in numbers}
     return rows.withColumns(text | number)
 
 

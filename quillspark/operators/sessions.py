@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def mean(value: str, digits: int = 4) -> Column:
+    """The mean by decimal sums (six digits a value), so halves round up whatever the order of rows; null for what is no number."""
+    return F.round(F.avg(F.col(value).try_cast("decimal(28,6)")), digits).cast("double")
+
+
 def turns(messages: DataFrame, session: str = "conv_id", turn: str = "turn") -> DataFrame:
     """A user's message with the assistant's that follows: session, turn, query, answer."""
     order = Window.partitionBy(session).orderBy(turn)
@@ -33,9 +38,9 @@ def active(events: DataFrame, now: Column, idle_seconds: int, session: str = "us
 
 def call_stats(calls: DataFrame, failed: Column, latency: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Calls, successes, failures, success rate and mean latency; rates are 0 without calls."""
-    out = calls.groupBy(*by).agg(F.count("*").alias("n_calls"), F.count_if(~failed).alias("n_ok"), F.count_if(failed).alias("n_failed"), F.avg(latency).alias("_mean"))
+    out = calls.groupBy(*by).agg(F.count("*").alias("n_calls"), F.count_if(~failed).alias("n_ok"), F.count_if(failed).alias("n_failed"), mean(latency).alias("_mean"))
     rate = F.coalesce(F.try_divide(F.col("n_ok"), F.col("n_calls")), F.lit(0.0))
-    return out.select(*by, "n_calls", "n_ok", "n_failed", F.round(rate, 4).alias("success_rate"), F.round(F.coalesce("_mean", F.lit(0.0)), 4).alias("mean_latency"))
+    return out.select(*by, "n_calls", "n_ok", "n_failed", F.round(rate, 4).alias("success_rate"), F.coalesce("_mean", F.lit(0.0)).alias("mean_latency"))
 
 
 def live_entries(entries: DataFrame, now: Column, ttl_seconds: int, most: int, ts: str = "last_access", key: str = "cache_key") -> DataFrame:
@@ -51,6 +56,21 @@ def merge_seen(seen: DataFrame, new: DataFrame, session: str = "session_id", key
     return both.groupBy(session, key).agg(F.max(score).alias(score), (~F.bool_or("_old")).alias("is_new"))
 
 
+def seen_ids(seen: DataFrame, session: str = "session_id", key: str = "chunk_id") -> DataFrame:
+    """Each session's seen keys as one sorted list."""
+    return seen.groupBy(session).agg(F.array_sort(F.collect_set(key)).alias("seen"))
+
+
+def clear_seen(seen: DataFrame, gone: DataFrame | None = None, session: str = "session_id") -> DataFrame:
+    """The registry without the sessions of ``gone``, or empty if none are named."""
+    return seen.limit(0) if gone is None else seen.join(gone.select(session).distinct(), session, "left_anti")
+
+
+def cacheable(temperature: Column, most: float = 0.2) -> Column:
+    """Only answers of a generator that hardly varies are remembered; a missing temperature isn't."""
+    return F.coalesce(temperature <= most, F.lit(False))
+
+
 def first_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Rows whose key wasn't there earlier."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
@@ -81,4 +101,4 @@ def hit_rate(calls: DataFrame, hit: str = "hit", by: tuple[str, ...] = ()) -> Da
 
 def wall_stats(calls: DataFrame, failed: Column, seconds: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Errors, and the least, mean and longest time of a batch's calls."""
-    return calls.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(failed).alias("n_errors"), F.min(seconds).alias("least"), F.round(F.avg(seconds), 4).alias("mean"), F.max(seconds).alias("most"))
+    return calls.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(failed).alias("n_errors"), F.min(seconds).alias("least"), mean(seconds).alias("mean"), F.max(seconds).alias("most"))

@@ -26,9 +26,9 @@ def clean(query: Column) -> Column:
 
 
 def translate(query: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Replaces each term in the order given, so an earlier short term can pre-empt a longer one."""
+    """Replaces each term in the order given, as it stands: an earlier short term can pre-empt a longer one, and neighbours may touch."""
     for term, english in pairs:
-        query = F.replace(query, F.lit(term), F.lit(f" {english} "))
+        query = F.replace(query, F.lit(term), F.lit(english))
     return query
 
 
@@ -53,10 +53,11 @@ def synonyms(queries: DataFrame, vocabulary: DataFrame, query: str = "query_id",
 
 
 def time_range(query: Column, year: int) -> Column:
-    """struct(lo, hi) of the first rule that the query meets, or null.  The current year is a parameter."""
+    """struct(lo, hi) of the first rule that the query meets, or null.  The current year is a parameter; a number of years beyond a
+    long leaves lo null."""
     number = lambda p, g=1: F.regexp_extract(query, p, g)
-    rule = lambda p, lo, hi: F.when(query.rlike(p), F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi")))
-    now, n = F.lit(year), lambda p, g=1: F.nullif(number(p, g), F.lit("")).cast("int")
+    rule = lambda p, lo, hi: F.when(query.rlike(p), F.struct(lo.try_cast("int").alias("lo"), hi.try_cast("int").alias("hi")))
+    now, n = F.lit(year), lambda p, g=1: F.least(number(p, g).try_cast("bigint"), F.lit(10**12))
     # fixed values: the patterns of the rules, in their order
     last, past, since, after = r"(?i)last\s+(\d+)\s+years?", r"(?i)past\s+(\d+)\s+years?", r"(?i)since\s+(20\d{2})", r"(?i)after\s+(20\d{2})"
     before, between, within, recent = r"(?i)before\s+(20\d{2})", r"(?i)between\s+(20\d{2})\s+and\s+(20\d{2})", r"(?i)in\s+(20\d{2})", r"(?i)recent(?:ly)?"

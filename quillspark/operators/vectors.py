@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+GUARD = 12  # digits that ranks look at
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
@@ -14,19 +16,20 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, pool: int | None = None, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", asked: str = "query_vector", match: Column | None = None) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, pool: int | None = None, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", asked: str = "query_vector", match: Column | None = None, digits: int = 6) -> DataFrame:
     """The k nearest rows for each query by cosine, ranks from 1: query, key, similarity, rank.
 
     ``where`` filters before ranking, so nothing is lost.  With ``pool`` the ``pool`` nearest are taken first and
     filtered then, as an index without filters would do; fewer than k may stay.  ``match`` says, before ranking, which rows a
     query may have, by columns of both.  Queries are a stated set: every row is compared with
-    every query, and only k rows a query leave each task.
+    every query, and only k rows a query leave each task.  Ranks come from cosines of GUARD digits, so that equal vectors tie; the
+    result has ``digits``.
     """
     rows = vectors if pool or where is None else vectors.where(where)
     pairs = rows.crossJoin(queries)
-    pairs = (pairs if match is None else pairs.where(match)).withColumn("similarity", F.round(cosine(F.col(vector), F.col(asked)), 6))
+    pairs = (pairs if match is None else pairs.where(match)).withColumn("similarity", F.round(cosine(F.col(vector), F.col(asked)), GUARD))
     order = Window.partitionBy(query).orderBy(F.desc("similarity"), key)
     if pool:
         pairs = pairs.withColumn("_pool", F.row_number().over(order)).where(F.col("_pool") <= pool)
         pairs = pairs.where(where) if where is not None else pairs
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, key, "similarity", "rank")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, key, F.round("similarity", digits).alias("similarity"), "rank")

@@ -24,7 +24,7 @@ def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now:
     chunks: chunk_id, text, journal, pub_year and what ``where`` names; embeddings: chunk_id, embedding; queries: query_id, query,
     query_vector.  The filter holds for the vector path; for the keyword path only if asked for.
     understood: query_id, keyword_query, lo, hi, as ``understanding.understand`` gives them; then the keyword path asks for keyword_query, and
-    without ``where`` each query's own range of pub_year is the filter.
+    without ``where`` each query's own range of pub_year is the filter.  A hit without a chunk row stays, its columns null.
     """
     asks, own = queries, understood is not None and where is None
     if understood is not None:
@@ -32,22 +32,25 @@ def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now:
     range_ = ["lo", "hi"] if own else []
     within = F.col("lo").isNull() | F.col("pub_year").between(F.col("lo"), F.col("hi")) if own else None
     rows = embeddings.join(chunks.drop("text"), "chunk_id") if own or where is not None else embeddings
-    near = vectors.knn(rows, asks.where("query_vector is not null").select("query_id", "query_vector", *range_), k_vector, where, key="chunk_id", match=within)
+    near = vectors.knn(rows, asks.where("query_vector is not null").select("query_id", "query_vector", *range_), k_vector, where, key="chunk_id", match=within, digits=vectors.GUARD)
     text = chunks.where(where) if filter_keywords and where is not None else chunks
     scored = bm25.scores(text, asks, key="chunk_id")
     if own and filter_keywords:
         scored = scored.join(chunks.select("chunk_id", "pub_year"), "chunk_id").join(asks.select("query_id", "lo", "hi"), "query_id").where(within)
-    ranked = bm25.top(scored.select("query_id", "chunk_id", "score"), k_keyword, key="chunk_id")
+    ranked = bm25.top(scored.select("query_id", "chunk_id", "score"), k_keyword, key="chunk_id", digits=bm25.GUARD)
     fused = fusion.fuse(fusion.merge(near, ranked), strategy)
-    full = fused.join(chunks, "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    full = fused.join(chunks, "chunk_id", "left").join(queries.select("query_id", "query"), "query_id")
     return fusion.rerank(full, now, overlap(F.col("query"), F.col("text")), weights, authority, k=k)
 
 
-def contexts(hits: DataFrame, budget: int = 3000, most_per_source: int = 2, source: str = "source") -> DataFrame:
-    """One context a query, numbered blocks without near duplicates, within the budget."""
+def contexts(hits: DataFrame, budget: int = 3000, most_per_source: int = 2, source: str = "source", least_left: int = 50) -> DataFrame:
+    """One context a query: numbered blocks without near duplicates.  Headers count, and the block that overflows is cut at a sentence,
+    so no context holds more than ``budget`` words."""
     kept = context.diversify(context.drop_near_duplicates(hits), most_per_source, source=source)
-    fit = context.within_budget(kept, budget)
-    block = F.concat(F.format_string("[来源 %d | %s %s | %s]\n", F.col("citation_id"), F.coalesce("journal", F.lit("?")), F.coalesce(F.col("pub_year").cast("string"), F.lit("?")), F.coalesce("section", F.lit("?"))), F.trim("text"))
+    head = F.format_string("[来源 %d | %s %s | %s]\n", F.col("place"), F.coalesce("journal", F.lit("?")), F.coalesce(F.col("pub_year").cast("string"), F.lit("?")), F.coalesce("section", F.lit("?")))
+    blocks = kept.withColumn("block", F.concat(head, F.trim(F.coalesce("text", F.lit("")))))  # what fits is a prefix, so places number it
+    fit = context.within_budget(blocks, budget, least_left, text="block")
+    block = F.when(F.col("is_cut"), context.cut(F.col("block"), F.col("tokens"), F.lit(budget) - F.col("used"))).otherwise(F.col("block"))
     out = fit.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("citation_id", block.alias("block")))).alias("b"), F.count("*").alias("n_selected"))
     return out.select("query_id", "n_selected", F.array_join(F.transform("b", lambda x: x["block"]), "\n").alias("context"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # fixed values: parts of a body that hold no paragraphs, parts of which only the caption counts, and the years' order
 SKIPPED = {"title", "label", "ref-list", "ack", "fn-group", "app-group", "back", "glossary", "def", "xref"}
 CAPTIONED = {"table-wrap", "fig", "supplementary-material"}
@@ -22,12 +25,17 @@ def full_text(node) -> str:
     return "" if node is None else "".join(node.itertext()).strip()
 
 
+def plain_title(title: str) -> str:
+    """Without a leading number; as it is if nothing else is in it."""
+    return re.sub(r"^\d+(\.\d+)*\.?\s+", "", title).strip() or title
+
+
 def body_paragraphs(node, noise, path: tuple[str, ...] = (), out: list | None = None) -> list[tuple[str, str, str]]:
     """(text, section title, section path) in reading order; ``noise`` says which titles to leave out."""
     out = [] if out is None else out
     for part in node:
         if part.tag == "sec":
-            title = full_text(part.find("title"))
+            title = plain_title(full_text(part.find("title")))
             if not noise(title):
                 body_paragraphs(part, noise, (*path, title) if title else path, out)
         elif part.tag in CAPTIONED:
@@ -39,9 +47,10 @@ def body_paragraphs(node, noise, path: tuple[str, ...] = (), out: list | None =
 
 
 def year_of(root) -> int | None:
-    dates = {d.get("pub-type") or d.get("date-type"): full_text(d.find("year")) for d in reversed(root.findall(".//pub-date"))}
-    found = [dates.get(k, "") for k in YEAR_ORDER] + list(dates.values())
-    return next((int(y) for y in found if y.isdigit()), None)
+    """Of the first date of each kind, in YEAR_ORDER; else of the first date that has a year."""
+    kinds = (root.find(f".//pub-date[@pub-type='{kind}']") for kind in YEAR_ORDER)
+    found = [d.findtext("year") for d in kinds if d is not None] + [root.findtext(".//pub-date/year")]
+    return next((int(y) for y in found if y and y.isascii() and y.isdigit()), None)
 
 
 def parse_article(xml: bytes | str, noise) -> tuple | None:
@@ -61,14 +70,10 @@ def parse_article(xml: bytes | str, noise) -> tuple | None:
 
 
 def read_articles(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
-    """One row an article, with its abstract or the start of its body, and its paragraphs."""
-    import re
-
-    from ..functions.text import NOISE
+    """One row an article: abstract or the start of its body, paragraphs, the journal's usual name, a PMID only if valid, and source_url."""
 
     def noise(title: str) -> bool:
-        low = (re.sub(r"^\d+(\.\d+)*\.?\s+", "", title).strip() or title).lower()
-        return any(word in low for word in NOISE)
+        return any(word in title.lower() for word in T.NOISE)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.strip().split(" ")[0] for c in ARTICLE.split(", ") if not c.strip().startswith(("text", "section"))]
@@ -78,7 +83,14 @@ def read_articles(files: DataFrame, content: str = "content", path: str = "path"
 
     rows = files.select(path, content).mapInPandas(run, f"path string, {ARTICLE}")
     short = F.length("abstract") < LEAST_ABSTRACT
-    return rows.withColumns({"abstract_source": F.when(short, "body_fallback").otherwise("original"), "abstract": F.when(short, F.substring("body", 1, FALLBACK)).otherwise(F.col("abstract"))})
+    return rows.withColumns({"abstract_source": F.when(short, "body_fallback").otherwise("original"), "abstract": F.when(short, F.substring("body", 1, FALLBACK)).otherwise(F.col("abstract"))}).withColumns(
+        {"journal": T.journal_name(F.nullif(F.col("journal"), F.lit(""))), "pmid": T.valid_pmid(F.trim("pmid")), "source_url": T.source_url(F.trim("pmid"), F.col("doi"), F.col("pmc_id")), "body_chars": F.length("body")}
+    )
+
+
+def article_paragraphs(articles: DataFrame) -> DataFrame:
+    """doc_id (the PMC id, or else the path), pos, text, section_title, section_path of every body paragraph."""
+    return articles.select(F.coalesce("pmc_id", "path").alias("doc_id"), F.explode("paragraphs").alias("p")).select("doc_id", "p.*")
 
 
 class _Paragraphs(HTMLParser):

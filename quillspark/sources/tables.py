@@ -61,15 +61,64 @@ def write_chunks(chunks: DataFrame, path: str, rows: int = 200_000) -> None:
     chunks.write.mode("append").option("compression", "snappy").option("maxRecordsPerFile", rows).parquet(path)
 
 
-def write_index(rows: DataFrame, path: str, key: str = "chunk_id") -> None:
-    """One row a key, replacing what is there."""
-    rows.dropDuplicates([key]).write.mode("overwrite").parquet(path)
+def upsert(index: DataFrame | None, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The index after a batch: its rows replace those of equal keys, others stay.  Of rows in the batch that repeat a key the one with
+    the greatest hash of all columns counts, so the choice doesn't depend on their order."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.xxhash64(*rows.columns))))
+    own = rows.withColumn("_n", nth).where("_n = 1").drop("_n")
+    if index is None:
+        return own
+    return index.join(own.select(key), key, "left_anti").select(index.columns).unionByName(own, allowMissingColumns=True)
+
+
+def write_index(rows: DataFrame, path: str, key: str = "chunk_id") -> str:
+    """Upserts into the index at ``path`` and returns where its rows are now: each call writes a new version beside the last, which
+    it reads, so a run that fails leaves the index as it was.  ``read_index`` finds the newest whole one."""
+    now = _versions(rows.sparkSession, path)
+    old = rows.sparkSession.read.parquet(f"{path}/v={now[-1]}") if now else None
+    target = f"{path}/v={now[-1] + 1 if now else 0}"
+    upsert(old, rows, key).write.mode("overwrite").parquet(target)
+    return target
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/v={_versions(spark, path)[-1]}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions whose write was committed, oldest first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(at, "v=*/_SUCCESS")) or []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("v=")) for f in found)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def manifest_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """Manifest rows with the path of their file, by the stem of article_file or else the accession id; null where there is none."""
+    stem = F.regexp_extract(F.coalesce("article_file", F.lit("")), r"([^/]+?)(\.[A-Za-z]+)*$", 1)
+    own = manifest.withColumn("stem", F.coalesce(F.nullif(stem, F.lit("")), F.col("pmc_id")))
+    return own.join(files.select("stem", "path"), "stem", "left")
+
+
+def merge_batches(spark: SparkSession, paths: list[str], key: str = "chunk_id") -> DataFrame:
+    """All batches as one table, one row a key: that of the first path that has it."""
+    every = [spark.read.parquet(p).withColumn("_batch", F.lit(i)) for i, p in enumerate(paths)]
+    out = every[0]
+    for f in every[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_batch"))).where("_n = 1").drop("_n", "_batch")
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls kept, numbers that JSON doesn't know (NaN, infinite) as null."""
+    plain = {f.name: F.when(F.isnan(f.name) | (F.abs(f.name) == float("inf")), None).otherwise(F.col(f.name)) for f in rows.schema.fields if f.dataType.typeName() in ("double", "float")}
+    (rows.withColumns(plain) if plain else rows).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def head_each(rows: DataFrame, file: str, order: str, n: int) -> DataFrame:
     """The first n rows of each file."""
     nth = F.row_number().over(Window.partitionBy(file).orderBy(order))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.sessions import mean
+
 
 def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, key: str = "chunk_id", once: bool = True) -> StreamingQuery:
     """Appends new Parquet files of ``source`` to ``target``, each exactly once; a batch that is repeated overwrites itself."""
@@ -22,7 +24,7 @@ def ingest(spark: SparkSession, source: str, schema: StructType, target: str, ch
 def windowed_stats(calls: DataFrame, ts: str, failed, latency: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Calls, failures and mean latency in tumbling windows; works on tables and, with a watermark, on streams."""
     rows = calls.withWatermark(ts, late) if calls.isStreaming else calls
-    out = rows.groupBy(F.window(ts, width).alias("w")).agg(F.count("*").alias("n_calls"), F.count_if(failed).alias("n_failed"), F.round(F.avg(latency), 4).alias("mean_latency"))
+    out = rows.groupBy(F.window(ts, width).alias("w")).agg(F.count("*").alias("n_calls"), F.count_if(failed).alias("n_failed"), mean(latency).alias("mean_latency"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_calls", "n_failed", "mean_latency")
 
 

@@ -7,7 +7,7 @@ import pytest
 from oracle import compare
 from quillspark import catalog
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 

@@ -92,7 +92,8 @@ def test_articles(spark):
     files = spark.createDataFrame([("a", ARTICLE.encode()), ("b", b"<broken"), ("c", b"<article><front/></article>")], "path string, content binary")
     (row,) = markup.read_articles(files).collect()
     assert (row["pmc_id"], row["title"], row["pub_year"], row["abstract_source"]) == ("PMC1", "A mixed title", 2018, "body_fallback")
-    assert [(p["section_title"], p["section_path"]) for p in row["paragraphs"]] == [("1 Introduction", "1 Introduction"), ("Inner", "1 Introduction > Inner"), ("1 Introduction", "1 Introduction"), ("", "")]
+    assert [(p["section_title"], p["section_path"]) for p in row["paragraphs"]] == [("Introduction", "Introduction"), ("Inner", "Introduction > Inner"), ("Introduction", "Introduction"), ("", "")]
+    assert (row["journal"], row["pmid"], row["source_url"]) == ("PLoS ONE", "42", "https://pubmed.ncbi.nlm.nih.gov/42/")
     assert row["paragraphs"][-1]["text"].startswith("[Figure] ")
 
 
@@ -103,7 +104,9 @@ def test_html(spark):
 
 def test_json_repair():
     assert json.loads(evaluate.repaired_json('```json\n{"a": [1, 2,], "b": 3,}\n``` end')) == {"a": [1, 2], "b": 3}
-    assert json.loads(evaluate.repaired_json('x {"a": [1, 2')) == {"a": [1, 2]} and evaluate.repaired_json("none") is None
+    assert evaluate.repaired_json('x {"a": [1, 2') is None and evaluate.repaired_json("none") is None and evaluate.repaired_json(None) is None
+    for valid in ({"a": "x,]"}, {"a": "see ```json here"}, {"a": ",}", "b": [{}]}):  # what is valid stays
+        assert json.loads(evaluate.repaired_json(f"so: {json.dumps(valid)}.")) == valid
 
 
 def test_generator_failures_stay_in_their_row(spark):
@@ -135,9 +138,18 @@ def test_file_sources_and_sinks(spark, tmp_path):
     assert [r["pmc_id"] for r in tables.read_manifest(spark, str(tmp_path / "m.csv")).orderBy("pmc_id").collect()] == ["A1", "A3"]
     rows = spark.createDataFrame([("c1", "t"), ("c1", "t")], "chunk_id string, text string")
     tables.write_index(rows, str(tmp_path / "index"))
+    tables.write_index(spark.createDataFrame([("c2", "u"), ("c1", "new")], "chunk_id string, text string"), str(tmp_path / "index"))
+    assert {tuple(r) for r in tables.read_index(spark, str(tmp_path / "index")).collect()} == {("c1", "new"), ("c2", "u")}
+    tables.write_lines(spark.createDataFrame([(1, float("nan")), (2, 0.5)], "i int, x double"), str(tmp_path / "lines"))
+    assert {tuple(r) for r in spark.read.json(str(tmp_path / "lines")).select("i", "x").collect()} == {(1, None), (2, 0.5)}
+    tables.write_chunks(rows.limit(1), str(tmp_path / "more"))
+    files = spark.createDataFrame([("A1", "p/A1.xml")], "stem string, path string")
+    listed = spark.createDataFrame([("A1", "x/A1.tar.gz"), ("A2", ""), ("A1", None)], "pmc_id string, article_file string")
+    assert sorted((r["pmc_id"], r["path"] or "") for r in tables.manifest_files(listed, files).collect()) == [("A1", "p/A1.xml"), ("A1", "p/A1.xml"), ("A2", "")]
     tables.write_chunks(rows, str(tmp_path / "chunks"))
     tables.append_log(rows, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "index")).count() == 1 and spark.read.parquet(str(tmp_path / "chunks")).count() == 2 and spark.read.json(str(tmp_path / "log")).count() == 2
+    assert tables.merge_batches(spark, [str(tmp_path / "more"), str(tmp_path / "chunks")]).count() == 1
+    assert spark.read.parquet(str(tmp_path / "chunks")).count() == 2 and spark.read.json(str(tmp_path / "log")).count() == 2
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):
@@ -281,3 +293,50 @@ def test_frequencies_match_postings(spark):
     assert sorted(map(tuple, bm25.frequencies(docs).collect())) == [("alpha", 1), ("beta", 2), ("gamma", 1)]
     rows = lambda stats: sorted(tuple(r) for r in stats.collect())
     assert rows(bm25.term_stats(postings, lengths)) == rows(bm25.term_stats(postings, lengths, bm25.frequencies(docs)))
+
+
+def test_long_numbers_do_not_fail(spark):
+    from quillspark.functions import text as T
+    from quillspark.operators import understanding
+
+    assert one(spark, T.citations(F.lit("[来源99999999999999999999] [来源2]"))) == [2**63 - 1, 2]
+    rows = spark.createDataFrame([("x [来源99999999999999999999]",)], "text string")
+    assert evaluate.check_citations(rows, F.lit(3), F.lit(False)).first()["has_invalid"]
+    got = one(spark, understanding.time_range(F.lit("last 99999999999999999999 years"), 2026))
+    assert got["hi"] == 2026
+    frame = spark.createDataFrame([("-3",), ("12345678901234",), ("x",), (None,)], "n string")
+    assert [r["n"] for r in profile.sanitize(frame, [], ["n"]).collect()] == [-3, 12345678901234, 0, 0]
+
+
+def test_contexts_stay_within_their_budget(spark):
+    rows = [(1, i, 1.0 - i / 10, f"s{i}", " ".join(f"w{i}_{j}" for j in range(90)) + ". end", "J", 2020, "Results") for i in range(4)]
+    hits = spark.createDataFrame(rows, "query_id long, chunk_id long, final_score double, source string, text string, journal string, pub_year int, section string")
+    for budget in (50, 120, 160, 250, 1000):
+        (row,) = retrieval.contexts(hits, budget).collect() or [None] if budget > 50 else [None]
+        assert row is None or len(row["context"].split()) <= budget
+    assert retrieval.contexts(hits, 160).first()["n_selected"] == 2 and "[来源 2 | J 2020 | Results]" in retrieval.contexts(hits, 160).first()["context"]
+
+
+def test_body_chunks_and_articles(spark):
+    rows = [("d", i, t, s, p) for i, (t, s, p) in enumerate([("a " * 200, "M", "Methods > M"), ("b " * 90, "M", "Methods > M"), ("c " * 20, "M", "Methods > M"), ("e " * 700, "", ""), ("f", "M", "Methods > M")])]
+    got = chunking.body_chunks(spark.createDataFrame(rows, "doc_id string, pos int, text string, section_title string, section_path string")).orderBy("chunk_index").collect()
+    assert [r["chunk_id"] for r in got] == [f"d_body_{i:05d}" for i in range(len(got))] and {r["total_chunks"] for r in got} == {len(got)}
+    assert [(r["split_strategy"][0], r["token_count"], r["imrad_type"]) for r in got[:2]] == [("C", 291, "methods"), ("C", 21, "methods")]
+    assert all(r["split_strategy"] == "D_body_recursive" and r["token_count"] <= 400 and r["imrad_type"] == "other" for r in got[2:-1]) and got[-1]["text"] == "M\n\nf"
+    files = spark.createDataFrame([("a", ARTICLE.encode())], "path string, content binary")
+    chunks = chunking.article_chunks(markup.read_articles(files)).collect()
+    assert {r["split_strategy"] for r in chunks} == {"A_no_split", "C_body_merged"} and {r["journal"] for r in chunks} == {"PLoS ONE"}
+
+
+def test_evaluation(spark):
+    rows = spark.createDataFrame([("the cat sat", "the cat ran"), ("糖尿病 药", "糖尿病"), ("risk 5%", None)], "a string, r string")
+    a, b, c = evaluate.evaluation(rows, "a", "r").collect()
+    assert round(a["rouge_1"]["f1"], 4) == 0.6667 and a["rouge_2"]["f1"] == 0.5 and b["rouge_1"]["recall"] == 1 and b["rouge_1"]["precision"] == 0.75
+    assert c["rouge_1"] is None and c["key_info_recall"] is None and c["readability"]["n_sentences"] == 1
+
+
+def test_seen_registry_and_temperature(spark):
+    seen = spark.createDataFrame([("s", "a"), ("s", "b"), ("t", "a")], "session_id string, chunk_id string")
+    assert {r["session_id"]: r["seen"] for r in sessions.seen_ids(seen).collect()} == {"s": ["a", "b"], "t": ["a"]}
+    assert sessions.clear_seen(seen, seen.where("session_id = 's'")).count() == 1 and sessions.clear_seen(seen).count() == 0
+    assert [one(spark, sessions.cacheable(F.lit(x).cast("double"))) for x in (0.2, 0.3, None)] == [True, False, False]
