@@ -128,6 +128,7 @@ def keep_one(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFr
     classes: row (xxhash64 of key and text), id, component.  The kept rows' hashes are dealt out like the
     documents, so the choice among repeated rows needs no shuffle of its own.
     """
+    row, nth = fresh(docs.columns, "row"), fresh(docs.columns, "nth")
     first = classes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    kept = docs.withColumn("_row", F.xxhash64(key, text)).join(first.select(F.col("first.row").alias("_row")), "_row")
-    return kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))).where("_nth = 1").select(*docs.columns)
+    kept = docs.withColumn(row, F.xxhash64(key, text)).join(first.select(F.col("first.row").alias(row)), row)
+    return kept.withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(0)))).where(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))

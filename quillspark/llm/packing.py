@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, fresh, map_texts
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
 _tokenizers: dict[int, object] = {}
@@ -160,15 +160,15 @@ def pack(rows: DataFrame, *, length: str = "length", capacity: int = 2048, part_
     largest ``part_rows`` * 2 ** (``most_rounds`` - 1), bound what a task holds at any size of the table.
 
     Rows must have lengths from 1 to ``capacity``; equal lengths keep their order within a part; an empty table gives no rows;
-    columns named sequence_id or offset are replaced.
+    columns named sequence_id or offset are replaced, others stay whatever their names.
     """
     rows = rows.drop("sequence_id", "offset")
-    names = rows.columns
-    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    names, own = [F.col(f"`{c}`") for c in rows.columns], fresh(rows.columns, "row")
+    rows = cut(rows.withColumn(own, F.monotonically_increasing_id()))
     wrong = rows.where(f"`{length}` is null or `{length}` < 1 or `{length}` > {capacity}").limit(1).count()
     if wrong:
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    done = [rows.where(F.col(length) == capacity).select(*names, (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    done = [rows.where(F.col(length) == capacity).select(*names, (-F.col(own) - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     left = rows.where(F.col(length) < capacity)
     schema = "_row long, sequence_id long, offset long, closed boolean"
     for k in range(most_rounds):
@@ -178,12 +178,12 @@ def pack(rows: DataFrame, *, length: str = "length", capacity: int = 2048, part_
         parts, last = -(-n // (part_rows << k)), k == most_rounds - 1
         final = last or parts == 1
 
-        dealt = left.select("_row", F.col(length).alias("_length"), F.pmod(F.xxhash64("_row", F.lit(k)), F.lit(parts)).alias("_part"))
-        placed = cut(dealt.groupBy("_part").applyInPandas(_fill(capacity, k, final), schema))
-        done.append(left.join(placed.where("closed"), "_row").select(*names, "sequence_id", "offset"))
+        dealt = left.select(F.col(own).alias("_row"), F.col(length).alias("_length"), F.pmod(F.xxhash64(own, F.lit(k)), F.lit(parts)).alias("_part"))
+        placed = cut(dealt.groupBy("_part").applyInPandas(_fill(capacity, k, final), schema).withColumnRenamed("_row", own))
+        done.append(left.join(placed.where("closed").select(own, "sequence_id", "offset"), own).select(*names, "sequence_id", "offset"))
         if final:
             break
-        left = cut(left.join(placed.where("not closed").select("_row"), "_row"))
+        left = cut(left.join(placed.where("not closed").select(own), own))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -201,5 +201,7 @@ def certificate(packed: DataFrame, *, length: str = "length", capacity: int = 20
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str = "text", capacity: int = 2048) -> DataFrame:
     """Documents as packed pieces: key, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null keys are kept as they are, and rows that repeat are packed each."""
+    Null keys are kept as they are, and rows that repeat are packed each; null and empty texts are one id 0; an empty table gives no
+    rows.  A text is encoded whole, however long, in one task, and only longer documents than a sequence are cut; other columns are
+    ignored."""
     return pack(pieces(docs.select(key, text), tokenizer_path, text=text, capacity=capacity), capacity=capacity).select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
