@@ -148,7 +148,7 @@ def _rerank(kind: str, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, asks: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, curves: int = 16, dims: int = 4, bits: int = 12, window: float = 0.08, least_window: int = 512, block_rows: int = 4096, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, asks: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 10, curves: int = 16, dims: int = 4, bits: int = 12, window: float = 0.04, least_window: int = 512, block_rows: int = 4096, seed: int = 11) -> DataFrame:
     """The ``k`` nearest other rows found for each row that ``asks`` holds for: query_id, rank, vec_id, score.
 
     Each of ``curves`` Hilbert curves orders all vectors by a random orthonormal projection to ``dims``
