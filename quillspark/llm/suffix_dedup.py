@@ -30,9 +30,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` (a power of two) values, by doubling."""
     h, n, power = values, 1, MULTIPLIER
-    while n < size:
-        h = h[:-n] * power + h[n:]
-        n, power = 2 * n, power * power
+    with np.errstate(over="ignore"):  # arithmetic modulo 2 ** 64
+        while n < size:
+            h = h[:-n] * power + h[n:]
+            n, power = 2 * n, power * power
     return mix(h)
 
 
