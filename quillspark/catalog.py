@@ -52,8 +52,10 @@ def chunk_table(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source", F.col("source").alias("journal"), (2000 + F.col("doc_id") % 25).alias("pub_year"), section.alias("section"))
 
 
-def asked(spark):
-    return spark.createDataFrame(ASKED, "query_id long, query string")
+def asked(spark, d):
+    """The questions above, which meet every rule, and all texts of benchmark."""
+    own = table(spark, d, "benchmark").select((F.col("item_id") + 1000).alias("query_id"), F.col("text").alias("query"))
+    return spark.createDataFrame(ASKED, "query_id long, query string").unionByName(own)
 
 
 def hybrid_queries(spark, d):
@@ -248,36 +250,36 @@ def generate_answers(spark, d):
 
 # Understanding queries
 
-Q = rows("query_id, query", ASKED)
+Q = f"(select * from {rows('query_id, query', ASKED)} union all select item_id + 1000, text from benchmark)"
 ENTITIES = [(k, rf"\b(?:{p.lower()})\b") for k, p in CLASSES.items()]
 CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(query, '\s+', ' ', 'g'), '[。？！，、；：]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @query(f"select query_id, {CLEAN} as cleaned from {Q}")
 def query_clean(spark, d):
-    return asked(spark).select("query_id", understanding.clean(F.col("query")).alias("cleaned"))
+    return asked(spark, d).select("query_id", understanding.clean(F.col("query")).alias("cleaned"))
 
 
 @query(f"select query_id, replace(replace(replace(query, '糖尿病', 'diabetes'), '血压', 'blood pressure'), '糖尿病足', 'diabetic foot') as english, case when regexp_matches(query, '[一-鿿]') then 'zh' else 'en' end as language from {Q}")
 def query_translate(spark, d):
-    return asked(spark).select("query_id", understanding.translate(F.col("query"), CHINESE).alias("english"), T.language(F.col("query")).alias("language"))
+    return asked(spark, d).select("query_id", understanding.translate(F.col("query"), CHINESE).alias("english"), T.language(F.col("query")).alias("language"))
 
 
 @query(f"select query_id, kind, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(query), pattern))), ',') as found from {Q}, {rows('kind, pattern', ENTITIES)} where len(regexp_extract_all(lower(query), pattern)) > 0")
 def query_entities(spark, d):
-    found = asked(spark).select("query_id", F.explode(understanding.entities(F.col("query"), CLASSES)).alias("kind", "f"))
+    found = asked(spark, d).select("query_id", F.explode(understanding.entities(F.col("query"), CLASSES)).alias("kind", "f"))
     return found.select("query_id", "kind", F.array_join(F.array_sort("f"), ",").alias("found"))
 
 
 @query(f"select distinct query_id, term, array_to_string(expansions, '|') as expansions from (select query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_''-]+')) as term from {Q}) join {rows('term, expansions', SHORT)} using (term)")
 def query_abbrev(spark, d):
-    out = understanding.abbreviations(asked(spark), spark.createDataFrame(SHORT, "term string, expansions array<string>"))
+    out = understanding.abbreviations(asked(spark, d), spark.createDataFrame(SHORT, "term string, expansions array<string>"))
     return out.withColumn("expansions", F.array_join("expansions", "|"))
 
 
 @query(f"select query_id, term, array_to_string(expansions, '|') as expansions from {Q}, {rows('term, expansions', ALIKE)} where contains(lower(query), term)")
 def query_synonyms(spark, d):
-    out = understanding.synonyms(asked(spark), spark.createDataFrame(ALIKE, "term string, expansions array<string>"))
+    out = understanding.synonyms(asked(spark, d), spark.createDataFrame(ALIKE, "term string, expansions array<string>"))
     return out.withColumn("expansions", F.array_join("expansions", "|"))
 
 
@@ -291,21 +293,21 @@ def query_synonyms(spark, d):
  when regexp_matches(l, 'in\\s+(20\\d{{2}})') then [regexp_extract(l, 'in\\s+(20\\d{{2}})', 1)::int, regexp_extract(l, 'in\\s+(20\\d{{2}})', 1)::int]
  when regexp_matches(l, 'recent(?:ly)?') then [{NOW} - 5, {NOW}] end as t from q) select query_id, t[1] as lo, t[2] as hi from r""")
 def query_time_filter(spark, d):
-    return asked(spark).select("query_id", understanding.time_range(F.col("query"), NOW).alias("t")).select("query_id", "t.lo", "t.hi")
+    return asked(spark, d).select("query_id", understanding.time_range(F.col("query"), NOW).alias("t")).select("query_id", "t.lo", "t.hi")
 
 
 @query(f"""with h as (select query_id, section, count(*) as votes, min(ord) as ord from {Q}, {rows('word, section, ord', [(w, s, i) for i, (w, s) in enumerate(understanding.HINTS.items())])} where contains(lower(query), word) group by all)
 select query_id, section, votes from (select *, row_number() over (partition by query_id order by votes desc, ord) as n from h) where n = 1""")
 def query_imrad_vote(spark, d):
-    return understanding.section_votes(asked(spark))
+    return understanding.section_votes(asked(spark, d))
 
 
 @query(f"""with q as (select query_id, {CLEAN} as c from {Q}), e as (select query_id, flatten(list(expansions order by term)) as x from {Q}, {rows('term, expansions', ALIKE)} where contains(lower(query), term) group by query_id)
 select q.query_id, case when len(coalesce(list_filter(x, lambda v: not contains(lower(c), lower(v))), [])) = 0 then c else c || ' ' || array_to_string(list_filter(x, lambda v: not contains(lower(c), lower(v))), ' ') end as keyword_query from q left join e on q.query_id = e.query_id""")
 def query_keyword(spark, d):
     vocabulary = spark.createDataFrame(ALIKE, "term string, expansions array<string>")
-    more = understanding.synonyms(asked(spark), vocabulary).groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("term", "expansions"))), lambda e: e["expansions"])).alias("x"))
-    rows_ = asked(spark).join(more, "query_id", "left")
+    more = understanding.synonyms(asked(spark, d), vocabulary).groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("term", "expansions"))), lambda e: e["expansions"])).alias("x"))
+    rows_ = asked(spark, d).join(more, "query_id", "left")
     return rows_.select("query_id", understanding.keyword_query(understanding.clean(F.col("query")), F.col("x")).alias("keyword_query"))
 
 
@@ -859,7 +861,7 @@ def retry_instruction(spark, d):
 @query(f"""select c.query_id, cleaned, language, lo, hi, section, keyword_query from ({SQL['query_clean']}) c join ({SQL['query_translate']}) t on t.query_id = c.query_id join ({SQL['query_time_filter']}) y on y.query_id = c.query_id
  left join ({SQL['query_imrad_vote']}) s on s.query_id = c.query_id join ({SQL['query_keyword']}) k on k.query_id = c.query_id""")
 def query_process(spark, d):
-    return understanding.process(asked(spark), spark.createDataFrame(ALIKE, "term string, expansions array<string>"), NOW)
+    return understanding.process(asked(spark, d), spark.createDataFrame(ALIKE, "term string, expansions array<string>"), NOW)
 
 
 def understood(spark, asks):
@@ -869,7 +871,7 @@ def understood(spark, asks):
 
 @query()
 def query_understand(spark, d):
-    return understood(spark, asked(spark).unionByName(hybrid_queries(spark, d).select("query_id", "query")))
+    return understood(spark, asked(spark, d))
 
 
 @query()

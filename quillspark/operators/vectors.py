@@ -26,8 +26,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = N
     result has ``digits``.
     """
     rows = vectors if pool or where is None else vectors.where(where)
-    pairs = rows.crossJoin(queries)
-    pairs = (pairs if match is None else pairs.where(match)).withColumn("similarity", F.round(cosine(F.col(vector), F.col(asked)), GUARD))
+    own, theirs = dot(F.col(vector), F.col(vector)), dot(F.col(asked), F.col(asked))  # once a row, not once a pair
+    pairs = rows.withColumn("_own", own).crossJoin(queries.withColumn("_theirs", theirs))
+    near = dot(F.col(vector), F.col(asked)) / F.sqrt(F.col("_own") * F.col("_theirs"))
+    pairs = (pairs if match is None else pairs.where(match)).withColumn("similarity", F.round(near, GUARD)).drop("_own", "_theirs", asked, *([] if pool and where is not None else [vector]))
     order = Window.partitionBy(query).orderBy(F.desc("similarity"), key)
     if pool:
         pairs = pairs.withColumn("_pool", F.row_number().over(order)).where(F.col("_pool") <= pool)
