@@ -12,48 +12,108 @@ from pyspark.sql import functions as F
 from .common import components, cut, span
 from .vectors import by_length, stored, unit
 
-SIGNED = "t int, bucket int, id long, copies long, vec binary, sig binary"
-BLOCK = 1024
+BLOCK, HOT = 512, 1 << 18  # rows compared at once; hot buckets that may be broadcast, some 30 bytes each
 
 
 def planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
 
 
-def _signatures(tables: int, bits: int, seed: int, kind: str):
-    """A row for each usable vector and table, with the vector and its buckets in all tables."""
+def _signatures(tables: int, bits: int, seed: int):
+    """A row for each usable vector: its class, its length, its buckets in all tables, and all signs packed to whole 64-bit words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, x in by_length(batch.column("vec")):
-                own = batch.take(pa.array(at))
-                signs = (unit(x) @ planes(x.shape[1], tables, bits, seed) > 0).reshape(len(x), tables, bits)
-                sig = (signs @ (1 << np.arange(bits))).astype(np.int32)
-                vecs, sigs = pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(np.ascontiguousarray(sig[:, t])), own.column("rep"), own.column("copies"), vecs, sigs], names=["t", "bucket", "id", "copies", "vec", "sig"])
+                own, n = batch.take(pa.array(at)), len(x)
+                signs = unit(x) @ planes(x.shape[1], tables, bits, seed) > 0
+                buckets = signs.reshape(n, tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+                packed = np.zeros((n, -(-tables * bits // 64) * 8), np.uint8)
+                packed[:, : -(-tables * bits // 8)] = np.packbits(signs, axis=1)
+                lists = pa.ListArray.from_arrays(np.arange(0, n * tables + 1, tables, dtype=np.int32), buckets.ravel())
+                yield pa.RecordBatch.from_arrays([own.column("h1"), own.column("h2"), pa.array(np.full(n, x.shape[1], np.int32)), lists, pa.array([v.tobytes() for v in packed], pa.binary())], names=["h1", "h2", "dim", "buckets", "sig"])
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list]:
+    """Columns of each run of two rows or more whose first ``by`` columns agree: numbers as arrays, bytes as lists.  Rows come sorted, so one group at a time is held."""
+
+    def whole(parts):
+        return [np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for p in c for x in p] for c in zip(*parts)]
+
+    held, now = [], None
+    for batch in batches:
+        columns = [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in batch.columns]
+        keys = np.stack([c.astype(np.int64) for c in columns[:by]])
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for s, e in zip(edges, edges[1:]):
+            if s == e:
+                continue
+            if (key := keys[:, s].tolist()) != now:
+                if sum(len(h[0]) for h in held) > 1:
+                    yield whole(held)
+                held, now = [], key
+            held.append([c[s:e] for c in columns])
+    if sum(len(h[0]) for h in held) > 1:
+        yield whole(held)
+
+
+def _new(sig: np.ndarray, p: np.ndarray, q: np.ndarray, t: int, bits: int) -> np.ndarray:
+    """Whether table t is the first where p and q meet."""
+    if not t:
+        return np.ones(len(p), bool)
+    differ = np.unpackbits(sig[p] ^ sig[q], axis=1, count=t * bits).reshape(len(p), t, bits)
+    return differ.any(axis=2).all(axis=1)
+
+
+def _candidates(bits: int, most: int):
+    """Rows of each group that meet another there first, with at most ``most`` differing signs in all; groups come sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, dim, bucket, part, half, h1, h2, sigs in _groups(batches, 4):
+            n = len(half)
+            sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(n, -1)
+            words, on, crossed = sig.view(np.uint64), np.zeros(n, bool), bool(half.any())
+            for i in range(0, n, BLOCK):
+                far = np.zeros((min(BLOCK, n - i), n - i), np.uint16)
+                for w in words.T:
+                    far += np.bitwise_count(w[i : i + BLOCK, None] ^ w[None, i:])
+                near = np.triu(far <= most, 1)
+                if crossed:
+                    near &= half[i : i + BLOCK, None] != half[None, i:]
+                a, b = np.nonzero(near)
+                for k in range(0, len(a), 1 << 14):
+                    p, q = a[k : k + (1 << 14)] + i, b[k : k + (1 << 14)] + i
+                    open_ = ~(on[p] & on[q])
+                    p, q = p[open_], q[open_]
+                    new = _new(sig, p, q, int(t[0]), bits)
+                    on[p[new]] = on[q[new]] = True
+            if on.any():
+                kept = [pa.array(c[on]) for c in (t, dim, bucket, part, half, h1, h2)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([sigs[k] for k in np.flatnonzero(on)], pa.binary())], names=["t", "dim", "bucket", "part", "half", "h1", "h2", "sig"])
 
     return run
 
 
-def _compare(least: float, kind: str):
-    """Links of each bucket, or pair of blocks of a bucket, in one partition: id, n (links in its own table first), other (for the forest)."""
+def _compare(bits: int, least: float, kind: str):
+    """Links of each bucket, or pair of blocks of a bucket: id, n (links in its own table first), other (for the forest); groups come sorted."""
 
     def group(t: int, half, ids, copies, vecs, sigs):
         n = len(ids)
         x = unit(np.frombuffer(b"".join(vecs), kind).reshape(n, -1).astype(np.float64))
-        s = np.frombuffer(b"".join(sigs), np.int32).reshape(n, -1)[:, :t]
-        counts, rows = np.zeros(n, np.int64), []
+        sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(n, -1)
+        counts, rows, crossed = np.zeros(n, np.int64), [], bool(half.any())
         for i in range(0, n, BLOCK):
             near = x[i : i + BLOCK] @ x.T >= least
             near[np.arange(len(near)), np.arange(i, i + len(near))] = False
-            if half.any():
+            if crossed:
                 near &= half[i : i + BLOCK, None] != half[None, :]
             rows.append(np.packbits(near, axis=1))
             a, b = np.nonzero(near)
-            for k in range(0, len(a), 1 << 18):  # a pair counts in the first table where it meets
-                p, q = a[k : k + (1 << 18)] + i, b[k : k + (1 << 18)]
-                new = ~(s[p] == s[q]).any(axis=1)
+            for k in range(0, len(a), 1 << 14):  # a pair counts in the first table where it meets
+                p, q = a[k : k + (1 << 14)] + i, b[k : k + (1 << 14)]
+                new = _new(sig, p, q, t, bits)
                 np.add.at(counts, p[new], copies[q[new]])
         bitmap = np.concatenate(rows)
         if bitmap.any():
@@ -62,24 +122,25 @@ def _compare(least: float, kind: str):
             yield from ((int(a), 0, int(b)) for a, b in zip(ids[i], ids[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        t, bucket, part, half, ids, copies = (rows.column(c).to_numpy() for c in ("t", "bucket", "part", "half", "id", "copies"))
-        size = np.array([len(v) for v in rows.column("vec").to_pylist()])
-        by = (t, bucket, part, size)
-        order = np.lexsort((ids, half, *by[::-1]))
-        new = np.any([c[order][1:] != c[order][:-1] for c in by], axis=0)
-        starts = np.flatnonzero(np.concatenate(([True], new)))
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
-            at = order[s:e]
-            if len(at) > 1 and (found := list(group(int(t[at[0]]), half[at], ids[at], copies[at], *(rows.column(c).take(pa.array(at)).to_pylist() for c in ("vec", "sig"))))):
+        for t, _dim, _bucket, _part, half, ids, copies, vecs, sigs in _groups(batches, 4):
+            if found := list(group(int(t[0]), half, ids, copies, vecs, sigs)):
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=["id", "n", "other"])
 
     return run
 
 
+def _raw(kind: str):
+    """Each class's vector as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, x in by_length(batch.column("vec")):
+                own = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("h1", "h2", "rep", "copies")), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())], names=["h1", "h2", "id", "copies", "vec"])
+
+    return run
+
+
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = np.sort(np.concatenate([np.zeros(0, np.int64), *(a for a, _ in by_length(batch.column("vec")))]))
@@ -94,8 +155,10 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     at cosine 0.9 is found with a chance of 0.966, at 0.95 of 0.9997, at 0.99 of over 0.99999999.
 
     A bucket of more than ``bucket_rows`` rows is cut into blocks by hash, and each pair of blocks is a
-    group of its own, so no group grows with the data and no pair is lost.  Groups send counts and a
-    spanning forest, never their pairs.  Exact copies link with each other and share their other links:
+    group of its own, so no group grows with the data and no pair is lost.  First only the signs of all tables
+    go to the buckets, packed; two rows of a bucket go on if the number of signs that differ is at most five standard deviations over
+    what is expected at ``least`` (62 of 240), which loses a pair at ``least`` with a chance of about 3e-7, a nearer one with less.  Vectors follow
+    only into buckets where such a pair meets for the first time.  Groups send counts and a spanning forest, never their pairs.  Exact copies link with each other and share their other links:
     they go through the index once, with their number.
 
     Null, zero, null-holding or non-finite vectors keep their row and link with nothing; a null key
@@ -109,12 +172,20 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     named = good.select("id", F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit(1)).alias("h2"), "vec")  # copies: equal in 128 bits of hash
     named = cut(named.groupBy("id", "h1", "h2").agg(F.first("vec").alias("vec")))
     classes = named.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
-    sigs = classes.select("rep", "copies", "vec").mapInArrow(_signatures(tables, bits, seed, kind), SIGNED)
-    hot = sigs.groupBy("t", "bucket").count().where(F.col("count") > bucket_rows).select("t", "bucket", F.ceil(F.col("count") / bucket_rows).cast("int").alias("blocks"))
-    blocked = sigs.join(hot, ["t", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.expr("cast(pmod(xxhash64(id, t), blocks) as int)"))
+    sigs = classes.select("h1", "h2", "vec").mapInArrow(_signatures(tables, bits, seed), "h1 long, h2 long, dim int, buckets array<long>, sig binary")
+    placed = sigs.select("h1", "h2", "dim", "sig", F.posexplode("buckets").alias("t", "bucket"))
+    hot = cut(placed.groupBy("t", "dim", "bucket").count().where(F.col("count") > bucket_rows).select("t", "dim", "bucket", F.ceil(F.col("count") / bucket_rows).cast("int").alias("blocks")))
+    blocked = placed.join(F.broadcast(hot) if hot.count() <= HOT else hot, ["t", "dim", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    blocked = blocked.withColumn("own", F.expr("cast(pmod(xxhash64(h1, t), blocks) as int)"))
     places = F.expr("transform(sequence(0, blocks - 1), b -> struct(least(own, b) * blocks + greatest(own, b) as part, case when b = own then 0 when own < b then 1 else 2 end as half))")
-    groups = blocked.withColumn("p", F.explode(places)).select("t", "bucket", "p.part", "p.half", "id", "copies", "vec", "sig")
-    found = cut(groups.repartition("t", "bucket", "part").mapInArrow(_compare(least, kind), "id long, n long, other long"))
+    group = ["t", "dim", "bucket", "part"]
+    groups = blocked.withColumn("p", F.explode(places)).select("t", "dim", "bucket", "p.part", "p.half", "h1", "h2", "sig")
+    share = np.arccos(least) / np.pi  # of the signs, where two vectors at this cosine differ
+    most = int(np.ceil(tables * bits * share + 5 * np.sqrt(tables * bits * share * (1 - share))))
+    met = groups.repartition(*group).sortWithinPartitions(*group).mapInArrow(_candidates(bits, most), groups.schema)
+    vecs = classes.select("h1", "h2", "rep", "copies", "vec").mapInArrow(_raw(kind), "h1 long, h2 long, id long, copies long, vec binary")
+    near = met.join(vecs, ["h1", "h2"]).select(*group, "half", "id", "copies", "vec", "sig")
+    found = cut(near.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compare(bits, least, kind), "id long, n long, other long"))
     # Reps are unique only together with their class: an id may have several vectors.  Links of an id are those of all its vectors.
     counts = found.where("n > 0").groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "rep")
     owns = classes.select("h1", "h2", "rep", "copies").join(counts, "rep", "left").select("h1", "h2", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
