@@ -128,6 +128,14 @@ def bm25_topk(spark, d):
     return bm25.top(bm25.scores(table(spark, d, "documents"), asks), 10)
 
 
+@query(f"with {BM25} select query_id, chunk_id as doc_id, round(score, 6) as score, rank from kw where rank <= 10")
+def bm25_saved_topk(spark, d):
+    path = tables.workspace(spark, "bm25")
+    bm25.save(table(spark, d, "documents"), path)
+    asks = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return bm25.top(bm25.rank(*bm25.load(spark, path), asks), 10)
+
+
 @query(f"with {POSTINGS} select term, df, round(idf, 6) as idf from st")
 def bm25_term_stats(spark, d):
     return bm25.term_stats(*bm25.index(table(spark, d, "documents"))).select("term", "df", F.round("idf", 6).alias("idf"))

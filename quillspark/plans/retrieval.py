@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -18,13 +18,15 @@ def overlap(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, tokens(text))), F.size(q)), F.lit(0.0))
 
 
-def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now: int, k: int = 10, k_vector: int = 20, k_keyword: int = 20, strategy: str = "rrf", where: Column | None = None, filter_keywords: bool = False, weights: dict | None = None, authority: dict | None = None, understood: DataFrame | None = None) -> DataFrame:
+def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now: int, k: int = 10, k_vector: int = 20, k_keyword: int = 20, strategy: str = "rrf", where: Column | None = None, filter_keywords: bool = False, weights: dict | None = None, authority: dict | None = None, understood: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The k best chunks for each query.
 
     chunks: chunk_id, text, journal, pub_year and what ``where`` names; embeddings: chunk_id, embedding; queries: query_id, query,
     query_vector.  The filter holds for the vector path; for the keyword path only if asked for.
     understood: query_id, keyword_query, lo, hi, as ``understanding.understand`` gives them; then the keyword path asks for keyword_query, and
     without ``where`` each query's own range of pub_year is the filter.  A hit without a chunk row stays, its columns null.
+    index: postings and statistics by chunk_id of all chunks, as ``bm25.load`` gives them; without it, or where ``filter_keywords`` asks for those
+    of the filtered chunks only, they are built on the way.
     """
     asks, own = queries, understood is not None and where is None
     if understood is not None:
@@ -34,7 +36,8 @@ def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now:
     rows = embeddings.join(chunks.drop("text"), "chunk_id") if own or where is not None else embeddings
     near = vectors.knn(rows, asks.where("query_vector is not null").select("query_id", "query_vector", *range_), k_vector, where, key="chunk_id", match=within, digits=vectors.GUARD)
     text = chunks.where(where) if filter_keywords and where is not None else chunks
-    scored = bm25.scores(text, asks, key="chunk_id")
+    ready = index is not None and text is chunks
+    scored = bm25.rank(*index, asks, key="chunk_id") if ready else bm25.scores(text, asks, key="chunk_id")
     if own and filter_keywords:
         scored = scored.join(chunks.select("chunk_id", "pub_year"), "chunk_id").join(asks.select("query_id", "lo", "hi"), "query_id").where(within)
     ranked = bm25.top(scored.select("query_id", "chunk_id", "score"), k_keyword, key="chunk_id", digits=bm25.GUARD)
@@ -43,6 +46,20 @@ def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now:
     return fusion.rerank(full, now, overlap(F.col("query"), F.col("text")), weights, authority, k=k)
 
 
+def question(spark: SparkSession, query_id: int, query: str, vector: list[float] | None = None) -> DataFrame:
+    """One question as a table that needs no job: query_id, query, query_vector."""
+    own = F.array(*map(F.lit, vector)) if vector else F.lit(None)
+    return spark.sql("select 1").select(F.lit(query_id).cast("long").alias("query_id"), F.lit(query).alias("query"), own.cast("array<float>").alias("query_vector"))
+
+
+def ask(chunks: DataFrame, embeddings: DataFrame, index: tuple[DataFrame, DataFrame], now: int, query: str, vector: list[float] | None = None, **how) -> DataFrame:
+    """``retrieve`` for one question, with a saved index: its terms are literals, so that of the index only they are read."""
+    spark = chunks.sparkSession
+    one = question(spark, 0, query, vector)
+    terms = one.select(tokens(F.col("query"))).first()[0]
+    return retrieve(chunks, embeddings, one, now, index=bm25.only(index, sorted(set(terms))), **how)
+
+
 def contexts(hits: DataFrame, budget: int = 3000, most_per_source: int = 2, source: str = "source", least_left: int = 50) -> DataFrame:
     """One context a query: numbered blocks without near duplicates.  Headers count, and the block that overflows is cut at a sentence,
     so no context holds more than ``budget`` words."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -20,6 +23,16 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows
 
 
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder name that driver and executors share: below ``spark.checkpoint.dir``, or, for a local session without that, a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="quillspark-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def read_manifest(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     return clean_manifest(spark.read.option("header", True).schema(MANIFEST).option("enforceSchema", True).csv(path), limit)
 

@@ -340,3 +340,30 @@ def test_seen_registry_and_temperature(spark):
     assert {r["session_id"]: r["seen"] for r in sessions.seen_ids(seen).collect()} == {"s": ["a", "b"], "t": ["a"]}
     assert sessions.clear_seen(seen, seen.where("session_id = 's'")).count() == 1 and sessions.clear_seen(seen).count() == 0
     assert [one(spark, sessions.cacheable(F.lit(x).cast("double"))) for x in (0.2, 0.3, None)] == [True, False, False]
+
+
+def test_saved_postings(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta gamma"), (3, None), (4, ""), (5, "alpha alpha delta")], "doc_id long, text string")
+    asks = spark.createDataFrame([(1, "beta delta beta"), (2, "nothing known"), (3, None)], "query_id long, query string")
+    bm25.save(docs, f"{tmp_path}/index")
+    saved = bm25.load(spark, f"{tmp_path}/index")
+    want = sorted(map(tuple, bm25.scores(docs, asks).collect()))
+    assert want and sorted(map(tuple, bm25.rank(*saved, asks).collect())) == want
+    assert sorted(map(tuple, bm25.rank(*bm25.only(saved, ["beta", "delta"]), asks).collect())) == want
+    assert "In(term, [beta,delta])" in bm25.only(saved, ["beta", "delta"])[0]._jdf.queryExecution().executedPlan().toString()
+    bm25.save(docs.where("doc_id = 2"), f"{tmp_path}/index")  # replaces the first
+    assert {r["doc_id"] for r in bm25.rank(*bm25.load(spark, f"{tmp_path}/index"), asks).collect()} == {2}
+    bm25.save(docs.limit(0), f"{tmp_path}/none")
+    assert bm25.rank(*bm25.load(spark, f"{tmp_path}/none"), asks).count() == 0
+
+
+def test_ask_one_question(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, f"alpha word{i} beta", "j", 2000 + i, "s") for i in range(6)], "chunk_id long, text string, journal string, pub_year int, section string")
+    embeddings = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "chunk_id long, embedding array<float>")
+    bm25.save(chunks, f"{tmp_path}/index", key="chunk_id")
+    index = bm25.load(spark, f"{tmp_path}/index")
+    for text, vector in (("word3 alpha", [1.0, 3.0]), ("word3", None), ("", [1.0, 0.0]), ("unknown", None)):
+        own = retrieval.question(spark, 0, text, vector)
+        want = retrieval.retrieve(chunks, embeddings, own, 2026).orderBy("final_rank").collect()
+        assert retrieval.ask(chunks, embeddings, index, 2026, text, vector).orderBy("final_rank").collect() == want
+        assert bool(want) == (text != "unknown")
