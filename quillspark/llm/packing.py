@@ -23,8 +23,8 @@ def tokenizer(file: bytes):
     """A function from text to ids, uint32.  One a worker.
 
     A byte-level BPE file whose ids follow its merges is run by its ranks, which gives the same ids
-    several times faster; any other file by the tokenizers library.  The strings of special tokens are
-    ordinary text.
+    several times faster; any other file by the tokenizers library.  As there, a special token's string in a
+    text becomes that token's id; a file whose added tokens do more than that is left to the library.
     """
     if (found := _tokenizers.get(hash(file))) is None:
         found = _tokenizers[hash(file)] = _by_ranks(json.loads(file)) or _by_library(file)
@@ -35,13 +35,15 @@ def _by_library(file: bytes):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(file.decode())
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def _by_ranks(spec: dict):
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-    vocab, special = model.get("vocab"), {t["content"] for t in spec.get("added_tokens", [])}
+    added, vocab = spec.get("added_tokens", []), model.get("vocab")
+    if any(not t["special"] or t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        return None
+    special = {t["content"]: t["id"] for t in added}
     if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or pre.get("use_regex") is False or spec.get("normalizer") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
         return None
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -55,8 +57,8 @@ def _by_ranks(spec: dict):
     ranks = {bytes(chars[c] for c in token): i for token, i in vocab.items() if token not in special}
     # fixed value: the published word pattern of this kind of tokenizer
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: core.encode_to_numpy(text, disallowed_special=())
+    core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: core.encode_to_numpy(text, allowed_special="all")
 
 
 def cut_points(n: int, capacity: int) -> list[int]:
@@ -71,8 +73,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, text: str = "text", capacity
     """
     file = Path(tokenizer_path).read_bytes()
     own = ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    kept = [c for c in docs.columns if c not in (text, *own)]
-    rows = docs.select(*kept, F.col(text).alias("_text"))
+    kept = [c for c in docs.columns if c.lower() not in {text.lower(), *own}]
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias(fresh(kept, "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(file)

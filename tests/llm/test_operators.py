@@ -208,7 +208,6 @@ def test_sentencepiece_on_random_strings():
 
 def test_packing(docs, empty, rows):
     t = Tokenizer.from_file(BYTES)
-    t.encode_special_tokens = True
     got = packing.pack_documents(docs, BYTES)
     found = got.collect()
     want = Counter()
@@ -232,6 +231,20 @@ def test_packing(docs, empty, rows):
     assert packing.pack_documents(empty, BYTES).count() == 0
 
 
+def test_special_tokens_as_the_library(spark):
+    t = Tokenizer.from_file(BYTES)
+    mark, rng = "<|endoftext|>", random.Random(5)
+    texts = [f"a {mark} b", mark, f"{mark}{mark}", f" {mark} ", f"x  {mark}\n\n{mark}y's", "<|endoftext|", f"<{mark}>", f"ends  {mark}"]
+    parts = [mark, " ", "  ", "\n", "word", " word", "'s", "<|", "|>", "12", "é", "日本", "!"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(500)]
+    encode = packing.tokenizer(open(BYTES, "rb").read())
+    for text in texts:
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    docs = spark.createDataFrame([(i, x, f"t{i}") for i, x in enumerate(texts[:8])], "doc_id long, text string, _text string")
+    got = packing.pieces(docs, BYTES).collect()
+    assert [(r["_text"], r["length"]) for r in got] == [(f"t{i}", len(t.encode(x, add_special_tokens=False).ids) + 1) for i, x in enumerate(texts[:8])]
+
+
 def test_packing_in_many_parts(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([rng.randint(1, 600), rng.randint(700, 2048)])) for i in range(4000)]
