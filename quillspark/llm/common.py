@@ -33,6 +33,21 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def place(docs: DataFrame, name: str) -> int:
+    """Where the column of that name stands: as it is written, or else whatever the case."""
+    for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+        if found := [i for i, c in enumerate(docs.columns) if same(c)]:
+            return found[0]
+    raise ValueError(f"no column {name}")
+
+
+def any_names(docs: DataFrame, run, *columns: str) -> DataFrame:
+    """``run(rows, *names)``, where ``rows`` are ``docs`` under names that clash with nothing and ``names`` those of ``columns``; of what it returns
+    the columns of ``docs``, under their own names again.  Columns are told apart by place, so names may hold dots or differ only in case."""
+    names = [f"c{i}_" for i in range(len(docs.columns))]
+    return run(docs.toDF(*names), *(names[place(docs, c)] for c in columns)).select(*names).toDF(*docs.columns)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs a read, not a recomputation.
 

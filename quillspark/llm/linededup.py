@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import LEAST_LONG, cut, map_texts
+from .common import LEAST_LONG, any_names, cut, map_texts
 
 STRIP = b" \t\n\x0b\x0c\r"
 LINES = "h1 long, h2 long, did long, rid long, n int, at array<int>"
@@ -170,10 +170,10 @@ def keep_bitmaps(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the lines that stay as its text (null: empty), and the columns n_lines and n_dropped.
 
-    Columns of those names that docs already has are replaced.  Documents without a bitmap keep every line.  Bitmaps hold
+    Columns of those names that docs already has, in whatever case, are replaced.  Documents without a bitmap keep every line.  Bitmaps hold
     a bit for each line, far less than the texts they meet, so they are the side that a task holds, and texts aren't sorted.
     """
-    rest = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
+    rest = [c for c in docs.columns if c.lower() not in (text.lower(), "n_lines", "n_dropped")]
     rows = _keyed(docs, key, text, F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"))
     marks = bitmaps.select(F.col("did").alias("to"), F.col("rid").alias("of"), "keep")
     joined = rows.join(marks.hint("shuffle_hash"), (F.col("did") == F.col("to")) & (F.col("rid") == F.col("of")), "left").select("rest", "raw", "keep")
@@ -184,11 +184,16 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, key: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0].decode("utf-8", "replace") for x in got], pa.string()), *(pa.array([x[k] for x in got], pa.int64()) for k in (1, 2))], names=["rest", "kept", "lines", "dropped"])
 
     schema = StructType([rows.schema["rest"], StructField("kept", StringType()), StructField("lines", LongType()), StructField("dropped", LongType())])
-    own = {text: "kept", "n_lines": "lines", "n_dropped": "dropped"}
-    columns = [*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns)]
-    return map_texts(joined, cleaned, schema).select(*(F.col(own[c]).alias(c) if c in own else F.col("rest")[c].alias(c) for c in columns))
+    own = {text.lower(): "kept", "n_lines": "lines", "n_dropped": "dropped"}
+    columns = [*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in {d.lower() for d in docs.columns})]
+    return map_texts(joined, cleaned, schema).select(*(F.col(own[c.lower()]).alias(c) if c.lower() in own else F.col("rest")[c].alias(c) for c in columns))
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
     """``docs`` without the lines that ``keep_bitmaps`` drops; nulls, ties and repeats as described there."""
     return apply_bitmaps(docs, keep_bitmaps(docs, key=key, text=text, least_chars=least_chars, least_docs=least_docs), key=key, text=text)
+
+
+def drop_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``dedup_lines`` with the columns of ``docs`` alone: they may have any names, and an own n_lines stays as it is."""
+    return any_names(docs, lambda rows, k, t: dedup_lines(rows, key=k, text=t, **how), key, text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, map_texts
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
+# fixed values: the characters that Unicode calls white space; runs of so many are encoded by themselves
+LONG_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
 _tokenizers: dict[int, object] = {}
 
 
@@ -58,7 +61,20 @@ def _by_ranks(spec: dict):
     # fixed value: the published word pattern of this kind of tokenizer
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: core.encode_to_numpy(text, allowed_special="all")
+    run = tiktoken.Encoding("run", pat_str=r"(?s:.)+", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> np.ndarray:
+        """As the pattern has it; but a long run of white space is taken out first, as matching it would take a stack of its length.  Such a run is a word of
+        its own, without its last character where something else follows it in the text or before a special token."""
+        parts, at = [], 0
+        for m in LONG_BLANK.finditer(text):
+            end = m.end() if m.end() == len(text) or text.startswith(tuple(special), m.end()) else m.end() - 1
+            parts += [core.encode_to_numpy(text[at : m.start()], allowed_special="all"), run.encode_to_numpy(text[m.start() : end], disallowed_special=())]
+            at = end
+        rest = core.encode_to_numpy(text[at:], allowed_special="all")
+        return np.concatenate((*parts, rest)) if parts else rest
+
+    return encode
 
 
 def cut_points(n: int, capacity: int) -> list[int]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import any_names, map_texts
 
 BASE = ("assign", "access", "hex")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -162,15 +162,20 @@ def redacted(text: str, mark: str = "[secret]") -> str:
 
 
 def redact(docs: DataFrame, *, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of ``find_secrets`` replaced by ``mark``; overlapping spans are replaced once; null texts stay null."""
+    """``docs`` with every span of ``find_secrets`` replaced by ``mark``; overlapping spans are replaced once; null texts stay null.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            i = batch.schema.names.index(text)
-            new = pa.array([None if (t := x.as_py()) is None else redacted(t, mark) for x in batch.column(i)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:i], new, *batch.columns[i + 1 :]], names=batch.schema.names)
+    Rows are treated one by one: null keys and repeated rows like others, an empty table gives none, other columns stay whatever their names."""
+
+    def run(name: str):
+        def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                i = batch.schema.names.index(name)
+                new = pa.array([None if (t := x.as_py()) is None else redacted(t, mark) for x in batch.column(i)], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:i], new, *batch.columns[i + 1 :]], names=batch.schema.names)
+
+        return replaced
 
-    return map_texts(docs, run, docs.schema)
+    return any_names(docs, lambda rows, t: map_texts(rows, run(t), rows.schema), text)
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:

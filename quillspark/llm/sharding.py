@@ -11,8 +11,11 @@ BUCKET_BITS = 10
 
 
 def ring(spark, shards: int, vnodes: int) -> DataFrame:
-    """The virtual nodes in clockwise order: arc, pos, shard.  Arc i ends at the i-th virtual node."""
-    nodes = spark.range(0, shards * vnodes, 1, 1).select(F.expr(f"cast(id % {shards} as int)").alias("shard"), F.expr("xxhash64('ring', id)").alias("pos"))
+    """The virtual nodes in clockwise order: arc, pos, shard.  Arc i ends at the i-th virtual node.
+
+    A node's place comes from its shard and its number there alone, so another count of shards leaves the others' nodes where they are."""
+    nodes = spark.range(0, shards * vnodes, 1, 1).select(F.expr(f"cast(id % {shards} as int)").alias("shard"), F.expr(f"id div {shards}").alias("copy"))
+    nodes = nodes.select("shard", F.expr("xxhash64('ring', shard, copy)").alias("pos"))
     return nodes.select((F.row_number().over(Window.orderBy("pos", "shard")) - 1).alias("arc"), "pos", "shard")
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, keep_one, map_texts, span
+from .common import any_names, components, cut, keep_one, map_texts, span
 
 BITS, BLOCK, ROWS = 64, 1 << 15, 1 << 14
 PLACES = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
@@ -134,4 +134,4 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, segments: int = 2) -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest key, or any if all its keys are null."""
-    return keep_one(docs, _classes(docs, key, text, words, distance, segments), key, text)
+    return any_names(docs, lambda rows, k, t: keep_one(rows, _classes(rows, k, t, words, distance, segments), k, t), key, text)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, map_texts
+from .common import any_names, cut, map_texts
 
 WORD = re.compile(r"[^\W_]+")
 STARTS = (3, 4, 5, 6)
@@ -375,6 +375,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, ke
 
     Null and empty texts get the bias alone as their score, rows with null keys and repeated rows are judged like others, and an
     empty table gives none; without labels of both kinds every score is the share of label 1."""
-    column = fresh(docs.columns, "score")
-    scored = score(docs, train(docs, labels, key=key, text=text, **how), text=text, column=column)
-    return scored.where(F.col(column) < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    model = train(docs, labels, key=key, text=text, **how)
+    return any_names(docs, lambda rows, t: score(rows, model, text=t, column="score").where(F.col("score") < threshold), text)
