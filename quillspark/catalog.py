@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import bm25, chunking, context, evaluate, filters, fusion, profile, sessions, understanding, vectors
+from .operators import bm25, chunking, context, embedding, evaluate, filters, fusion, profile, sessions, understanding, vectors
 from .plans import retrieval
-from .sources import markup, tables
+from .sources import markup, tables, vectorfiles
+from .streaming import embedding as streamed
 from .streaming import ingest
 
 NOW = 2026
@@ -133,7 +134,7 @@ def bm25_saved_topk(spark, d):
     path = tables.workspace(spark, "bm25")
     bm25.save(table(spark, d, "documents"), path)
     asks = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return bm25.top(bm25.rank(*bm25.load(spark, path), asks), 10)
+    return bm25.rank_top(*bm25.load(spark, path), asks, 10)
 
 
 @query(f"with {POSTINGS} select term, df, round(idf, 6) as idf from st")
@@ -397,6 +398,15 @@ def body_chunks(spark, d):
     return chunking.body_chunks(body(spark, d), limit=128, size=100, overlap=20)
 
 
+#: What holds of every chunk whichever way its section was cut: its section's words, all of them, in order, and no chunk beyond the limit.
+@query(f"""with recursive {PARAGRAPHS.replace("select doc_id, t, len", "select doc_id, t, pos // 2 as s, len")}, x as (select distinct doc_id, s from k)
+select doc_id, count(*) as n_sections, (select sum(n)::bigint from k where k.doc_id = x.doc_id) as n_words from x group by doc_id""")
+def body_chunks_whole(spark, d):
+    """Documents with the sections that their chunks come from and the words that these hold, pieces without overlap."""
+    got = chunking.body_chunks(body(spark, d), limit=128, size=100, overlap=0)
+    return got.groupBy("doc_id").agg(F.countDistinct("section_path").alias("n_sections"), F.sum(F.col("token_count") - 2).alias("n_words"))
+
+
 @query("select doc_id, substring(coalesce(text, ''), 1, 200) as preview from documents")
 def text_preview(spark, d):
     return table(spark, d, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
@@ -676,6 +686,11 @@ def _pairs(spark, d):
     return own.join(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), T.words(F.lower("text")).alias("r")), "item_id")
 
 
+@query(SQL["rouge_2"].replace(f"{GRAMS.format('a')} as a, {GRAMS.format('r')} as r", "a, r"))
+def rouge_1(spark, d):
+    return _pairs(spark, d).select("item_id", evaluate.rouge_n(F.col("a"), F.col("r"), 1).alias("g")).select("item_id", "g.*")
+
+
 @query()
 def rouge_l(spark, d):
     return _pairs(spark, d).select("item_id", evaluate.rouge_l(F.col("a"), F.col("r")).alias("f1"))
@@ -869,7 +884,9 @@ def retry_instruction(spark, d):
 @query(f"""select c.query_id, cleaned, language, lo, hi, section, keyword_query from ({SQL['query_clean']}) c join ({SQL['query_translate']}) t on t.query_id = c.query_id join ({SQL['query_time_filter']}) y on y.query_id = c.query_id
  left join ({SQL['query_imrad_vote']}) s on s.query_id = c.query_id join ({SQL['query_keyword']}) k on k.query_id = c.query_id""")
 def query_process(spark, d):
-    return understanding.process(asked(spark, d), spark.createDataFrame(ALIKE, "term string, expansions array<string>"), NOW)
+    kind = "term string, expansions array<string>"
+    out = understanding.understand(asked(spark, d), spark.createDataFrame([], kind), spark.createDataFrame(ALIKE, kind), NOW)
+    return out.select("query_id", "cleaned", "language", "lo", "hi", "section", "keyword_query")
 
 
 def understood(spark, asks):
@@ -877,9 +894,27 @@ def understood(spark, asks):
     return understanding.understand(asks, spark.createDataFrame(SHORT, kind), spark.createDataFrame(ALIKE, kind), NOW, CHINESE, CLASSES)
 
 
-@query()
+ENGLISH = "replace(replace(replace(query, '糖尿病', 'diabetes'), '血压', 'blood pressure'), '糖尿病足', 'diabetic foot')"
+CLEANED = "(select query_id, cleaned as query from c)"
+UNDERSTOOD = f"""with c as (select query_id, raw, {CLEAN} as cleaned from (select query_id, query as raw, {ENGLISH} as query from {Q})),
+words as (select query_id, regexp_extract_all(lower(cleaned), '[\\p{{L}}\\p{{N}}_''-]+') as ws from c),
+ab as (select query_id, term, expansions, list_position(ws, term) as place from words, {rows('term, expansions', SHORT)} where list_contains(ws, term)),
+sy as (select query_id, term, min(place) as place, any_value(expansions) as expansions from (select query_id, term, expansions, 0 as place from c, {rows('term, expansions', ALIKE)} where contains(lower(cleaned), term)
+ union all select f.query_id, term, a.expansions, 1 from (select query_id, unnest(expansions) as term from ab) f join {rows('term, expansions', ALIKE)} a using (term)) group by query_id, term),
+la as (select query_id, string_agg(term || '=' || array_to_string(expansions, '|'), ';' order by place, term) as abbreviations, flatten(list(expansions order by place, term)) as x from ab group by query_id),
+ls as (select query_id, string_agg(term || '=' || array_to_string(expansions, '|'), ';' order by place, term) as synonyms, flatten(list(expansions order by place, term)) as x from sy group by query_id),
+en as (select query_id, string_agg(kind || '=' || found, ';' order by kind) as entities from ({SQL['query_entities'].replace(Q, CLEANED)}) group by query_id),
+ex as (select c.*, coalesce(abbreviations, '') as abbreviations, coalesce(synonyms, '') as synonyms, coalesce(entities, '') as entities, list_concat(coalesce(la.x, []), coalesce(ls.x, [])) as x from c left join la using (query_id) left join ls using (query_id) left join en using (query_id)),
+ey as (select *, list_filter(x, lambda v, i: list_position(x, v) = i) as own from ex), ez as (select *, list_filter(own, lambda v: not contains(lower(cleaned), lower(v))) as more from ey)
+select ez.query_id, cleaned, language, entities, abbreviations, synonyms, array_to_string(own, '|') as expanded_terms, '{understanding.PREFIX}' || raw as vector_query, case when len(more) = 0 then cleaned else cleaned || ' ' || array_to_string(more, ' ') end as keyword_query, lo, hi, section
+from ez join ({SQL['query_translate']}) t using (query_id) join ({SQL['query_time_filter'].replace(Q, CLEANED)}) y using (query_id) left join ({SQL['query_imrad_vote'].replace(Q, CLEANED)}) s using (query_id)"""
+
+
+@query(UNDERSTOOD)
 def query_understand(spark, d):
-    return understood(spark, asked(spark, d))
+    listed = lambda m, sep: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], sep))), ";")
+    kinds = F.map_from_entries(F.array_sort(F.map_entries(F.transform_values("entities", lambda _, v: F.array_sort(v)))))
+    return understood(spark, asked(spark, d)).withColumns({"entities": listed(kinds, ","), "abbreviations": listed(F.col("abbreviations"), "|"), "synonyms": listed(F.col("synonyms"), "|"), "expanded_terms": F.array_join("expanded_terms", "|")})
 
 
 @query()
@@ -889,6 +924,82 @@ def hybrid_understood(spark, d):
     return hits.select("query_id", "chunk_id", "final_score", "final_rank")
 
 
+# Texts to vectors
+
+
+ASCII = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def hashed(c: str) -> str:
+    """SQL: how often each word stands, and its place and sign."""
+    return f"select id, sum(case when ('0x' || substr(md5(w), 9, 1))::bigint % 2 = 1 then -1 else 1 end)::double as v, ('0x' || substr(md5(w), 1, 8))::bigint % 128 as i from (select id, unnest(regexp_extract_all({ASCII.format(c)}, '[a-z0-9]+')) as w from x) group by all having v <> 0"
+
+
+SHAPE = """n as (select id, sqrt(sum(v * v)) as norm, count(*) as n from h group by id),
+s as (select x.id, coalesce(n.n, 0) as n_used, round(coalesce((select sum(v * (i + 1)) / any_value(norm) from h where h.id = x.id), 0), 5) as moment, case when n.n is null then 0.0::double else 1.0 end as norm from x left join n on n.id = x.id)"""
+
+
+def shape(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """What is compared of a vector: components that aren't zero, a weighted sum, the length."""
+    weighted = F.aggregate(F.transform(vector, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rows.select(key, F.size(F.filter(vector, lambda v: v != 0)).cast("long").alias("n_used"), F.round(weighted, 5).alias("moment"), F.round(F.sqrt(vectors.dot(F.col(vector), F.col(vector))), 6).alias("norm"))
+
+
+@query(f"with x as (select doc_id as id, text from documents), h as ({hashed('text')}), {SHAPE} select id as doc_id, n_used, moment, norm from s")
+def embed_documents(spark, d):
+    return shape(embedding.embed_documents(table(spark, d, "documents"), kind="double"), "doc_id", "embedding")
+
+
+@query(f"with x as (select item_id as id, '{embedding.INSTRUCTION}' || trim(text) as text from benchmark where trim(text) <> ''), h as ({hashed('text')}), {SHAPE} select id as item_id, n_used, moment, norm from s")
+def embed_queries(spark, d):
+    asks = table(spark, d, "benchmark").where(F.trim("text") != "")
+    return shape(embedding.embed_queries(asks, "text", kind="double"), "item_id", "query_vector")
+
+
+@query("select vec_id, label::varchar as batch, embedding[1]::double as first, embedding[len(embedding)]::double as last, len(embedding)::bigint as n from embeddings where label <> 3")
+def vector_files(spark, d):
+    rows, _ = vectorfiles.read_pairs(spark, _vector_pairs(spark, d))
+    return rows.select("vec_id", F.col("stem").alias("batch"), F.col("embedding")[0].cast("double").alias("first"), F.element_at("embedding", -1).cast("double").alias("last"), F.size("embedding").cast("long").alias("n"))
+
+
+@query("select label::varchar as batch, count(*) as n_rows, case when label = 3 then count(*) - 1 else count(*) end as n_vectors, label <> 3 as used from embeddings group by label")
+def vector_files_report(spark, d):
+    return vectorfiles.read_pairs(spark, _vector_pairs(spark, d))[1].withColumnRenamed("stem", "batch")
+
+
+def _vector_pairs(spark, d) -> str:
+    """All embeddings as pairs of files, a pair a label; then the matrix of label 3 once more, without its last row."""
+    path, rows = tables.workspace(spark, "pairs"), _vectors(spark, d).withColumn("label", F.col("label").cast("string"))
+    vectorfiles.write_pairs(rows, path, "label", "vec_id")
+    last = rows.where("label = '3'").agg(F.max("vec_id").alias("last"))
+    short = rows.where("label = '3'").crossJoin(F.broadcast(last)).where("vec_id < last").drop("last")  # one row
+    vectorfiles.write_pairs(short, path, "label", "vec_id", matrices_only=True)
+    return path
+
+
+@query(SQL["embed_documents"])
+def embedding_stream(spark, d):
+    """Both phases twice: the second time there is nothing new."""
+    path, rows = tables.workspace(spark, "embedding"), spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    for _ in range(2):
+        streamed.embed_stream(spark, f"{d}/documents.parquet", rows.schema, f"{path}/staged", f"{path}/one", key="doc_id", kind="double").awaitTermination()
+        staged = spark.read.parquet(f"{path}/staged").drop("batch").schema
+        streamed.load_stream(spark, f"{path}/staged", staged, f"{path}/index", f"{path}/two", key="doc_id").awaitTermination()
+    return shape(tables.read_index(spark, f"{path}/index", "doc_id"), "doc_id", "embedding")
+
+
+@query("""select doc_id, md5(case when doc_id % 100 = 7 then 'new ' || coalesce(text, '') when doc_id % 50 = 3 then 'twice' else coalesce(text, '') end) as text_md5 from documents union all select -1 - doc_id, md5('added') from documents where doc_id % 200 = 9""")
+def index_upsert(spark, d):
+    """All documents, then three batches: a hundredth replaced, others replaced twice, some added."""
+    path, rows = tables.workspace(spark, "index"), table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    tables.write_index(rows, path, "doc_id")
+    tables.write_index(rows.where("doc_id % 50 = 3").withColumn("text", F.lit("once")), path, "doc_id")
+    changed = rows.where("doc_id % 100 = 7").withColumn("text", F.concat(F.lit("new "), "text"))
+    added = rows.where("doc_id % 200 = 9").select((-1 - F.col("doc_id")).alias("doc_id"), F.lit("added").alias("text"))
+    tables.write_index(changed.unionByName(added).unionByName(rows.where("doc_id % 50 = 3").withColumn("text", F.lit("twice"))), path, "doc_id")
+    return tables.read_index(spark, path, "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 

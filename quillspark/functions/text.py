@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ def tokens(text: Column, stopwords=STOPWORDS) -> Column:
     return F.filter(found, lambda t: ~t.isin(*stopwords)) if stopwords else found
 
 
+def text_tokens(text: str | None, stopwords=STOPWORDS) -> list[str]:
+    """``tokens`` of one string in Python."""
+    return [t for t in re.findall(TOKEN, (text or "").lower()) if t not in stopwords]
+
+
 def words(text: Column) -> Column:
     """What white space separates."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x09-\x0D\x20]+"), lambda w: w != "")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.text import imrad, kept_type, words
 
@@ -36,19 +38,53 @@ def islands(rows: DataFrame, path: str, key: str = "doc_id", pos: str = "pos") -
 
 
 def merge_paragraphs(rows: DataFrame, target: int = TARGET, group=("doc_id",), pos: str = "pos", text: str = "text", tokens: str = "token_count") -> DataFrame:
-    """Neighbouring paragraphs joined while they hold ``target`` tokens at most; one that is longer stays alone.  A group is one
-    document or section, folded as an array."""
-    lists = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"), F.col(tokens).cast("long").alias("n")))).alias("all"))
-    empty = F.expr("cast(array() as array<struct<t: array<string>, n: bigint>>)")
-
-    def step(got, x):
-        last = F.element_at(got, -1)  # the fold starts from the first paragraph, so there is one
-        joined = F.concat(F.slice(got, 1, F.size(got) - 1), F.array(F.struct(F.concat(last["t"], F.array(x["t"])).alias("t"), (last["n"] + x["n"]).alias("n"))))
-        return F.when(last["n"] + x["n"] <= target, joined).otherwise(F.concat(got, F.array(F.struct(F.array(x["t"]).alias("t"), x["n"].alias("n")))))
-
-    first = F.array(F.struct(F.array(F.col("all")[0]["t"]).alias("t"), F.col("all")[0]["n"].alias("n")))
-    folded = lists.select(*group, F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.concat(empty, first), step).alias("m"))
-    return folded.select(*group, F.posexplode("m").alias("chunk_index", "c")).select(*group, "chunk_index", F.array_join("c.t", "\n\n").alias("text"), F.col("c.n").alias("token_count"))
+    """Neighbouring paragraphs joined while they hold ``target`` tokens at most; one that is longer stays alone.
+
+    Groups (documents or sections) are dealt out by hash and sorted within partitions; a task streams them with the open chunk alone in hand, so the
+    work is linear and a group of any length needs no more memory than a chunk.  Equal positions go by text; null texts and counts are empty and 0.
+    """
+    n = len(group)
+    own = rows.select(*(F.col(g).alias(f"g{i}") for i, g in enumerate(group)), F.col(pos).alias("pos"), F.col(text).alias("text"), F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("n"))
+    names = [f"g{i}" for i in range(n)]
+    schema = StructType([*(own.schema[c] for c in names), StructField("chunk_index", IntegerType()), StructField("text", StringType()), StructField("token_count", LongType())])
+    ordered = own.repartition(*names).sortWithinPartitions(*names, "pos", "text", "n").drop("pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = None
+        out: list[list] = [[] for _ in range(n + 3)]
+        now, index, texts, held, size = None, 0, [], 0, 0
+
+        def put(*values) -> None:
+            for column, v in zip(out, values):
+                column.append(v)
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=schema.names)
+            for column in out:
+                column.clear()
+            return batch
+
+        for batch in batches:
+            kinds = kinds or [*batch.schema.types[:n], pa.int32(), pa.string(), pa.int64()]
+            columns = [c.to_pylist() for c in batch.columns]
+            for *own_, t, k in zip(*columns):
+                if own_ != now or held + k > target:
+                    if now is not None:
+                        put(*now, index, "\n\n".join(texts), held)
+                        size += sum(map(len, texts))
+                    index, now = (index + 1 if own_ == now else 0), own_
+                    texts, held = [], 0
+                texts += [t] if t is not None else []
+                held += k
+                if len(out[0]) >= 10_000 or size >= 1 << 24:
+                    yield flush()
+                    size = 0
+        if now is not None:
+            put(*now, index, "\n\n".join(texts), held)
+            yield flush()
+
+    merged = ordered.mapInArrow(run, schema)
+    return merged.select(*(F.col(f"g{i}").alias(g) for i, g in enumerate(group)), "chunk_index", "text", "token_count")
 
 
 def split_recursively(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: list[str] | None = None, length=lambda s: len(s.split())) -> list[str]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strings
+from . import dictionary
 
 # fixed values: hints that a query wants a kind of section, in the order in which ties are settled
 HINTS = {
@@ -45,11 +46,9 @@ def abbreviations(queries: DataFrame, vocabulary: DataFrame, query: str = "query
 
 
 def synonyms(queries: DataFrame, vocabulary: DataFrame, query: str = "query_id", text: str = "query") -> DataFrame:
-    """(query, term, expansions): vocabulary terms that are in the query's text, also inside words; the vocabulary is folded into one
-    row, so it should be small."""
-    terms = vocabulary.agg(F.collect_list(F.struct("term", "expansions")).alias("v"))  # one row
-    hits = queries.crossJoin(F.broadcast(terms)).select(query, F.explode(F.filter("v", lambda e: F.contains(F.lower(F.col(text)), F.lower(e["term"])))).alias("e"))
-    return hits.select(query, "e.term", "e.expansions")
+    """(query, term, expansions): vocabulary terms that are in the query's text, also inside words.  An automaton finds them, whatever the size of the vocabulary."""
+    found = dictionary.matches(queries, vocabulary, query, text).select(query, F.col("term").alias("_found"))
+    return found.join(vocabulary.select("term", "expansions"), F.lower("term") == F.col("_found")).select(query, "term", "expansions")
 
 
 def time_range(query: Column, year: int) -> Column:
@@ -93,18 +92,6 @@ def merge_vocabularies(base: DataFrame, more: DataFrame) -> DataFrame:
     return b.join(m, "term", "full_outer").select("term", F.concat(own, fresh).alias("expansions"))
 
 
-def process(queries: DataFrame, vocabulary: DataFrame, year: int, query: str = "query_id", text: str = "query") -> DataFrame:
-    """(query, cleaned, language, lo, hi, section, keyword_query): all that is understood of each query, one row each."""
-    from ..functions.text import language
-
-    cleaned = clean(F.col(text))
-    own = queries.select(query, text, cleaned.alias("cleaned"), language(F.col(text)).alias("language"), time_range(F.col(text), year).alias("_t"))
-    terms = synonyms(queries, vocabulary, query, text).groupBy(query).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("term", "expansions"))), lambda e: e["expansions"])).alias("_x"))
-    votes = section_votes(queries, None, query, text).select(query, "section")
-    out = own.join(terms, query, "left").join(votes, query, "left")
-    return out.select(query, "cleaned", "language", F.col("_t.lo").alias("lo"), F.col("_t.hi").alias("hi"), "section", keyword_query(F.col("cleaned"), F.col("_x")).alias("keyword_query"))
-
-
 def understand(queries: DataFrame, short: DataFrame, alike: DataFrame, year: int, chinese: list[tuple[str, str]] = (), patterns: dict[str, str] | None = None, prefix: str = PREFIX, query: str = "query_id", text: str = "query") -> DataFrame:
     """All of it at once, in this order: translate, clean, entities, abbreviations, synonyms (also of the abbreviations' full forms), time
     range, section, queries for both paths.  One row each: query, cleaned, language, entities, abbreviations and synonyms (maps),

@@ -1,11 +1,18 @@
-"""Exact nearest neighbours by cosine, for many queries, with filters before or after."""
+"""Exact nearest neighbours by cosine: matrix products of rows with a bounded block of questions, filters before or after."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GUARD = 12  # digits that ranks look at
+BLOCK_BYTES = 32 << 20  # questions' vectors that a task holds at once
+SLAB = 1 << 22  # cosines that are worked out at once
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -16,22 +23,109 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, pool: int | None = None, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", asked: str = "query_vector", match: Column | None = None, digits: int = 6) -> DataFrame:
+def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of ``dim`` finite components that aren't all zero, and those vectors at length 1, in doubles."""
+    full = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(full)
+    flat = (column if len(at) == len(column) and not column.null_count else column.take(pa.array(at))).flatten()
+    x = np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(at), dim)
+    fine = np.isfinite(x).all(axis=1) & x.any(axis=1)
+    if not fine.all():
+        at, x = at[fine], x[fine]
+    x = x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x  # so that squares stay in range
+    return at, x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _best(asks: pa.Table, k: int, ranges: bool):
+    """For each batch of rows the questions' k nearest of the batch that aren't below the k-th best of earlier batches: question, key, similarity, pass."""
+    dims = pc.list_value_length(asks.column("v").combine_chunks())
+    blocks = []
+    for dim in dims.unique().to_pylist():
+        if dim:
+            part = asks.filter(pc.fill_null(pc.equal(dims, dim), False))
+            at, q = matrix(part.column("v").combine_chunks(), dim)
+            part = part.take(pa.array(at))
+            spans = [part.column(c).fill_null(d).to_numpy() for c, d in (("lo", -(2**62)), ("hi", 2**62))] if ranges else None
+            blocks.append((dim, q, part.column("q").combine_chunks(), spans))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors = [np.full(len(q), -np.inf) for _, q, _, _ in blocks]
+        for batch in batches:
+            order = pc.sort_indices(batch.column("key"), null_placement="at_start")  # as ties are settled
+            batch = batch.take(order)
+            keys, passes = batch.column("key"), batch.column("pass")
+            for (dim, q, names, spans), floor in zip(blocks, floors):
+                at, x = matrix(batch.column("v"), dim)
+                if not len(at):
+                    continue
+                value = batch.column("value").to_numpy(zero_copy_only=False)[at] if spans else None
+                step = max(1, SLAB // len(at))
+                for begin in range(0, len(q), step):
+                    end = min(begin + step, len(q))
+                    near = np.round(q[begin:end] @ x.T, GUARD)
+                    if spans:
+                        lo, hi = (s[begin:end, None] for s in spans)
+                        open_ = (lo == -(2**62)) | ((value >= lo) & (value <= hi))
+                        near = np.where(open_, near, -np.inf)
+                    if near.shape[1] > k:
+                        kth = np.partition(near, near.shape[1] - k, axis=1)[:, -k]
+                    else:
+                        kth = near.min(axis=1)
+                    least = np.maximum(floor[begin:end], np.where(np.isfinite(kth), kth, -1e9))
+                    ask, row = np.nonzero(near >= least[:, None])
+                    value_ = near[ask, row]
+                    by = np.lexsort((row, -value_, ask))
+                    ask, row, value_ = ask[by], row[by], value_[by]
+                    first = np.searchsorted(ask, ask)  # of each question at most k go on; those left are the latest of equal ones
+                    some = np.arange(len(ask)) - first < k
+                    ask, row, value_ = ask[some], row[some], value_[some]
+                    if near.shape[1] >= k:
+                        floor[begin:end] = np.maximum(floor[begin:end], np.where(np.isfinite(kth), kth, -np.inf))
+                    if len(ask):
+                        rows = pa.array(at[row])
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(ask + begin)), keys.take(rows), pa.array(value_), passes.take(rows)], names=["q", "key", "similarity", "pass"])
+
+    return run
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, pool: int | None = None, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", asked: str = "query_vector", within: tuple[str, str, str] | None = None, digits: int = 6, number: int | None = None) -> DataFrame:
     """The k nearest rows for each query by cosine, ranks from 1: query, key, similarity, rank.
 
     ``where`` filters before ranking, so nothing is lost.  With ``pool`` the ``pool`` nearest are taken first and
-    filtered then, as an index without filters would do; fewer than k may stay.  ``match`` says, before ranking, which rows a
-    query may have, by columns of both.  Queries are a stated set: every row is compared with
-    every query, and only k rows a query leave each task.  Ranks come from cosines of GUARD digits, so that equal vectors tie; the
-    result has ``digits``.
+    filtered then, as an index without filters would do; fewer than k may stay (``pool_size`` is the usual choice).  ``within`` (a whole-number column of
+    the rows, two of the queries): a query may only have rows whose value is between its two; a query without a first one may have all.
+
+    Queries are a stated set.  They are dealt by hash into blocks of BLOCK_BYTES, mostly one; a block goes to the tasks as a matrix, and each batch of rows
+    meets it in a matrix product.  What leaves a task are rows among the k best of its batch and no worse than the k-th of those before; per partition
+    and then per query Spark merges them.  Ranks come from cosines of GUARD digits, so that equal vectors tie, to the smaller key; the result has
+    ``digits``.  Vectors that are null, zero, of another length or hold null or non-finite components take no part, on either side.  ``number``: how many
+    queries there are, where that is known and few, which spares counting them.
     """
     rows = vectors if pool or where is None else vectors.where(where)
-    own, theirs = dot(F.col(vector), F.col(vector)), dot(F.col(asked), F.col(asked))  # once a row, not once a pair
-    pairs = rows.withColumn("_own", own).crossJoin(queries.withColumn("_theirs", theirs))
-    near = dot(F.col(vector), F.col(asked)) / F.sqrt(F.col("_own") * F.col("_theirs"))
-    pairs = (pairs if match is None else pairs.where(match)).withColumn("similarity", F.round(near, GUARD)).drop("_own", "_theirs", asked, *([] if pool and where is not None else [vector]))
-    order = Window.partitionBy(query).orderBy(F.desc("similarity"), key)
+    passed = F.coalesce(where, F.lit(False)) if pool and where is not None else F.lit(True)
+    value = [F.col(within[0]).cast("long").alias("value")] if within else []
+    rows = rows.select(F.col(key).alias("key"), F.col(vector).alias("v"), passed.alias("pass"), *value)
+    ranges = [F.col(within[1]).cast("long").alias("lo"), F.col(within[2]).cast("long").alias("hi")] if within else []
+    asks = queries.select(F.col(query).alias("q"), F.col(asked).alias("v"), *ranges)
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((asks, "q"), (rows, "key"))]
+    width = 1
+    if number is None:
+        number, width = asks.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    blocks = max(1, -(-number * max(width, 1) * 8 // BLOCK_BYTES))
+    found = None
+    for b in range(blocks):
+        held = (asks.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else asks).toArrow()  # BLOCK_BYTES, about
+        part = rows.mapInArrow(_best(held, pool or k, bool(within)), f"q {kinds[0]}, key {kinds[1]}, similarity double, pass boolean")
+        found = part if found is None else found.unionByName(part)
+    if number == 1 and not pool:  # one question needs no shuffle: each task's best are merged where the result is read
+        found = found.orderBy(F.desc("similarity"), "key").limit(k)
+    order = Window.partitionBy("q").orderBy(F.desc("similarity"), "key")
     if pool:
-        pairs = pairs.withColumn("_pool", F.row_number().over(order)).where(F.col("_pool") <= pool)
-        pairs = pairs.where(where) if where is not None else pairs
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, key, F.round("similarity", digits).alias("similarity"), "rank")
+        found = found.withColumn("_pool", F.row_number().over(order)).where(F.col("_pool") <= pool).where("pass")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias(query), F.col("key").alias(key), F.round("similarity", digits).alias("similarity"), "rank")
+
+
+def pool_size(k: int, count: int, most: int = 2000) -> int:
+    """How many rows to take before a filter on ranges: ten times as many as asked for, 50 at least, no more than there are or ``most``."""
+    return min(max(10 * k, 50), count, most)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from ..functions.text import tokens
+from ..functions.text import text_tokens, tokens
 from ..operators import bm25, context, fusion, vectors
 
 
@@ -32,15 +36,18 @@ def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now:
     if understood is not None:
         asks = queries.select("query_id", "query_vector").join(understood.select("query_id", F.col("keyword_query").alias("query"), "lo", "hi"), "query_id")
     range_ = ["lo", "hi"] if own else []
-    within = F.col("lo").isNull() | F.col("pub_year").between(F.col("lo"), F.col("hi")) if own else None
+    within = ("pub_year", "lo", "hi") if own else None
     rows = embeddings.join(chunks.drop("text"), "chunk_id") if own or where is not None else embeddings
-    near = vectors.knn(rows, asks.where("query_vector is not null").select("query_id", "query_vector", *range_), k_vector, where, key="chunk_id", match=within, digits=vectors.GUARD)
+    near = vectors.knn(rows, asks.where("query_vector is not null").select("query_id", "query_vector", *range_), k_vector, where, key="chunk_id", within=within, digits=vectors.GUARD)
     text = chunks.where(where) if filter_keywords and where is not None else chunks
     ready = index is not None and text is chunks
-    scored = bm25.rank(*index, asks, key="chunk_id") if ready else bm25.scores(text, asks, key="chunk_id")
-    if own and filter_keywords:
-        scored = scored.join(chunks.select("chunk_id", "pub_year"), "chunk_id").join(asks.select("query_id", "lo", "hi"), "query_id").where(within)
-    ranked = bm25.top(scored.select("query_id", "chunk_id", "score"), k_keyword, key="chunk_id", digits=bm25.GUARD)
+    if ready and not (own and filter_keywords):
+        ranked = bm25.rank_top(*index, asks, k_keyword, key="chunk_id", digits=bm25.GUARD)
+    else:
+        scored = bm25.rank(*index, asks, key="chunk_id") if ready else bm25.scores(text, asks, key="chunk_id")
+        if own and filter_keywords:
+            scored = scored.join(chunks.select("chunk_id", "pub_year"), "chunk_id").join(asks.select("query_id", "lo", "hi"), "query_id").where(F.col("lo").isNull() | F.col("pub_year").between(F.col("lo"), F.col("hi")))
+        ranked = bm25.top(scored.select("query_id", "chunk_id", "score"), k_keyword, key="chunk_id", digits=bm25.GUARD)
     fused = fusion.fuse(fusion.merge(near, ranked), strategy)
     full = fused.join(chunks, "chunk_id", "left").join(queries.select("query_id", "query"), "query_id")
     return fusion.rerank(full, now, overlap(F.col("query"), F.col("text")), weights, authority, k=k)
@@ -52,12 +59,45 @@ def question(spark: SparkSession, query_id: int, query: str, vector: list[float]
     return spark.sql("select 1").select(F.lit(query_id).cast("long").alias("query_id"), F.lit(query).alias("query"), own.cast("array<float>").alias("query_vector"))
 
 
-def ask(chunks: DataFrame, embeddings: DataFrame, index: tuple[DataFrame, DataFrame], now: int, query: str, vector: list[float] | None = None, **how) -> DataFrame:
-    """``retrieve`` for one question, with a saved index: its terms are literals, so that of the index only they are read."""
-    spark = chunks.sparkSession
-    one = question(spark, 0, query, vector)
-    terms = one.select(tokens(F.col("query"))).first()[0]
-    return retrieve(chunks, embeddings, one, now, index=bm25.only(index, sorted(set(terms))), **how)
+def few(spark: SparkSession, rows: list, schema: StructType) -> DataFrame:
+    """A handful of rows as one partition that needs no job and no shuffle: they stand in the plan."""
+    kind = ArrayType(schema)
+    text = json.dumps([r.asDict(recursive=True) for r in rows], ensure_ascii=False, default=str)
+    return spark.sql("select 1").select(F.inline(F.from_json(F.lit(text), kind)))
+
+
+def ask(chunks: DataFrame, embeddings: DataFrame, index: tuple[DataFrame, DataFrame], now: int, query: str, vector: list[float] | None = None, k: int = 10, k_vector: int = 20, k_keyword: int = 20, strategy: str = "rrf", where: Column | None = None, weights: dict | None = None, authority: dict | None = None) -> DataFrame:
+    """``retrieve`` for one question on a saved index, with few jobs: the two paths run side by side, then the chunks they found are fetched
+    by their keys.  At most ``k_vector`` and ``k_keyword`` hits and their chunks come to the driver; fusion and reranking then run on one partition
+    without a shuffle.  The filter holds for the vector path."""
+    spark, terms = chunks.sparkSession, text_tokens(query)
+    blocks, stats = index
+    rows = embeddings if where is None else embeddings.join(chunks.drop("text"), "chunk_id").where(where)
+    none = StructType([StructField("query_id", LongType()), StructField("chunk_id", chunks.schema["chunk_id"].dataType)])
+    near_kind = StructType([*none, StructField("similarity", DoubleType()), StructField("rank", IntegerType())])
+    word_kind = StructType([*none, StructField("score", DoubleType()), StructField("rank", IntegerType())])
+
+    def by_vector():
+        return vectors.knn(rows, question(spark, 0, query, vector).drop("query"), k_vector, key="chunk_id", digits=vectors.GUARD, number=1).collect() if vector else []
+
+    def by_words():
+        if not terms:
+            return []
+        idf = {r["term"]: r["idf"] for r in stats.where(F.col("term").isin(sorted(set(terms)))).select("term", "idf").collect()}
+        if not idf:
+            return []
+        weight = F.create_map(*(F.lit(x) for t, v in idf.items() for x in (t, v * terms.count(t))))
+        asked = blocks.where(F.col("term").isin(sorted(idf))).withColumns({"query_id": F.lit(0).cast("long"), "weight": weight[F.col("term")]})
+        best = bm25.summed(asked, "chunk_id", "query_id").where("score > 0").orderBy(F.desc("score"), "chunk_id").limit(k_keyword).collect()
+        return [Row(query_id=0, chunk_id=r["chunk_id"], score=r["score"], rank=i) for i, r in enumerate(best, 1)]
+
+    with ThreadPoolExecutor(2) as pool:
+        near, words = (f.result() for f in [pool.submit(inheritable_thread_target(spark)(f)) for f in (by_vector, by_words)])
+    keys = sorted({r["chunk_id"] for r in [*near, *words]})
+    found = few(spark, chunks.where(F.col("chunk_id").isin(keys)).collect() if keys else [], chunks.schema)
+    fused = fusion.fuse(fusion.merge(few(spark, near, near_kind), few(spark, words, word_kind)), strategy)
+    full = fused.join(found, "chunk_id", "left").withColumn("query", F.lit(query))
+    return fusion.rerank(full, now, overlap(F.col("query"), F.col("text")), weights, authority, k=k)
 
 
 def contexts(hits: DataFrame, budget: int = 3000, most_per_source: int = 2, source: str = "source", least_left: int = 50) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import not_retracted
+from . import buckets
 
 MANIFEST = StructType([StructField(c, StringType()) for c in ("AccessionID", "PMID", "Article File", "LastUpdated", "Retracted")])
 TEXTS = ["chunk_id", "text", "doc_id", "source_title", "chunk_type", "section_title", "section_path", "imrad_type", "split_strategy", "pmc_id", "pmid", "doi", "journal", "article_type", "abstract_source", "source_url"]
@@ -85,25 +86,12 @@ def upsert(index: DataFrame | None, rows: DataFrame, key: str = "chunk_id") -> D
 
 
 def write_index(rows: DataFrame, path: str, key: str = "chunk_id") -> str:
-    """Upserts into the index at ``path`` and returns where its rows are now: each call writes a new version beside the last, which
-    it reads, so a run that fails leaves the index as it was.  ``read_index`` finds the newest whole one."""
-    now = _versions(rows.sparkSession, path)
-    old = rows.sparkSession.read.parquet(f"{path}/v={now[-1]}") if now else None
-    target = f"{path}/v={now[-1] + 1 if now else 0}"
-    upsert(old, rows, key).write.mode("overwrite").parquet(target)
-    return target
+    """Upserts a batch into the index at ``path``, a table of ``buckets``: only the batch is written, and a call that stops half-way leaves the index as it was."""
+    return buckets.upsert(rows, path, key)
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={_versions(spark, path)[-1]}")
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions whose write was committed, oldest first."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(at, "v=*/_SUCCESS")) or []
-    return sorted(int(f.getPath().getParent().getName().removeprefix("v=")) for f in found)
+def read_index(spark: SparkSession, path: str, key: str = "chunk_id") -> DataFrame:
+    return buckets.read(spark, path, key)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
