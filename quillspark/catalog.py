@@ -398,13 +398,16 @@ def body_chunks(spark, d):
     return chunking.body_chunks(body(spark, d), limit=128, size=100, overlap=20)
 
 
-#: What holds of every chunk whichever way its section was cut: its section's words, all of them, in order, and no chunk beyond the limit.
-@query(f"""with recursive {PARAGRAPHS.replace("select doc_id, t, len", "select doc_id, t, pos // 2 as s, len")}, x as (select distinct doc_id, s from k)
-select doc_id, count(*) as n_sections, (select sum(n)::bigint from k where k.doc_id = x.doc_id) as n_words from x group by doc_id""")
+BLANK = "[\\x09-\\x0D\\x20]"
+
+
+@query(f"""with {PARAGRAPHS.replace("select doc_id, t, len", "select doc_id, t, pos // 2 as s, len")}
+select doc_id, count(distinct s) as n_sections, sum(len(regexp_replace(t, '{BLANK}', '', 'g')))::bigint as n_letters from k group by doc_id""")
 def body_chunks_whole(spark, d):
-    """Documents with the sections that their chunks come from and the words that these hold, pieces without overlap."""
+    """Chunks of either kind, without overlap, hold all of a document's sections and every character of its paragraphs but white space."""
     got = chunking.body_chunks(body(spark, d), limit=128, size=100, overlap=0)
-    return got.groupBy("doc_id").agg(F.countDistinct("section_path").alias("n_sections"), F.sum(F.col("token_count") - 2).alias("n_words"))
+    letters = lambda c: F.length(F.regexp_replace(c, BLANK, "")).cast("long")
+    return got.groupBy("doc_id").agg(F.countDistinct("section_path").alias("n_sections"), F.sum(letters("text") - letters("section_title")).alias("n_letters"))
 
 
 @query("select doc_id, substring(coalesce(text, ''), 1, 200) as preview from documents")
@@ -896,6 +899,7 @@ def understood(spark, asks):
 
 ENGLISH = "replace(replace(replace(query, '糖尿病', 'diabetes'), '血压', 'blood pressure'), '糖尿病足', 'diabetic foot')"
 CLEANED = "(select query_id, cleaned as query from c)"
+LATIN = "(select query_id, regexp_replace(cleaned, '[^\\x00-\\x7F]', 'z', 'g') as query from c)"  # a letter of any script is part of a word
 UNDERSTOOD = f"""with c as (select query_id, raw, {CLEAN} as cleaned from (select query_id, query as raw, {ENGLISH} as query from {Q})),
 words as (select query_id, regexp_extract_all(lower(cleaned), '[\\p{{L}}\\p{{N}}_''-]+') as ws from c),
 ab as (select query_id, term, expansions, list_position(ws, term) as place from words, {rows('term, expansions', SHORT)} where list_contains(ws, term)),
@@ -903,7 +907,7 @@ sy as (select query_id, term, min(place) as place, any_value(expansions) as expa
  union all select f.query_id, term, a.expansions, 1 from (select query_id, unnest(expansions) as term from ab) f join {rows('term, expansions', ALIKE)} a using (term)) group by query_id, term),
 la as (select query_id, string_agg(term || '=' || array_to_string(expansions, '|'), ';' order by place, term) as abbreviations, flatten(list(expansions order by place, term)) as x from ab group by query_id),
 ls as (select query_id, string_agg(term || '=' || array_to_string(expansions, '|'), ';' order by place, term) as synonyms, flatten(list(expansions order by place, term)) as x from sy group by query_id),
-en as (select query_id, string_agg(kind || '=' || found, ';' order by kind) as entities from ({SQL['query_entities'].replace(Q, CLEANED)}) group by query_id),
+en as (select query_id, string_agg(kind || '=' || found, ';' order by kind) as entities from ({SQL['query_entities'].replace(Q, LATIN)}) group by query_id),
 ex as (select c.*, coalesce(abbreviations, '') as abbreviations, coalesce(synonyms, '') as synonyms, coalesce(entities, '') as entities, list_concat(coalesce(la.x, []), coalesce(ls.x, [])) as x from c left join la using (query_id) left join ls using (query_id) left join en using (query_id)),
 ey as (select *, list_filter(x, lambda v, i: list_position(x, v) = i) as own from ex), ez as (select *, list_filter(own, lambda v: not contains(lower(cleaned), lower(v))) as more from ey)
 select ez.query_id, cleaned, language, entities, abbreviations, synonyms, array_to_string(own, '|') as expanded_terms, '{understanding.PREFIX}' || raw as vector_query, case when len(more) = 0 then cleaned else cleaned || ' ' || array_to_string(more, ' ') end as keyword_query, lo, hi, section
@@ -935,8 +939,8 @@ def hashed(c: str) -> str:
     return f"select id, sum(case when ('0x' || substr(md5(w), 9, 1))::bigint % 2 = 1 then -1 else 1 end)::double as v, ('0x' || substr(md5(w), 1, 8))::bigint % 128 as i from (select id, unnest(regexp_extract_all({ASCII.format(c)}, '[a-z0-9]+')) as w from x) group by all having v <> 0"
 
 
-SHAPE = """n as (select id, sqrt(sum(v * v)) as norm, count(*) as n from h group by id),
-s as (select x.id, coalesce(n.n, 0) as n_used, round(coalesce((select sum(v * (i + 1)) / any_value(norm) from h where h.id = x.id), 0), 5) as moment, case when n.n is null then 0.0::double else 1.0 end as norm from x left join n on n.id = x.id)"""
+SHAPE = """n as (select id, sqrt(sum(v * v)) as norm, count(*) as n, sum(v * (i + 1)) as m from h group by id),
+s as (select x.id, coalesce(n.n, 0) as n_used, round(coalesce(m / n.norm, 0), 5) as moment, case when n.n is null then 0.0::double else 1.0 end as norm from x left join n on n.id = x.id)"""
 
 
 def shape(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -982,7 +986,7 @@ def embedding_stream(spark, d):
     """Both phases twice: the second time there is nothing new."""
     path, rows = tables.workspace(spark, "embedding"), spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     for _ in range(2):
-        streamed.embed_stream(spark, f"{d}/documents.parquet", rows.schema, f"{path}/staged", f"{path}/one", key="doc_id", kind="double").awaitTermination()
+        streamed.embed_stream(spark, f"{d}/documents.parque[t]", rows.schema, f"{path}/staged", f"{path}/one", key="doc_id", kind="double").awaitTermination()
         staged = spark.read.parquet(f"{path}/staged").drop("batch").schema
         streamed.load_stream(spark, f"{path}/staged", staged, f"{path}/index", f"{path}/two", key="doc_id").awaitTermination()
     return shape(tables.read_index(spark, f"{path}/index", "doc_id"), "doc_id", "embedding")
