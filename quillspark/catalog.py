@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import bm25, chunking, context, embedding, evaluate, filters, fusion, profile, sessions, understanding, vectors
-from .plans import retrieval
+from .operators import bm25, chunking, context, embedding, evaluate, filters, fusion, profile, sessions, sketches, understanding, vectors
+from .plans import generation, retrieval
+from .plans import ingest as plan_ingest
 from .sources import markup, tables, vectorfiles
 from .streaming import embedding as streamed
 from .streaming import ingest
@@ -1004,6 +1005,100 @@ def index_upsert(spark, d):
     return tables.read_index(spark, path, "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
 
 
+# Whole ways: ingest, generation, sketches
+
+INGESTED = f"d as (select doc_id, doc_id % 10 as m, len({wrd('text')}) as n, length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) as chars from documents)"
+
+
+@query(f"""with {INGESTED} select count(*) as n, count(*) filter (where m = 9) as skipped_no_file, count(*) filter (where m = 8) as skipped_no_parse, count(*) filter (where m = 7) as skipped_type, count(*) filter (where m < 7) as n_parsed,
+ count(*) filter (where m < 7 and m <> 5) as n_with_pmid, count(*) filter (where m < 7) as n_a, 0::bigint as n_b, count(*) filter (where m < 7 and chars > 30 and n + 1 <= 512) as n_c, count(*) filter (where m < 7 and n + 1 > 512) as n_split_bodies from d""")
+def ingest_run(spark, d):
+    """Documents as article files, some missing, broken or of a type that is left out, by their manifest to chunks."""
+    docs = table(spark, d, "documents").withColumn("m", F.col("doc_id") % 10).withColumn("pmc_id", F.concat(F.lit("PMC"), F.col("doc_id")))
+    manifest = docs.select("pmc_id", F.when(F.col("m") == 5, "0").when(F.col("doc_id") % 2 == 1, F.concat(F.lit(" 77"), F.col("doc_id"))).alias("pmid_csv"))
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x0B\\x0C]", " "), "[\\x00-\\x08\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]", "?")
+    body_ = F.replace(F.replace(F.replace(plain, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    pmid = F.when((F.col("doc_id") % 2 == 0) & (F.col("m") != 5), F.concat(F.lit('<article-id pub-id-type="pmid">1'), F.col("doc_id"), F.lit("</article-id>"))).otherwise("")
+    head = F.concat(F.lit('<article article-type="'), F.when(F.col("m") == 7, "Letter").otherwise("research-article"), F.lit('"><front><article-meta>'), pmid, F.lit("<abstract>An abstract that is long enough to be kept as it is, whatever follows.</abstract></article-meta></front>"))
+    xml = F.concat(head, F.lit("<body><sec><title>2. Methods</title><p>"), body_, F.when(F.col("m") == 8, "</q>").otherwise("</p></sec></body></article>"))
+    files = docs.where("m <> 9").select(F.col("pmc_id").alias("stem"), F.concat(F.lit("/articles/"), "pmc_id", F.lit(".xml")).alias("path"), xml.alias("content"))
+    return plan_ingest.run(manifest, files, tables.workspace(spark, "ingest")).drop("n_d")
+
+
+STAGED = """p as (select item_id as query_id, item_id % 5 as m, regexp_replace(substring(text, 1, 20), '^\\s+|\\s+$', '', 'g') as p from benchmark)"""
+
+
+@query(f"""with {STAGED} select query_id, case m when 0 then p || ' [来源 1]' when 1 then p || ' [来源 1] Revised ' when 2 then p || ' ' when 3 then null else p || ' [来源 1]' end as answer, case m when 1 then 1 when 2 then 3 else 0 end as attempts, m not in (2, 3) as passes,
+ case when m = 4 then '1,2,3' else '1,2' end as valid_ids, case m when 0 then 'true,true,true,true' when 1 then 'true,true,true,true' when 2 then 'true,true,false,false' when 3 then 'true,false' else 'false,true,true,true' end as stages, case when m = 3 then 'out of reach' end as error from p""")
+def generation_staged(spark, d):
+    """Four stages with a scripted generator: some cite well, some when told, some never, some fail."""
+    block = lambda i: F.struct(F.lit(i).alias("citation_id"), F.concat(F.lit(f"[来源 {i}]\n"), "text").alias("block"))
+    asks = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array(*map(block, (1, 2, 3))).alias("blocks"))
+    out = generation.staged(asks, generation.scripted)
+    return out.select("query_id", "answer", "attempts", "passes", F.array_join("valid_ids", ",").alias("valid_ids"), F.array_join(F.transform("stages", lambda s: s["ok"].cast("string")), ",").alias("stages"), "error")
+
+
+@query("select unnest([0.5, 0.9, 0.95, 0.99]) as share, true as is_within")
+def sketch_percentiles(spark, d):
+    """Quantiles of words from sketches a source, merged; and whether their true ranks, counted exactly, are within the error that is promised."""
+    rows_ = counted(spark, d)
+    found = sketches.quantiles(sketches.merged(sketches.batches(rows_, "source", "n_words", "text")), [0.5, 0.9, 0.95, 0.99])
+    ranks = rows_.select("n_words").crossJoin(F.broadcast(found)).groupBy("share").agg((F.count_if(F.col("n_words") < F.col("value")) / F.count("*")).alias("lo"), (F.count_if(F.col("n_words") <= F.col("value")) / F.count("*")).alias("hi"))  # four rows
+    return ranks.select("share", ((F.col("lo") - sketches.RANK_ERROR <= F.col("share")) & (F.col("share") <= F.col("hi") + sketches.RANK_ERROR)).alias("is_within"))
+
+
+@query("select lang, count(*) as n, count(distinct coalesce(text, '')) as n_exact, true as is_within from documents group by lang")
+def sketch_distinct(spark, d):
+    """Distinct texts by language from sketches a source, merged, beside the exact number."""
+    rows_ = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_words", F.lit(0))
+    kept = rows_.withColumn("batch", F.struct("lang", "source"))
+    sketch = sketches.merged(sketches.batches(kept, "batch", "n_words", "text").withColumn("lang", F.col("batch.lang")), ("lang",))
+    exact = rows_.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_exact"))
+    return sketches.distinct(sketch, ("lang",)).join(exact, "lang").select("lang", "n", "n_exact", (F.abs(F.col("n_distinct") - F.col("n_exact")) <= 1 + F.col("n_exact") * sketches.COUNT_ERROR).alias("is_within"))
+
+
+@query(f"with y as ({SQL['query_time_filter']}) select query_id, case when lo is null or hi is null then null when lo = hi then '{{\"pub_year\": {{\"$eq\": ' || lo || '}}}}' else '{{\"$and\": [{{\"pub_year\": {{\"$gte\": ' || lo || '}}}}, {{\"pub_year\": {{\"$lte\": ' || hi || '}}}}]}}' end as filter from y")
+def query_filter_dictionary(spark, d):
+    found = asked(spark, d).select("query_id", understanding.time_range(F.col("query"), NOW).alias("t"))
+    return found.select("query_id", understanding.time_filter(F.col("t.lo"), F.col("t.hi")).alias("filter"))
+
+
+@query(f"with {HYBRID} select query_id, chunk_id, case when vector_rank is null then 'keyword' when keyword_rank is null then 'vector' else 'vector,keyword' end as sources from m")
+def fusion_sources(spark, d):
+    return _merged(spark, d).select("query_id", "chunk_id", F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"with {COUNTED}, c as (select least(n_words, 9999) as v from t), b as (select unnest(range(4)) as bucket, unnest([0, 128, 512, 1024]) as lo, unnest([128, 512, 1024, 9999]) as hi) select bucket::int as bucket, lo, hi, (select count(*) from c where v > lo and v <= hi) as n from b")
+def token_histogram_closed(spark, d):
+    return profile.histogram_to(counted(spark, d), "n_words", [0, 128, 512, 1024, 9999], most=9999)
+
+
+@query(f"with {COUNTED}, y as (select *, 1940 + doc_id % 100 as pub_year from t) select count(*) as n, count(*) filter (where trim(coalesce(lang, '')) = '') as n_missing_lang, count(*) filter (where trim(coalesce(source, '')) = '') as n_missing_source, count(*) filter (where trim(coalesce(text, '')) = '') as n_no_text, count(*) filter (where pub_year not between 1950 and 2025) as n_bad_year, count(*) filter (where n_words not between 1 and 1024) as n_bad_tokens, count(*) filter (where trim(coalesce(lang, '')) <> '' and trim(coalesce(source, '')) <> '' and trim(coalesce(text, '')) <> '' and pub_year between 1950 and 2025 and n_words between 1 and 1024) as n_sound from y")
+def row_quality(spark, d):
+    return profile.row_quality(counted(spark, d).withColumn("pub_year", 1940 + F.col("doc_id") % 100), ["lang", "source"], "text", "pub_year", "n_words")
+
+
+@query("""with c as (select 'source' as field, source as member, count(*) as n from documents where source is not null group by source union all select 'lang', lang, count(*) from documents where lang is not null group by lang union all select 'year', (2000 + doc_id % 25)::varchar, count(*) from documents group by 2),
+r as (select *, row_number() over (partition by field order by n desc, member) as place from c) select field, member, n, place from r where field <> 'source' or place <= 3""")
+def quality_tops(spark, d):
+    return profile.tops(table(spark, d, "documents").withColumn("year", 2000 + F.col("doc_id") % 25), {"source": 3, "lang": None, "year": None})
+
+
+@query("select doc_id, md5(coalesce(text, '')) as text_md5, rank() over (order by doc_id) as place from documents join labels using (doc_id)")
+def point_lookup(spark, d):
+    """Documents of a list of keys, those that have a label, each with its place in the list."""
+    ids = generation.indexed(table(spark, d, "labels").select("doc_id").join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_semi"), "doc_id")
+    return tables.lookup(table(spark, d, "documents"), ids.withColumn("place", F.col("index") + 1), "doc_id").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "place")
+
+
+NEAR = "case when len(a.w) > 0 and len(b.w) > 0 then len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double else 0 end"
+SQL["context_greedy_dedup"] = f"""with recursive {FINAL}, h as (select query_id, chunk_id, {wset('text')} as w, row_number() over (partition by query_id order by final_score desc, chunk_id) as i from fin where final_rank <= 10),
+nb as (select a.query_id, a.i, list(b.i) as near from h a join h b on a.query_id = b.query_id and b.i < a.i and {NEAR} >= 0.3 group by all),
+g as (select query_id, 0::bigint as i, []::bigint[] as kept from h group by query_id union all
+ select g.query_id, g.i + 1, case when list_has_any(g.kept, coalesce(nb.near, [])) then g.kept else list_append(g.kept, g.i + 1) end from g join h on h.query_id = g.query_id and h.i = g.i + 1 left join nb on nb.query_id = g.query_id and nb.i = g.i + 1)
+select h.query_id, chunk_id from h join (select query_id, unnest(max_by(kept, i)) as i from g group by query_id) k on k.query_id = h.query_id and k.i = h.i"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 

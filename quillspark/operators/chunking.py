@@ -166,7 +166,8 @@ def body_chunks(rows: DataFrame, limit: int = LIMIT, target: int = TARGET, size:
 def article_chunks(articles: DataFrame) -> DataFrame:
     """What becomes of articles: chunks of title and abstract (A, B) and of the body (C, D), with the article's own columns; types that are
     left out have none."""
-    kept = articles.where(kept_type(F.col("article_type"))).withColumn("doc_id", F.coalesce("pmc_id", "path"))
+    kept = articles.where(kept_type(F.col("article_type")))
+    kept = kept if "doc_id" in kept.columns else kept.withColumn("doc_id", F.coalesce("pmc_id", "path"))
     head = strategy_chunks(kept, title="title", text="abstract").withColumns({"section_title": F.lit("Abstract"), "section_path": F.lit("Abstract"), "imrad_type": F.lit("abstract"), "chunk_type": F.lit("abstract")})
     paragraphs_ = kept.select("doc_id", F.explode("paragraphs").alias("p")).select("doc_id", "p.*")
     body = body_chunks(paragraphs_).withColumn("chunk_type", F.lit("body"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import words
+
 RRF_K, VECTOR_SHARE, KEYWORD_SHARE = 60, 0.7, 0.3
 WEIGHTS = {"relevance": 0.6, "recency": 0.25, "authority": 0.15}
 HALF_LIFE = 8
@@ -17,10 +22,15 @@ AUTHORITY = {
 
 
 def merge(vector: DataFrame, keyword: DataFrame, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
-    """Hits of either path: vector has similarity and rank, keyword has score and rank."""
-    v = vector.select(query, key, F.col("similarity").alias("vector_score"), F.col("rank").alias("vector_rank"))
-    k = keyword.select(query, key, F.col("score").alias("keyword_score"), F.col("rank").alias("keyword_rank"))
+    """Hits of either path: vector has similarity and rank, keyword has score and rank; n_sources and sources say which.  Where hits carry a text, ``hit_text`` is
+    the keyword path's, or else the vector path's."""
+    texts = [(side.columns.count("text") > 0, name) for side, name in ((vector, "_vector_text"), (keyword, "_keyword_text"))]
+    v = vector.select(query, key, F.col("similarity").alias("vector_score"), F.col("rank").alias("vector_rank"), *([F.col("text").alias("_vector_text")] if texts[0][0] else []))
+    k = keyword.select(query, key, F.col("score").alias("keyword_score"), F.col("rank").alias("keyword_rank"), *([F.col("text").alias("_keyword_text")] if texts[1][0] else []))
     both = v.join(k, [query, key], "full_outer")
+    have = [name for has, name in reversed(texts) if has]
+    both = both.withColumn("hit_text", F.coalesce(*have)).drop(*have) if have else both
+    both = both.withColumn("sources", F.array_compact(F.array(F.when(F.col("vector_rank").isNotNull(), "vector"), F.when(F.col("keyword_rank").isNotNull(), "keyword"))))
     return both.withColumn("n_sources", F.col("vector_rank").isNotNull().cast("int") + F.col("keyword_rank").isNotNull().cast("int"))
 
 
@@ -59,6 +69,24 @@ def authority(journal: Column, table: dict[str, float] | None = None) -> Column:
     return F.coalesce(F.try_element_at(known, F.lower(F.trim(journal))), F.lit(0.5))
 
 
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def scored(query: Column, text: Column, model: Callable[[], object], most: int = 512, batch: int = 32) -> Column:
+    """Relevance by a model of pairs: the sigmoid of its score.  ``model`` makes an object with ``predict(list of (query, text)) -> scores``, once for each task;
+    it is asked for ``batch`` pairs at a time, and of a text it sees ``most`` words."""
+
+    @F.pandas_udf("double")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        own = model()
+        for q, t in parts:
+            pairs = list(zip(q.fillna("").tolist(), t.fillna("").tolist()))
+            yield pd.Series([float(s) for i in range(0, len(pairs), batch) for s in own.predict(pairs[i : i + batch])], dtype=float)
+
+    return sigmoid(run(query, F.array_join(F.slice(words(text), 1, most), " ")))
+
+
 def rerank(hits: DataFrame, now: int, relevance: Column, weights: dict | None = None, table: dict[str, float] | None = None, query: str = "query_id", k: int | None = None) -> DataFrame:
     """final_score and final_rank from relevance, recency (pub_year) and authority (journal); ties keep the fused order."""
     w = WEIGHTS | (weights or {})

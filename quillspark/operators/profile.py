@@ -30,6 +30,36 @@ def histogram(rows: DataFrame, value: str, bounds: list[int]) -> DataFrame:
     return names.join(counts, "bucket", "left").select("bucket", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def histogram_to(rows: DataFrame, value: str, bounds: list[int], most: int | None = None) -> DataFrame:
+    """Counts for lo < value <= hi, each bucket closed on the right; rows outside of all buckets don't count.  ``most``: greater values count as that one."""
+    capped = F.least(F.col(value), F.lit(most)) if most is not None else F.col(value)
+    edges = list(zip(bounds, bounds[1:]))
+    bucket = F.coalesce(*(F.when((capped > lo) & (capped <= hi), i) for i, (lo, hi) in enumerate(edges)))
+    counts = rows.select(bucket.alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
+    every = F.array(*(F.struct(F.lit(i).alias("bucket"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for i, (lo, hi) in enumerate(edges)))
+    names = rows.sparkSession.range(1).select(F.inline(every))
+    return names.join(counts, "bucket", "left").select("bucket", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def row_quality(rows: DataFrame, required: list[str], text: str, year: str, tokens: str, years: tuple[int, int] = (1950, 2025), most: int = 1024, vector: str | None = None, dimension: int = 768) -> DataFrame:
+    """One row of counts: rows that lack each required field, have no text, a year outside of ``years`` (none is one as well), tokens outside of 1 to ``most`` or a
+    vector of another length; and rows without any such fault."""
+    empty = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    faults = {f"missing_{c}": empty(c) for c in required} | {"no_text": empty(text), "bad_year": ~F.coalesce(F.col(year).between(*years), F.lit(False)), "bad_tokens": ~F.coalesce(F.col(tokens).between(1, most), F.lit(False))}
+    if vector:
+        faults["bad_vector"] = ~F.coalesce(F.size(vector) == dimension, F.lit(False))
+    sound = ~F.greatest(*faults.values())
+    return rows.agg(F.count("*").alias("n"), *(F.count_if(c).alias(f"n_{name}") for name, c in faults.items()), F.count_if(sound).alias("n_sound"))
+
+
+def tops(rows: DataFrame, columns: dict[str, int | None]) -> DataFrame:
+    """field, member, n, place: the commonest values of each column, at most as many as it says (None: all), ties by value; nulls don't count.  All columns are counted in one pass."""
+    cells = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("member"), F.lit(k).cast("int").alias("k")) for c, k in columns.items()))
+    counts = rows.select(F.inline(cells)).where("member is not null").groupBy("field", "member", "k").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "member"))
+    return counts.withColumn("place", place).where("k is null or place <= k").select("field", "member", "n", "place")
+
+
 def distribution(rows: DataFrame, by: str) -> DataFrame:
     n = rows.groupBy(by).agg(F.count("*").alias("n"))
     return n.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))

@@ -66,6 +66,13 @@ def time_range(query: Column, year: int) -> Column:
     )
 
 
+def time_filter(lo: Column, hi: Column, field: str = "pub_year") -> Column:
+    """A time range as a filter dictionary in JSON, as ``filters.compile_filter`` takes it: one year, or from and to; null without a range."""
+    bound = lambda op, v: F.concat(F.lit(f'{{"{field}": {{"{op}": '), v.cast("string"), F.lit("}}"))
+    both = F.concat(F.lit('{"$and": ['), bound("$gte", lo), F.lit(", "), bound("$lte", hi), F.lit("]}"))
+    return F.when(lo == hi, bound("$eq", lo)).otherwise(both)
+
+
 def section_votes(queries: DataFrame, hints: dict[str, str] | None = None, query: str = "query_id", text: str = "query") -> DataFrame:
     """(query, section, votes): the kind of section that most hints in the query speak for, ties to the one listed first."""
     listed = list((hints or HINTS).items())

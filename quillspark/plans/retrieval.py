@@ -22,7 +22,7 @@ def overlap(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, tokens(text))), F.size(q)), F.lit(0.0))
 
 
-def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now: int, k: int = 10, k_vector: int = 20, k_keyword: int = 20, strategy: str = "rrf", where: Column | None = None, filter_keywords: bool = False, weights: dict | None = None, authority: dict | None = None, understood: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now: int, k: int = 10, k_vector: int = 20, k_keyword: int = 20, strategy: str = "rrf", where: Column | None = None, filter_keywords: bool = False, weights: dict | None = None, authority: dict | None = None, understood: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None, scorer: Callable[[Column, Column], Column] = overlap) -> DataFrame:
     """The k best chunks for each query.
 
     chunks: chunk_id, text, journal, pub_year and what ``where`` names; embeddings: chunk_id, embedding; queries: query_id, query,
@@ -31,6 +31,7 @@ def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now:
     without ``where`` each query's own range of pub_year is the filter.  A hit without a chunk row stays, its columns null.
     index: postings and statistics by chunk_id of all chunks, as ``bm25.load`` gives them; without it, or where ``filter_keywords`` asks for those
     of the filtered chunks only, they are built on the way.
+    scorer: relevance of a text for a query, as a Column; ``fusion.scored`` makes one of a model.
     """
     asks, own = queries, understood is not None and where is None
     if understood is not None:
@@ -50,7 +51,7 @@ def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now:
         ranked = bm25.top(scored.select("query_id", "chunk_id", "score"), k_keyword, key="chunk_id", digits=bm25.GUARD)
     fused = fusion.fuse(fusion.merge(near, ranked), strategy)
     full = fused.join(chunks, "chunk_id", "left").join(queries.select("query_id", "query"), "query_id")
-    return fusion.rerank(full, now, overlap(F.col("query"), F.col("text")), weights, authority, k=k)
+    return fusion.rerank(full, now, scorer(F.col("query"), F.col("text")), weights, authority, k=k)
 
 
 def question(spark: SparkSession, query_id: int, query: str, vector: list[float] | None = None) -> DataFrame:
@@ -66,7 +67,7 @@ def few(spark: SparkSession, rows: list, schema: StructType) -> DataFrame:
     return spark.sql("select 1").select(F.inline(F.from_json(F.lit(text), kind)))
 
 
-def ask(chunks: DataFrame, embeddings: DataFrame, index: tuple[DataFrame, DataFrame], now: int, query: str, vector: list[float] | None = None, k: int = 10, k_vector: int = 20, k_keyword: int = 20, strategy: str = "rrf", where: Column | None = None, weights: dict | None = None, authority: dict | None = None) -> DataFrame:
+def ask(chunks: DataFrame, embeddings: DataFrame, index: tuple[DataFrame, DataFrame], now: int, query: str, vector: list[float] | None = None, k: int = 10, k_vector: int = 20, k_keyword: int = 20, strategy: str = "rrf", where: Column | None = None, weights: dict | None = None, authority: dict | None = None, scorer: Callable[[Column, Column], Column] = overlap) -> DataFrame:
     """``retrieve`` for one question on a saved index, with few jobs: the two paths run side by side, then the chunks they found are fetched
     by their keys.  At most ``k_vector`` and ``k_keyword`` hits and their chunks come to the driver; fusion and reranking then run on one partition
     without a shuffle.  The filter holds for the vector path."""
@@ -97,7 +98,7 @@ def ask(chunks: DataFrame, embeddings: DataFrame, index: tuple[DataFrame, DataFr
     found = few(spark, chunks.where(F.col("chunk_id").isin(keys)).collect() if keys else [], chunks.schema)
     fused = fusion.fuse(fusion.merge(few(spark, near, near_kind), few(spark, words, word_kind)), strategy)
     full = fused.join(found, "chunk_id", "left").withColumn("query", F.lit(query))
-    return fusion.rerank(full, now, overlap(F.col("query"), F.col("text")), weights, authority, k=k)
+    return fusion.rerank(full, now, scorer(F.col("query"), F.col("text")), weights, authority, k=k)
 
 
 def contexts(hits: DataFrame, budget: int = 3000, most_per_source: int = 2, source: str = "source", least_left: int = 50) -> DataFrame:

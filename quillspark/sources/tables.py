@@ -106,14 +106,47 @@ def manifest_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def merge_batches(spark: SparkSession, paths: list[str], key: str = "chunk_id") -> DataFrame:
-    """All batches as one table, one row a key: that of the first path that has it."""
-    every = [spark.read.parquet(p).withColumn("_batch", F.lit(i)) for i, p in enumerate(paths)]
+    """All batches as one table, one row a key: that of the first path that has it.  Columns are those of the first path, in its types; what others have besides is
+    left out, what they lack is null."""
+    first = spark.read.parquet(paths[0])
+    every = []
+    for i, p in enumerate(paths):
+        own = spark.read.parquet(p)
+        columns = [(F.col(f"`{f.name}`") if f.name in own.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in first.schema.fields]
+        every.append(own.select(*columns, F.lit(i).alias("_batch")))
     out = every[0]
     for f in every[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+        out = out.unionByName(f)
     return out.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_batch"))).where("_n = 1").drop("_n", "_batch")
 
 
+def sample_chunks(spark: SparkSession, merged: str, batches: list[str], n: int) -> DataFrame:
+    """The first n rows of the merged table, or, where that isn't written yet, of the first batch."""
+    for path in (merged, *batches):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return spark.read.parquet(path).limit(n)
+    raise ValueError("nothing is written yet")
+
+
+def lookup(rows: DataFrame, ids: DataFrame | list, key: str) -> DataFrame:
+    """The rows of some keys with ``place``, the first place of their key in the list (or the column ``place`` of a table of keys); keys without a row are left out."""
+    if isinstance(ids, list):
+        kind = rows.schema[key].dataType.simpleString()
+        ids = rows.sparkSession.createDataFrame(list({k: (k, i) for i, k in reversed(list(enumerate(ids)))}.values()), f"`{key}` {kind}, place int")
+    return rows.join(ids.select(key, "place"), key)
+
+
+def read_vocabulary(spark: SparkSession, path: str, whitelist: list[str] | None = None, most: int = 15) -> DataFrame:
+    """(term, expansions) of fetched JSON lines {"term", "synonyms": [{"name", "source"}]}: terms lower-cased, one row each, the distinct names of the sources
+    that are wanted in the order in which they stand, without the term itself, ``most`` at most."""
+    raw = spark.read.schema("term string, synonyms array<struct<name: string, source: string>>").json(path)
+    names = F.transform(F.filter(F.coalesce("synonyms", F.array().cast(raw.schema["synonyms"].dataType)), lambda s: s["source"].isin(whitelist) if whitelist else F.lit(True)), lambda s: F.trim(s["name"]))
+    own = raw.where("trim(term) <> ''").select(F.lower(F.trim("term")).alias("term"), names.alias("names"))
+    once = own.groupBy("term").agg(F.max_by("names", F.struct(F.size("names"), "names")).alias("names"))
+    return once.select("term", F.slice(F.array_distinct(F.filter("names", lambda x: x.isNotNull() & (x != "") & (F.lower(x) != F.col("term")))), 1, most).alias("expansions"))
+
+
 def write_lines(rows: DataFrame, path: str) -> None:
     """One JSON object a line, nulls kept, numbers that JSON doesn't know (NaN, infinite) as null."""
     plain = {f.name: F.when(F.isnan(f.name) | (F.abs(f.name) == float("inf")), None).otherwise(F.col(f.name)) for f in rows.schema.fields if f.dataType.typeName() in ("double", "float")}
