@@ -416,19 +416,24 @@ def text_preview(spark, d):
     return table(spark, d, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
-@query(f"""with d as (select doc_id, {SECTION} as title from documents), c as (select *, lower(coalesce(nullif(trim(regexp_replace(title, '^\\d+(\\.\\d+)*\\.?\\s+', '')), ''), title)) as t from d)
+FIRST = "string_split(coalesce(text, ''), chr(10))[1]"
+
+
+@query(f"""with d as (select doc_id, {FIRST} as title from documents), c as (select *, lower(coalesce(nullif(trim(regexp_replace(title, '^\\d+(\\.\\d+)*\\.?\\s+', '')), ''), title)) as t from d)
 select doc_id, case {' '.join(f"when {_kind(p)} then '{k}'" for k, p in T.IMRAD.items())} else 'other' end as imrad, {_kind(T.NOISE)} as is_noise from c""")
 def imrad_classify(spark, d):
-    title = chunk_table(spark, d).select(F.col("chunk_id").alias("doc_id"), "section")
-    return title.select("doc_id", T.imrad(F.col("section")).alias("imrad"), T.is_noise(F.col("section")).alias("is_noise"))
+    """Each document by its first line, taken as its title."""
+    title = F.split(F.coalesce("text", F.lit("")), "\n")[0]
+    return table(spark, d, "documents").select("doc_id", T.imrad(title).alias("imrad"), T.is_noise(title).alias("is_noise"))
 
 
-@query("""select doc_id, case doc_id % 4 when 0 then 'https://pubmed.ncbi.nlm.nih.gov/' || (doc_id + 1) || '/' when 1 then 'https://doi.org/10.1/' || doc_id when 2 then 'https://www.ncbi.nlm.nih.gov/pmc/articles/PMC' || doc_id || '/' end as url from documents""")
+@query("""with i as (select doc_id, regexp_extract(coalesce(text, ''), '[0-9]+') as pmid, case when source = 'src0' then '10.1/' || md5(coalesce(text, '')) else '' end as doi, case when lang = 'en' then 'PMC' || doc_id end as pmc from documents)
+select doc_id, case when pmid <> '' and pmid <> '0' then 'https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' when doi <> '' then 'https://doi.org/' || doi when pmc is not null then 'https://www.ncbi.nlm.nih.gov/pmc/articles/' || pmc || '/' end as url from i""")
 def source_url_fallback(spark, d):
-    i = F.col("doc_id")
-    pmid = F.when(i % 4 == 0, (i + 1).cast("string")).when(i % 4 == 1, "0").otherwise(F.lit("x1"))
-    doi, pmc = F.when(i % 4 <= 1, F.concat(F.lit("10.1/"), i.cast("string"))).otherwise(""), F.when(i % 4 == 2, F.concat(F.lit("PMC"), i.cast("string")))
-    return table(spark, d, "documents").select("doc_id", T.source_url(pmid, doi, pmc).alias("url"))
+    """A URL by the first number in the text, or else a DOI, or else a PMC id."""
+    pmid = F.regexp_extract(F.coalesce("text", F.lit("")), "[0-9]+", 0)
+    doi = F.when(F.col("source") == "src0", F.concat(F.lit("10.1/"), F.md5(F.coalesce("text", F.lit(""))))).otherwise("")
+    return table(spark, d, "documents").select("doc_id", T.source_url(pmid, doi, F.when(F.col("lang") == "en", F.concat(F.lit("PMC"), "doc_id"))).alias("url"))
 
 
 NAMES = "AccessionID, PMID, Article_File, LastUpdated, Retracted"
@@ -634,9 +639,14 @@ def citation_strip(spark, d):
     return out.select("doc_id", F.md5(evaluate.strip_citations(F.col("answer"), F.col("invalid_ids"))).alias("stripped_md5"))
 
 
-@query("select doc_id, not (doc_id % 3 = 0) as has_answer, doc_id % 2 = 0 as has_references from documents")
+HEADED = "h as (select doc_id, case when doc_id % 3 <> 0 then '## Answer:' || chr(10) else '' end || coalesce(text, '') || chr(10) || case when doc_id % 2 = 0 then '**References**' else 'no references' end as t from documents)"
+
+
+@query(f"""with {HEADED}, l as (select doc_id, list_transform(string_split(t, chr(10)), lambda x: lower(regexp_replace(regexp_replace(x, '^[#*\\s]+', ''), '[#*\\s:：]+$', ''))) as ls from h)
+select doc_id, list_contains(ls, 'answer') as has_answer, list_contains(ls, 'references') as has_references from l""")
 def format_sections(spark, d):
-    t = F.concat(F.when(F.col("doc_id") % 3 != 0, F.lit("## Answer:\n")).otherwise(F.lit("the answer\n")), F.lit("body\n"), F.when(F.col("doc_id") % 2 == 0, F.lit("**References**")).otherwise(F.lit("no references")))
+    """Whole texts as answers, some with the headings that are asked for around them."""
+    t = F.concat(F.when(F.col("doc_id") % 3 != 0, F.lit("## Answer:\n")).otherwise(""), F.coalesce("text", F.lit("")), F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, F.lit("**References**")).otherwise(F.lit("no references")))
     gone = evaluate.missing_sections(t, ["Answer", "References"])
     return table(spark, d, "documents").select("doc_id", (~F.array_contains(gone, "Answer")).alias("has_answer"), (~F.array_contains(gone, "References")).alias("has_references"))
 
@@ -668,11 +678,17 @@ def key_info(spark, d):
     return claims(spark, d).select("doc_id", F.array_join(F.array_sort(evaluate.key_info(F.col("t"))), ",").alias("facts"))
 
 
-@query("select doc_id, case doc_id % 3 when 0 then 0 when 1 then 2 else 1 end as n_entries, case doc_id % 3 when 0 then 0 else 1 end as n_complete, doc_id % 3 = 2 as passes from documents")
+LISTED = "r as (select doc_id, coalesce(text, '') || chr(10) || case doc_id % 3 when 0 then 'nothing cited' when 1 then '## REFERENCES' || chr(10) || '[1] A title — Cell (2020), PMC1' || chr(10) || '[2] no year' else 'References:' || chr(10) || '[1] A title — Cell (2020), PMC1' end as t from documents)"
+
+
+@query(f"""with {LISTED}, b as (select doc_id, case when instr(lower(t), 'references') > 0 then substring(t, instr(lower(t), 'references') + 10) else '' end as block from r),
+e as (select doc_id, regexp_extract_all(block, '\\[[^\\]]+\\]\\s*[^\\n\\[]+') as es from b), n as (select doc_id, len(es) as n_entries, len(list_filter(es, lambda x: regexp_matches(x, '{evaluate.REFERENCE}'))) as n_complete from e)
+select doc_id, n_entries, n_complete, n_entries > 0 and n_complete = n_entries as passes from n""")
 def references_check(spark, d):
+    """Whole texts as answers, with and without a list of references at their end."""
     i = F.col("doc_id") % 3
     tail = F.when(i == 0, F.lit("nothing cited")).when(i == 1, F.lit("## REFERENCES\n[1] A title — Cell (2020), PMC1\n[2] no year")).otherwise(F.lit("References:\n[1] A title — Cell (2020), PMC1"))
-    return table(spark, d, "documents").select("doc_id", evaluate.references(F.concat(F.lit("An answer.\n"), tail)).alias("r")).select("doc_id", "r.*")
+    return table(spark, d, "documents").select("doc_id", evaluate.references(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), tail)).alias("r")).select("doc_id", "r.*")
 
 
 GRAMS = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
@@ -922,10 +938,19 @@ def query_understand(spark, d):
     return understood(spark, asked(spark, d)).withColumns({"entities": listed(kinds, ","), "abbreviations": listed(F.col("abbreviations"), "|"), "synonyms": listed(F.col("synonyms"), "|"), "expanded_terms": F.array_join("expanded_terms", "|")})
 
 
-@query()
+OWN = "(select item_id as query_id, text as query from benchmark)"
+ASKED_SO = f"q as (select query_id, term, count(*) as times from (select query_id, unnest({tok('keyword_query')}) as term from un) group by all)"
+NEAR_SO = "from (select item_id, v, lo, hi from benchmark join v on vec_id = item_id join un on un.query_id = item_id) a, v b where lo is null or 2000 + b.vec_id % 25 between lo and hi)"
+HYBRID_SO = FINAL.replace(f"q as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({tok('text')}) as term from benchmark) group by all)", ASKED_SO).replace("from (select item_id, v from benchmark join v on vec_id = item_id) a, v b)", NEAR_SO)
+
+
+@query(f"with un as ({UNDERSTOOD.replace(Q, OWN)}), {HYBRID_SO} select query_id, chunk_id, final_score, final_rank from fin where final_rank <= 10")
 def hybrid_understood(spark, d):
     embeddings, asks = _vectors(spark, d).select(F.col("vec_id").alias("chunk_id"), "embedding"), hybrid_queries(spark, d)
-    hits = retrieval.retrieve(chunk_table(spark, d), embeddings, asks, NOW, authority=STANDING, understood=understood(spark, asks))
+    known = tables.written(understood(spark, asks), "understood")  # understood once, read by both paths
+    path = tables.workspace(spark, "bm25")
+    bm25.save(chunk_table(spark, d), path, key="chunk_id")
+    hits = retrieval.retrieve(chunk_table(spark, d), embeddings, asks, NOW, authority=STANDING, understood=known, index=bm25.load(spark, path))
     return hits.select("query_id", "chunk_id", "final_score", "final_rank")
 
 

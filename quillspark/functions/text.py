@@ -26,6 +26,7 @@ NOISE = ["reference", "acknowledge", "conflict", "competing", "funding", "author
 DROPPED_TYPES = ["correction", "retraction", "editorial", "letter", "book-review", "news", "reply", "article-commentary", "discussion", "abstract", "product-review", "meeting-report"]
 # fixed values: spellings of a journal
 JOURNAL_ALIASES = {"PLOS One": "PLoS ONE", "PLOS ONE": "PLoS ONE", "Plos One": "PLoS ONE"}
+# fixed values: what a ranking term is, and a word of any script
 TOKEN = r"[a-zA-Z][a-zA-Z0-9\-]{1,}"
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -124,9 +125,13 @@ def language(query: Column) -> Column:
     return F.when(query.rlike("[\\x{4e00}-\\x{9fff}]"), "zh").otherwise("en")
 
 
+# fixed value: how an answer cites a source
+CITATION = r"\[来源\s*(\d+)\]"
+
+
 def citations(text: Column) -> Column:
     """Numbers of the citations in a text, repeats included; one too long for a long is the greatest long, which no source has."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[来源\s*(\d+)\]"), F.lit(1)), lambda n: F.coalesce(n.try_cast("bigint"), F.lit(2**63 - 1)))
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CITATION), F.lit(1)), lambda n: F.coalesce(n.try_cast("bigint"), F.lit(2**63 - 1)))
 
 
 def cache_key(parts: Column) -> Column:

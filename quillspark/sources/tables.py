@@ -34,6 +34,13 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, for what is read more than once."""
+    path = workspace(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def read_manifest(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     return clean_manifest(spark.read.option("header", True).schema(MANIFEST).option("enforceSchema", True).csv(path), limit)
 
