@@ -881,8 +881,9 @@ f as (select doc_id, term, len(list_filter(expansions, lambda e: contains(t, e))
 select a.doc_id, coalesce(string_agg(term, ',' order by term), '') as found, coalesce(string_agg(term, ',' order by term) filter (where gone), '') as missing, count(*) filter (where gone) = 0 as passes from a left join f on a.doc_id = f.doc_id group by a.doc_id""")
 def abbreviation_check(spark, d):
     more = F.element_at(T.strings(SPELLED), (F.col("doc_id") % 3 + 1).cast("int"))
-    got = table(spark, d, "documents").select("doc_id", evaluate.check_abbreviations(F.concat("text", more), dict(SHORT)).alias("c"))
-    return got.select("doc_id", F.array_join("c.found", ",").alias("found"), F.array_join("c.missing", ",").alias("missing"), "c.passes")
+    spelled = table(spark, d, "documents").select("doc_id", F.concat("text", more).alias("text"))
+    got = evaluate.abbreviation_report(spelled, spark.createDataFrame(SHORT, "term string, expansions array<string>"))
+    return got.select("doc_id", F.array_join("found", ",").alias("found"), F.array_join("missing", ",").alias("missing"), "passes")
 
 
 def facts_sql(c: str) -> str:

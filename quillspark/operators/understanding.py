@@ -51,6 +51,15 @@ def synonyms(queries: DataFrame, vocabulary: DataFrame, query: str = "query_id",
     return found.join(vocabulary.select("term", "expansions"), F.lower("term") == F.col("_found")).select(query, "term", "expansions")
 
 
+def find_entities(queries: DataFrame, vocabulary: DataFrame, query: str = "query_id", text: str = "query") -> DataFrame:
+    """(query, entities): a map from class to the distinct terms of a vocabulary (term, class) in a query, lower-cased and in order; at each place the longest term, and only
+    whole words.  Queries without any are left out."""
+    found = dictionary.longest_matches(queries, vocabulary, query, text).select(query, "term").distinct()
+    named = found.join(vocabulary.select(F.lower("term").alias("term"), F.col("class").alias("kind")).distinct(), "term")
+    lists = named.groupBy(query, "kind").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    return lists.groupBy(query).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "terms")))).alias("entities"))
+
+
 def time_range(query: Column, year: int) -> Column:
     """struct(lo, hi) of the first rule that the query meets, or null.  The current year is a parameter; a number of years beyond a
     long leaves lo null."""

@@ -131,3 +131,17 @@ def test_histogram_and_tops(spark):
     assert [tuple(r) for r in profile.histogram_to(rows, "v", [0, 10, 20, 100], 100).orderBy("bucket").collect()] == [(0, 0, 10, 1), (1, 10, 20, 1), (2, 20, 100, 2)]
     assert sorted(map(tuple, profile.tops(rows, {"k": 1, "v": None}).collect()))[:2] == [("k", "a", 2, 1), ("v", "0", 1, 1)]
     assert understanding.time_filter(F.lit(1), F.lit(1)) is not None
+
+
+def test_abbreviations_and_entities_by_dictionary(spark):
+    short = {"mi": ["Myocardial infarction", "heart attack"], "bp": ["blood pressure"], "or": ["odds ratio"], "x-1": []}
+    vocabulary = spark.createDataFrame(list(short.items()), "term string, expansions array<string>")
+    texts = ["MI and BP: myocardial Infarction", "or", None, "", "X-1 it's BP, blood pressure", "HEART ATTACK", "mi mi"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = rows.select("doc_id", evaluate.check_abbreviations(F.col("text"), {k: v for k, v in short.items() if v}).alias("c")).select("doc_id", "c.*")
+    got = {r["doc_id"]: (r["found"], r["missing"], r["passes"]) for r in evaluate.abbreviation_report(rows, vocabulary.where("size(expansions) > 0")).collect()}
+    assert got == {r["doc_id"]: (r["found"], r["missing"], r["passes"]) for r in one.collect()} and got[0] == (["bp", "mi"], ["bp"], False)
+    assert {r["doc_id"]: r["missing"] for r in evaluate.abbreviation_report(rows, vocabulary).collect()}[4] == ["x-1"]
+    classes = spark.createDataFrame([("heart", "organ"), ("heart failure", "disease"), ("Aspirin", "drug"), ("aspirin", "acid")], "term string, class string")
+    asks = spark.createDataFrame([(1, "Heart failure and aspirin; heart"), (2, "hearts"), (3, None)], "query_id long, query string")
+    assert {r["query_id"]: r["entities"] for r in understanding.find_entities(asks, classes).collect()} == {1: {"acid": ["aspirin"], "disease": ["heart failure"], "drug": ["aspirin"], "organ": ["heart"]}}
