@@ -1125,6 +1125,11 @@ g as (select query_id, 0::bigint as i, []::bigint[] as kept from h group by quer
 select h.query_id, chunk_id from h join (select query_id, unnest(max_by(kept, i)) as i from g group by query_id) k on k.query_id = h.query_id and k.i = h.i"""
 
 
+@query(SQL["context_greedy_dedup"])
+def context_dedup_links(spark, d):
+    return context.drop_near_duplicates_by_links(tables.written(_hits(spark, d).select("query_id", "chunk_id", "final_score", "text"), "hits"), 0.3).select("query_id", "chunk_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 

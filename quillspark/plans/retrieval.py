@@ -98,6 +98,7 @@ def ask(chunks: DataFrame, embeddings: DataFrame, index: tuple[DataFrame, DataFr
     found = few(spark, chunks.where(F.col("chunk_id").isin(keys)).collect() if keys else [], chunks.schema)
     fused = fusion.fuse(fusion.merge(few(spark, near, near_kind), few(spark, words, word_kind)), strategy)
     full = fused.join(found, "chunk_id", "left").withColumn("query", F.lit(query))
+    full = full.select("query_id", *(c for c in full.columns if c != "query_id"))
     return fusion.rerank(full, now, scorer(F.col("query"), F.col("text")), weights, authority, k=k)
 
 

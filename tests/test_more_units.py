@@ -1,11 +1,12 @@
 """Generation in stages, ingest, batches, samples, vocabularies, models of pairs, sketches."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import evaluate, fusion, profile, sketches, understanding
+from quillspark.operators import context, evaluate, fusion, profile, sketches, understanding
 from quillspark.plans import generation, ingest, retrieval
 from quillspark.sources import tables
 
@@ -145,3 +146,20 @@ def test_abbreviations_and_entities_by_dictionary(spark):
     classes = spark.createDataFrame([("heart", "organ"), ("heart failure", "disease"), ("Aspirin", "drug"), ("aspirin", "acid")], "term string, class string")
     asks = spark.createDataFrame([(1, "Heart failure and aspirin; heart"), (2, "hearts"), (3, None)], "query_id long, query string")
     assert {r["query_id"]: r["entities"] for r in understanding.find_entities(asks, classes).collect()} == {1: {"acid": ["aspirin"], "disease": ["heart failure"], "drug": ["aspirin"], "organ": ["heart"]}}
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.85, 1.0])
+def test_near_duplicates_by_links(spark, least):
+    rng = random.Random(int(least * 100))
+    rows = [(q, i, round(rng.random(), 2), " ".join(rng.choices([f"w{j}" for j in range(9)], k=rng.randint(0, 7)))) for q in range(3) for i in range(70)] + [(9, 1, 0.5, None), (9, 2, 0.5, "")]
+    hits = spark.createDataFrame(rows, "query_id long, chunk_id long, final_score double, text string")
+    sets = {(q, i): set((t or "").split()) for q, i, _, t in rows}
+    alike = lambda a, b: round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) if sets[a] and sets[b] else 0
+    got = {(r["query_id"], r["chunk_id"], r["other_id"]): r["similarity"] for r in context.similar_pairs(hits, least).collect()}
+    assert got == {(q, i, j): s for q, i in sets for p, j in sets if p == q and i < j and (s := alike((q, i), (p, j))) >= least}
+    kept: list = []
+    for q, i, _, _ in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
+        if not any(p == q and alike((q, i), (p, j)) >= least for p, j in kept):
+            kept.append((q, i))
+    pick = lambda f: sorted((r["query_id"], r["chunk_id"]) for r in f(hits, least).collect())
+    assert pick(context.drop_near_duplicates_by_links) == pick(context.drop_near_duplicates) == sorted(kept)
