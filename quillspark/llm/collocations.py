@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from .common import cut
 # fixed values: letters that are lower-cased, what ends a piece, and what stands between words
 LOWER, BREAKS, BLANK = {c: c + 32 for c in range(65, 91)}, b".,;:!?\n\x0b\x0c\r", b"\t"
 TABLE = bytes(LOWER.get(c, 10 if c in BREAKS else 32 if c in BLANK else c) for c in range(256))
-SLICE, TOKENS, WORDS = 1 << 20, 4_000_000, 500_000  # bytes cut into words at once; words and distinct words held before counts go on
+SLICE, TOKENS, WORDS = 1 << 20, 2_000_000, 200_000  # bytes cut into words at once; words and distinct words held before counts go on
 SEED = 42
 EXACT, BITS = 2_000_000, 28  # hashes that are broadcast as they are; beyond, a bit map of 2 ** BITS bits
 
@@ -95,6 +96,42 @@ def broadcast_frequent(level: DataFrame, k: int) -> Frequent:
     return Frequent(bitmap=bitmap)
 
 
+def _starts(ids: np.ndarray, words: list[bytes], lang: str, k: int, known: Frequent) -> np.ndarray:
+    """Where a phrase of k words begins, both of whose phrases of k - 1 words are frequent."""
+    seed = xxhash.xxh64_intdigest(lang.encode(), SEED)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    inside = ids > 1
+    if k == 2:
+        fine = known.holds(hashes)[ids] & inside
+    else:  # of each place, whether the k - 1 words from there are a frequent phrase
+        many = max(len(ids) - k + 2, 0)
+        h, fine = hashes[ids[:many]], inside[:many].copy()
+        for i in range(1, k - 1):
+            h = joined(h, hashes[ids[i : i + many]])
+            fine &= inside[i : i + many]
+        fine[fine] = known.holds(h[fine])
+    return np.flatnonzero(fine[:-1] & fine[1:])
+
+
+def _grouped(ids: np.ndarray, start: np.ndarray, k: int, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct phrases at ``start``, as a column of word numbers for each of their k words, and how often each stands there."""
+    if size**k >= 2**63:
+        grams, n = np.unique(np.stack([ids[start + i] for i in range(k)], axis=1), axis=0, return_counts=True)
+        return list(grams.T), n
+    code = ids[start].astype(np.int64)
+    for i in range(1, k):
+        code *= size
+        code += ids[start + i]
+    code.sort()
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    code, n = code[first], np.diff(np.append(first, len(code)))
+    grams = []
+    for _ in range(k):
+        code, own = np.divmod(code, size)
+        grams.append(own)
+    return grams[::-1], n
+
+
 def _count(k: int, frequent):
     """Partial counts of the phrases of k words: lang, phrase, n.  A text goes through in slices, and counts go on whenever TOKENS words are held."""
 
@@ -103,44 +140,28 @@ def _count(k: int, frequent):
         held: dict[str, tuple[Vocabulary, list]] = {}
         tokens = 0
 
-        def counted(lang: str, vocabulary: Vocabulary, arrays: list) -> pa.RecordBatch | None:
-            ids = np.concatenate(arrays)
-            words = vocabulary.words
+        def counted(lang: str, vocabulary: Vocabulary, arrays: list) -> Iterator[pa.RecordBatch]:
+            ids, words = np.concatenate(arrays), vocabulary.words
+            arrays.clear()
             if k == 1:
-                counts = np.bincount(ids, minlength=len(words))
-                counts[:2] = 0
-                at = np.flatnonzero(counts)
-                phrases, n = [words[i] for i in at.tolist()], counts[at]
-            else:
-                seed = xxhash.xxh64_intdigest(lang.encode(), SEED)
-                hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-                inside = ids > 1
-                if k == 2:
-                    fine = (known.holds(hashes))[ids] & inside
-                else:  # of each place, whether the k - 1 words from there are a frequent phrase
-                    many = max(len(ids) - k + 2, 0)
-                    h, fine = hashes[ids[:many]], inside[:many].copy()
-                    for i in range(1, k - 1):
-                        h = joined(h, hashes[ids[i : i + many]])
-                        fine &= inside[i : i + many]
-                    fine[fine] = known.holds(h[fine])
-                start = np.flatnonzero(fine[:-1] & fine[1:])
-                if not len(start):
-                    return None
-                grams = np.stack([ids[start + i] for i in range(k)], axis=1)
-                code = grams[:, 0].astype(np.int64)
-                for i in range(1, k):  # numbers of pairs, so a code stays below 2 ** 63
-                    _, code = np.unique(code, return_inverse=True)
-                    code = code.astype(np.int64) * len(words) + grams[:, i]
-                _, at, n = np.unique(code, return_index=True, return_counts=True)
-                phrases = [b" ".join([words[i] for i in g]) for g in grams[at].tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
+                n = np.bincount(ids, minlength=len(words))
+                n[:2] = 0
+                at = np.flatnonzero(n)
+                yield from rows(lang, words, [at], n[at])
+            elif len(start := _starts(ids, words, lang, k, known)):
+                yield from rows(lang, words, *_grouped(ids, start, k, len(words)))
+
+        def rows(lang: str, words: list[bytes], grams: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            own = pa.array(words, pa.binary())
+            for i in range(0, len(n), 50_000):
+                part = slice(i, i + 50_000)
+                phrases = pc.binary_join_element_wise(*(own.take(pa.array(g[part])) for g in grams), b" ") if k > 1 else own.take(pa.array(grams[0][part]))
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(phrases)), phrases.cast(pa.string()), pa.array(n[part].astype(np.int64))], names=["lang", "phrase", "n"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, (vocabulary, arrays) in held.items():
-                if arrays and (found := counted(lang, vocabulary, arrays)) is not None and found.num_rows:
-                    for i in range(0, found.num_rows, 100_000):
-                        yield found.slice(i, 100_000)
+                if arrays:
+                    yield from counted(lang, vocabulary, arrays)
             held.clear()
 
         for batch in batches:
