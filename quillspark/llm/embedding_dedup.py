@@ -147,11 +147,20 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(at))
 
 
-def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, tables: int = 20, bits: int = 12, seed: int = 7, bucket_rows: int = 4096) -> DataFrame:
+def settings(classes: int, least: float, chance: float = 0.966, bucket: int = 16) -> tuple[int, int]:
+    """Bits and tables for so many distinct vectors: as many bits as leave about ``bucket`` of unrelated ones in a bucket, 12 at the least, and as many tables as
+    then find a pair at cosine ``least`` with ``chance``.  At 0.9 the tables grow with about the 0.22th power of the vectors."""
+    bits = max(12, int(np.ceil(np.log2(max(classes, 1) / bucket))))
+    meet = (1 - np.arccos(least) / np.pi) ** bits
+    return bits, max(1, int(np.ceil(np.log1p(-chance) / np.log1p(-meet) - 0.05)))
+
+
+def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, tables: int | None = None, bits: int | None = None, seed: int = 7, bucket_rows: int = 4096) -> DataFrame:
     """One row a vector: key, n_links, component_id, kept.
 
     Two vectors link if they share a bucket in one of ``tables`` sign hashes of ``bits`` random
-    hyperplanes and their cosine in double precision is ``least`` or more.  With the numbers given, a pair
+    hyperplanes and their cosine in double precision is ``least`` or more.  ``settings`` chooses both by the number of distinct vectors (12 bits and 20 tables up to
+    65,536 of them), so buckets don't grow with the table: a pair
     at cosine 0.9 is found with a chance of 0.966, at 0.95 of 0.9997, at 0.99 of over 0.99999999.
 
     A bucket of more than ``bucket_rows`` rows is cut into blocks by hash, and each pair of blocks is a
@@ -172,6 +181,9 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     named = good.select("id", F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit(1)).alias("h2"), "vec")  # copies: equal in 128 bits of hash
     named = cut(named.groupBy("id", "h1", "h2").agg(F.first("vec").alias("vec")))
     classes = named.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+    if bits is None or tables is None:
+        chosen = settings(named.select("h1", "h2").distinct().count(), least)
+        bits, tables = bits or chosen[0], tables or chosen[1]
     sigs = classes.select("h1", "h2", "vec").mapInArrow(_signatures(tables, bits, seed), "h1 long, h2 long, dim int, buckets array<long>, sig binary")
     placed = sigs.select("h1", "h2", "dim", "sig", F.posexplode("buckets").alias("t", "bucket"))
     hot = cut(placed.groupBy("t", "dim", "bucket").count().where(F.col("count") > bucket_rows).select("t", "dim", "bucket", F.ceil(F.col("count") / bucket_rows).cast("int").alias("blocks")))
