@@ -1130,6 +1130,37 @@ def context_dedup_links(spark, d):
     return context.drop_near_duplicates_by_links(tables.written(_hits(spark, d).select("query_id", "chunk_id", "final_score", "text"), "hits"), 0.3).select("query_id", "chunk_id")
 
 
+@query("select vec_id, round(embedding[1]::double / sqrt(list_dot_product(list_transform(embedding, lambda x: x::double), list_transform(embedding, lambda x: x::double))), 9) as first, round(1 / (1 + exp(-embedding[1]::double)), 9) as squashed from embeddings")
+def embedding_normalized(spark, d):
+    v = F.col("embedding")
+    return _vectors(spark, d).select("vec_id", F.round(vectors.normalized(v)[0], 9).alias("first"), F.round(fusion.sigmoid(v[0].cast("double")), 9).alias("squashed"))
+
+
+@query(f"""with {INGESTED.replace("doc_id % 10 as m", "doc_id % 4 as m, lang, source")} select doc_id, case m when 0 then '2001-03-04' when 1 then (2000 + doc_id % 25) || '-07-01' when 2 then '1999-01-01' end as pub_date, chars::int as body_chars, 2 as n_keywords, lang || ',' || source as keywords, source as journal from d where m <> 3 or doc_id % 8 = 3""")
+def article_profile(spark, d):
+    """Documents as articles with dates of several kinds, some without a year, some without a front, profiled."""
+    docs = table(spark, d, "documents").withColumn("m", F.col("doc_id") % 4)
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x0B\\x0C]", " "), "[\\x00-\\x08\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]", "?")
+    body_ = F.replace(F.replace(F.replace(plain, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    date = F.when(F.col("m") == 0, '<pub-date pub-type="collection"><year>2010</year></pub-date><pub-date pub-type="epub"><year>2001</year><month>3</month><day>4</day></pub-date>')
+    date = date.when(F.col("m") == 1, F.concat(F.lit('<pub-date pub-type="epub"><month>9</month></pub-date><pub-date pub-type="ppub"><year>'), 2000 + F.col("doc_id") % 25, F.lit("</year><month>7</month><day>first</day></pub-date>")))
+    date = date.when(F.col("m") == 2, '<pub-date pub-type="collection"><year>1999</year></pub-date>').otherwise("")
+    words = F.concat(F.lit("<kwd-group><kwd>"), "lang", F.lit("</kwd><kwd> </kwd><kwd>"), "source", F.lit("</kwd></kwd-group><journal-title>"), "source", F.lit("</journal-title>"))
+    front = F.when((F.col("m") != 3) | (F.col("doc_id") % 8 == 3), F.concat(F.lit("<front>"), date, words, F.lit("</front>"))).otherwise("")
+    files = docs.select(F.col("doc_id").alias("path"), F.concat(F.lit("<article>"), front, F.lit("<body>"), body_, F.lit("</body></article>")).alias("content"))
+    found = markup.profile_articles(files.withColumn("path", F.col("path").cast("string")))
+    return found.select(F.col("path").cast("long").alias("doc_id"), "pub_date", "body_chars", F.size("keywords").alias("n_keywords"), F.array_join("keywords", ",").alias("keywords"), "journal")
+
+
+@query(f"""with {FINAL}, l as (select query_id, string_agg('[' || final_rank || '] Document ' || chunk_id || ' — ' || source || ' (' || (2000 + chunk_id % 25) || '), ' || chunk_id, chr(10) order by final_rank) as ls from fin where final_rank <= 3 group by query_id)
+select query_id, 'An answer.' || chr(10) || chr(10) || 'References' || chr(10) || ls || chr(10) || chr(10) || 'No advice.' as answer from l""")
+def answer_references(spark, d):
+    """An answer with its list of sources and a disclaimer, from each question's three best hits."""
+    entry = F.struct(F.col("final_rank").alias("citation_id"), F.concat(F.lit("Document "), "chunk_id").alias("title"), "journal", "pub_year", F.col("chunk_id").cast("string").alias("chunk_id"))
+    lists = _hits(spark, d, 3).groupBy("query_id").agg(F.collect_list(entry).alias("entries"))
+    return lists.select("query_id", evaluate.with_references(F.lit("An answer."), F.col("entries"), "No advice.").alias("answer"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 

@@ -102,6 +102,12 @@ def journal_name(journal: Column) -> Column:
     return out
 
 
+def composed_date(year: Column, month: Column, day: Column) -> Column:
+    """Year-month-day as text; a month or day that is missing or no number is the first, without a year there is none."""
+    number = lambda c: F.coalesce(F.trim(c).try_cast("int"), F.lit(1))
+    return F.when(F.trim(year) != "", F.format_string("%s-%02d-%02d", F.trim(year), number(month), number(day)))
+
+
 def kept_type(kind: Column) -> Column:
     return ~F.lower(F.coalesce(kind, F.lit("other"))).isin(DROPPED_TYPES)
 

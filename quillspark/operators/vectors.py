@@ -23,6 +23,12 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def normalized(v: Column) -> Column:
+    """A vector at length 1, in doubles; a vector of zeros stays."""
+    norm = F.sqrt(dot(v, v))
+    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the vectors of ``dim`` finite components that aren't all zero, and those vectors at length 1, in doubles."""
     full = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False)

@@ -88,6 +88,40 @@ def read_articles(files: DataFrame, content: str = "content", path: str = "path"
     )
 
 
+PROFILED = "pmid string, pmc_id string, doi string, title string, journal string, dates array<struct<year: string, month: string, day: string>>, abstract string, body_chars int, keywords array<string>, article_type string"
+
+
+def profiled(xml: bytes | str) -> tuple | None:
+    """The fields of PROFILED; None if it can't be parsed or has no front."""
+    try:
+        root = ET.fromstring(xml)
+    except (ET.ParseError, ValueError, TypeError):
+        return None
+    if root.find(".//front") is None:
+        return None
+    ids = {i.get("pub-id-type"): (i.text or "").strip() or None for i in root.iter("article-id")}
+    kinds = (root.find(f".//pub-date[@pub-type='{kind}']") for kind in YEAR_ORDER)
+    dates = [{part: d.findtext(part) for part in ("year", "month", "day")} for d in kinds if d is not None]
+    words = [full_text(k) for k in root.iter("kwd")]
+    whole = lambda path: full_text(root.find(path)) or None
+    return (ids.get("pmid"), ids.get("pmc"), ids.get("doi"), whole(".//article-title"), whole(".//journal-title"), dates, whole(".//abstract"), len(full_text(root.find(".//body"))), [w for w in words if w] or None, root.get("article-type"))
+
+
+def profile_articles(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
+    """For a profile of a collection, one row an article, no rules applied: ids, title, journal, pub_date (of the first kind of date that has a year, in YEAR_ORDER), abstract,
+    body_chars, keywords, article_type."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "pmid", "pmc_id", "doi", "title", "journal", "dates", "abstract", "body_chars", "keywords", "article_type"]
+        for frame in frames:
+            found = [(p, *a) for p, x in zip(frame[path], frame[content]) if (a := profiled(x)) is not None]
+            yield pd.DataFrame(found, columns=names)
+
+    rows = files.select(path, content).mapInPandas(run, f"path string, {PROFILED}")
+    first = F.get(F.filter("dates", lambda d: F.trim(d["year"]) != ""), F.lit(0))
+    return rows.withColumn("pub_date", T.composed_date(first["year"], first["month"], first["day"])).drop("dates")
+
+
 def article_paragraphs(articles: DataFrame) -> DataFrame:
     """doc_id (the PMC id, or else the path), pos, text, section_title, section_path of every body paragraph."""
     return articles.select(F.coalesce("pmc_id", "path").alias("doc_id"), F.explode("paragraphs").alias("p")).select("doc_id", "p.*")
