@@ -19,6 +19,7 @@ LOWER, BREAKS, BLANK = {c: c + 32 for c in range(65, 91)}, b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(LOWER.get(c, 10 if c in BREAKS else 32 if c in BLANK else c) for c in range(256))
 SLICE, TOKENS, WORDS = 1 << 20, 2_000_000, 200_000  # bytes cut into words at once; words and distinct words held before counts go on
 SEED = 42
+PARTS = 32  # of a language, ranked by themselves first
 EXACT, BITS = 2_000_000, 28  # hashes that are broadcast as they are; beyond, a bit map of 2 ** BITS bits
 
 
@@ -253,6 +254,8 @@ def collocations(docs: DataFrame, *, lang: str = "lang", text: str = "text", mos
             rows = rows.join(inside, ["lang", "phrase"], "left").where(F.expr(f"theirs is null or 100 * theirs < {share} * a")).drop("theirs")
         kept.append(rows)
     every = reduce(DataFrame.unionByName, kept)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    by = [F.desc("score"), F.desc("a"), "phrase"]
+    parts = every.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))  # so the last ranking gets ``top`` rows a part at most, whatever a language has
+    parts = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*by))).where(F.col("_rank") <= top).drop("_part", "_rank")
+    best = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("rank") <= top)
     return best.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
