@@ -26,7 +26,6 @@ ALIKE = [("heart failure", ["cardiac failure"]), ("stroke", ["cerebrovascular ac
 CHINESE = [("糖尿病", "diabetes"), ("血压", "blood pressure"), ("糖尿病足", "diabetic foot")]
 CLASSES = {"drug": "aspirin|metformin", "disease": "stroke|heart.?failure|diabetes", "biomarker": "HbA1c|LDL|CRP"}
 TITLES = ["1. Introduction", "2.1 Study Design", "Results and findings", "4 Discussion", "References", "Preface", "Funding sources"]
-MANIFEST = [("A1", "11", "a.xml", "2020-01-01 00:00:00", "no"), ("A2", "0", "b.xml", "2020-01-02 00:00:00", "YES"), ("A3", None, "c.xml", "2020-01-03 00:00:00", None), ("A4", "", "", "2020-01-04 00:00:00", "no"), ("A5", "x9", "a.xml", "2020-01-05 00:00:00", "yes"), ("A6", "77", "a.xml", "2020-01-06 00:00:00", "No"), ("A7", "5", "", "2020-01-07 00:00:00", "no")]
 SPEC = {"$and": [{"lang": {"$in": ["en", "fr"]}}, {"n_chars": {"$gte": 500, "$lt": 5000}}, {"source": {"$ne": "src3"}}]}
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -321,15 +320,18 @@ def query_keyword(spark, d):
     return rows_.select("query_id", understanding.keyword_query(understanding.clean(F.col("query")), F.col("x")).alias("keyword_query"))
 
 
-OTHER = [("Stroke", ["CVA", "Cerebrovascular Accident"]), ("copd", ["chronic obstructive pulmonary disease"])]
+BASE_TERMS = "(select source as term, list_sort(list(distinct lang)) as expansions from documents where source is not null group by source)"
+MORE_TERMS = "(select case when source = 'src1' then 'other' else upper(source) end as term, [upper(min(lang)), 'texts ' || count(*)] as expansions from documents where source is not null group by source)"
 
 
-@query(f"""with b as (select lower(term) as term, expansions as b from {rows('term, expansions', ALIKE)}), m as (select lower(term) as term, expansions as m from {rows('term, expansions', OTHER)})
+@query(f"""with b as (select lower(term) as term, expansions as b from {BASE_TERMS}), m as (select lower(term) as term, expansions as m from {MORE_TERMS})
 select coalesce(b.term, m.term) as term, array_to_string(list_concat(coalesce(b, []), list_filter(coalesce(m, []), lambda x: not list_contains(list_transform(coalesce(b, []), lambda y: lower(y)), lower(x)))), '|') as expansions from b full outer join m on b.term = m.term""")
 def vocabulary_merge(spark, d):
-    kind = "term string, expansions array<string>"
-    out = understanding.merge_vocabularies(spark.createDataFrame(ALIKE, kind), spark.createDataFrame(OTHER, kind))
-    return out.select("term", F.array_join("expansions", "|").alias("expansions"))
+    """Two vocabularies out of the documents: sources with their languages, and most of them once more, written differently."""
+    each = table(spark, d, "documents").where("source is not null").groupBy("source")
+    base = each.agg(F.array_sort(F.collect_set("lang")).alias("expansions")).withColumnRenamed("source", "term")
+    more = each.agg(F.array(F.upper(F.min("lang")), F.concat(F.lit("texts "), F.count("*"))).alias("expansions")).withColumn("term", F.when(F.col("source") == "src1", "other").otherwise(F.upper("source"))).drop("source")
+    return understanding.merge_vocabularies(base, more).select("term", F.array_join("expansions", "|").alias("expansions"))
 
 
 # Chunking
@@ -436,22 +438,29 @@ def source_url_fallback(spark, d):
     return table(spark, d, "documents").select("doc_id", T.source_url(pmid, doi, F.when(F.col("lang") == "en", F.concat(F.lit("PMC"), "doc_id"))).alias("url"))
 
 
-NAMES = "AccessionID, PMID, Article_File, LastUpdated, Retracted"
+LISTED_FILES = """(select 'A' || lpad(doc_id::varchar, 12, '0') as AccessionID, case doc_id % 4 when 0 then doc_id::varchar when 1 then '0' when 2 then null else 'x9' end as PMID, case when doc_id % 5 = 0 then '' else lang || '/' || doc_id % 97 || '.xml' end as Article_File,
+ '2020-01-01 00:00:00' as LastUpdated, case doc_id % 3 when 0 then 'no' when 1 then 'YES' end as Retracted from documents)"""
 
 
-def manifest(spark):
-    return spark.createDataFrame(MANIFEST, tables.MANIFEST)
+def manifest(spark, d):
+    """A manifest with a row for each document, as it would be read from its file."""
+    i = F.col("doc_id")
+    pmid = F.when(i % 4 == 0, i.cast("string")).when(i % 4 == 1, "0").when(i % 4 == 3, "x9")
+    file = F.when(i % 5 == 0, "").otherwise(F.concat("lang", F.lit("/"), (i % 97).cast("string"), F.lit(".xml")))
+    flag = F.when(i % 3 == 0, "no").when(i % 3 == 1, "YES")
+    return table(spark, d, "documents").select(F.concat(F.lit("A"), F.lpad(i.cast("string"), 12, "0")).alias("AccessionID"), pmid.alias("PMID"), file.alias("Article File"), F.lit("2020-01-01 00:00:00").alias("LastUpdated"), flag.alias("Retracted"))
 
 
-@query(f"select AccessionID as pmc_id, PMID as pmid_csv, Article_File as article_file, LastUpdated as last_updated, Retracted as retracted from {rows(NAMES, MANIFEST)} where lower(Retracted) is distinct from 'yes'")
+@query(f"select AccessionID as pmc_id, PMID as pmid_csv, Article_File as article_file, LastUpdated as last_updated, Retracted as retracted from {LISTED_FILES} where lower(Retracted) is distinct from 'yes'")
 def manifest_clean(spark, d):
-    return tables.clean_manifest(manifest(spark))
+    return tables.clean_manifest(manifest(spark, d))
 
 
-@query(f"select AccessionID, Article_File as article_file from (select *, row_number() over (partition by Article_File order by AccessionID) as n from {rows(NAMES, MANIFEST)}) where n = 1 or Article_File = ''")
+@query(f"select AccessionID, Article_File as article_file from (select *, row_number() over (partition by Article_File order by AccessionID) as n from {LISTED_FILES}) where n = 1 or Article_File = ''")
 def manifest_union_dedup(spark, d):
-    own = manifest(spark).select("AccessionID", F.col("`Article File`").alias("article_file"))
-    return tables.union_distinct([own.where("AccessionID < 'A4'"), own.where("AccessionID >= 'A4'")], "article_file", "AccessionID")
+    own = manifest(spark, d).select("AccessionID", F.col("`Article File`").alias("article_file"))
+    half = F.xxhash64("AccessionID") % 2 == 0
+    return tables.union_distinct([own.where(half), own.where(~half)], "article_file", "AccessionID")
 
 
 @query("select lang, count(*) as n from documents where doc_id not in (select doc_id from labels) group by lang")
@@ -716,9 +725,12 @@ def rouge_l(spark, d):
     return _pairs(spark, d).select("item_id", evaluate.rouge_l(F.col("a"), F.col("r")).alias("f1"))
 
 
-@query()
+@query("""select event_id, case event_id % 4 when 0 then props when 1 then '{"list": [' || props || ']}' when 2 then '{"o": ' || props || ', "z": "a, }"}' else '{"o": ' || props || '}' end as fixed from events""")
 def json_repair(spark, d):
-    raw = F.concat(F.lit("Here: ```json\n"), F.col("props"), F.lit(",\n```"))
+    """Every event's properties as a model might give them: fenced, with a comma too many, brackets that are missing, keys out of order."""
+    i, own = F.col("event_id") % 4, F.col("props")
+    raw = F.when(i == 0, F.concat(F.lit("```json\n"), own, F.lit(",\n```"))).when(i == 1, F.concat(F.lit('Here: {"list": ['), own, F.lit("}")))
+    raw = raw.when(i == 2, F.concat(F.lit('so {"z": "a, }", "o": '), own, F.lit(",} done"))).otherwise(F.concat(F.lit('{"o": '), own))
     return table(spark, d, "events").select("event_id", evaluate.repair_json(raw).alias("fixed"))
 
 
