@@ -22,7 +22,7 @@ def overlap(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, tokens(text))), F.size(q)), F.lit(0.0))
 
 
-def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now: int, k: int = 10, k_vector: int = 20, k_keyword: int = 20, strategy: str = "rrf", where: Column | None = None, filter_keywords: bool = False, weights: dict | None = None, authority: dict | None = None, understood: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None, scorer: Callable[[Column, Column], Column] = overlap) -> DataFrame:
+def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now: int, k: int = 10, k_vector: int = 20, k_keyword: int = 20, strategy: str = "rrf", where: Column | None = None, filter_keywords: bool = False, weights: dict | None = None, authority: dict | None = None, understood: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None, scorer: Callable[[Column, Column], Column] = overlap, lead: int | None = None) -> DataFrame:
     """The k best chunks for each query.
 
     chunks: chunk_id, text, journal, pub_year and what ``where`` names; embeddings: chunk_id, embedding; queries: query_id, query,
@@ -31,6 +31,8 @@ def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now:
     without ``where`` each query's own range of pub_year is the filter.  A hit without a chunk row stays, its columns null.
     index: postings and statistics by chunk_id of all chunks, as ``bm25.load`` gives them; without it, or where ``filter_keywords`` asks for those
     of the filtered chunks only, they are built on the way.
+    lead: with an index, how many windows ``bm25.rank_top`` scores before it leaves out those that can't hold any of the best.  That pays for large indexes and short
+    questions; without it every posting of the questions' terms is scored, in one pass.
     scorer: relevance of a text for a query, as a Column; ``fusion.scored`` makes one of a model.
     """
     asks, own = queries, understood is not None and where is None
@@ -42,8 +44,8 @@ def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now:
     near = vectors.knn(rows, asks.where("query_vector is not null").select("query_id", "query_vector", *range_), k_vector, where, key="chunk_id", within=within, digits=vectors.GUARD)
     text = chunks.where(where) if filter_keywords and where is not None else chunks
     ready = index is not None and text is chunks
-    if ready and not (own and filter_keywords):
-        ranked = bm25.rank_top(*index, asks, k_keyword, key="chunk_id", digits=bm25.GUARD)
+    if lead and ready and not (own and filter_keywords):
+        ranked = bm25.rank_top(*index, asks, k_keyword, lead, key="chunk_id", digits=bm25.GUARD)
     else:
         scored = bm25.rank(*index, asks, key="chunk_id") if ready else bm25.scores(text, asks, key="chunk_id")
         if own and filter_keywords:
