@@ -17,7 +17,7 @@ from .common import cut
 # fixed values: letters that are lower-cased, what ends a piece, and what stands between words
 LOWER, BREAKS, BLANK = {c: c + 32 for c in range(65, 91)}, b".,;:!?\n\x0b\x0c\r", b"\t"
 TABLE = bytes(LOWER.get(c, 10 if c in BREAKS else 32 if c in BLANK else c) for c in range(256))
-SLICE, TOKENS, WORDS = 1 << 20, 2_000_000, 200_000  # bytes cut into words at once; words and distinct words held before counts go on
+SLICE, TOKENS, WORDS = 1 << 20, 1_200_000, 150_000  # bytes cut into words at once; words and distinct words held before counts go on
 SEED = 42
 PARTS = 32  # of a language, ranked by themselves first
 EXACT, BITS = 2_000_000, 28  # hashes that are broadcast as they are; beyond, a bit map of 2 ** BITS bits
