@@ -30,8 +30,20 @@ def merge(vector: DataFrame, keyword: DataFrame, query: str = "query_id", key: s
     both = v.join(k, [query, key], "full_outer")
     have = [name for has, name in reversed(texts) if has]
     both = both.withColumn("hit_text", F.coalesce(*have)).drop(*have) if have else both
-    both = both.withColumn("sources", F.array_compact(F.array(F.when(F.col("vector_rank").isNotNull(), "vector"), F.when(F.col("keyword_rank").isNotNull(), "keyword"))))
-    return both.withColumn("n_sources", F.col("vector_rank").isNotNull().cast("int") + F.col("keyword_rank").isNotNull().cast("int"))
+    return both.withColumns(paths())
+
+
+def paths() -> dict[str, Column]:
+    """Which paths found a merged hit, and how many."""
+    by_vector, by_keyword = F.col("vector_rank").isNotNull(), F.col("keyword_rank").isNotNull()
+    return {"sources": F.array_compact(F.array(F.when(by_vector, "vector"), F.when(by_keyword, "keyword"))), "n_sources": by_vector.cast("int") + by_keyword.cast("int")}
+
+
+def steps(df: DataFrame, each: list[dict[str, Column]]) -> DataFrame:
+    """``df`` with the columns of one step after the other.  Columns can be made once and serve many tables."""
+    for columns in each:
+        df = df.withColumns(columns)
+    return df
 
 
 def fuse(merged: DataFrame, strategy: str, query: str = "query_id", key: str = "chunk_id", k: int | None = None) -> DataFrame:
@@ -40,6 +52,12 @@ def fuse(merged: DataFrame, strategy: str, query: str = "query_id", key: str = "
     simple: the number of paths, then both scores.  rrf: sums of 1 / (60 + rank).  weighted: 0.7 x similarity + 0.3 x
     keyword score, scaled to 0..1 over the query's hits; without a range it is 0.  Ranks look at GUARD digits, the result has 6.
     """
+    ranked = steps(merged, fusing(strategy, query, key))
+    return ranked.where(F.col("fused_rank") <= k) if k else ranked
+
+
+def fusing(strategy: str, query: str = "query_id", key: str = "chunk_id") -> list[dict[str, Column]]:
+    """The steps of ``fuse``."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     place = F.coalesce(F.col("vector_rank"), F.lit(1_000_000) + F.col("keyword_rank"))
     if strategy == "simple":
@@ -53,9 +71,8 @@ def fuse(merged: DataFrame, strategy: str, query: str = "query_id", key: str = "
         score, order = VECTOR_SHARE * zero("vector_score") + KEYWORD_SHARE * scaled, [F.desc("fused_score")]
     else:
         raise ValueError(f"unknown strategy {strategy}")
-    ranked = merged.withColumn("fused_score", F.round(score, GUARD)).withColumn("fused_rank", F.row_number().over(Window.partitionBy(query).orderBy(*order, place, key)))
-    ranked = ranked.withColumn("fused_score", F.round("fused_score", 6))
-    return ranked.where(F.col("fused_rank") <= k) if k else ranked
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(*order, place, key))
+    return [{"fused_score": F.round(score, GUARD)}, {"fused_rank": rank}, {"fused_score": F.round("fused_score", 6)}]
 
 
 def recency(year: Column, now: int) -> Column:
@@ -89,9 +106,15 @@ def scored(query: Column, text: Column, model: Callable[[], object], most: int =
 
 def rerank(hits: DataFrame, now: int, relevance: Column, weights: dict | None = None, table: dict[str, float] | None = None, query: str = "query_id", k: int | None = None) -> DataFrame:
     """final_score and final_rank from relevance, recency (pub_year) and authority (journal); ties keep the fused order."""
+    out = steps(hits, reranking(now, relevance, weights, table, query))
+    return out.where(F.col("final_rank") <= k) if k else out
+
+
+def reranking(now: int, relevance: Column, weights: dict | None = None, table: dict[str, float] | None = None, query: str = "query_id") -> list[dict[str, Column]]:
+    """The steps of ``rerank``."""
     w = WEIGHTS | (weights or {})
     parts = {"relevance": relevance, "recency": recency(F.col("pub_year"), now), "authority": authority(F.col("journal"), table)}
     final = sum((w[name] * c for name, c in parts.items()), F.lit(0.0))
-    out = hits.withColumns({f"{name}_score": F.round(c, 6) for name, c in parts.items()} | {"final_score": F.round(final, GUARD)})
-    out = out.withColumn("final_rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("final_score"), "fused_rank"))).withColumn("final_score", F.round("final_score", 6))
-    return out.where(F.col("final_rank") <= k) if k else out
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("final_score"), "fused_rank"))
+    scores = {f"{name}_score": F.round(c, 6) for name, c in parts.items()}
+    return [scores | {"final_score": F.round(final, GUARD)}, {"final_rank": rank}, {"final_score": F.round("final_score", 6)}]

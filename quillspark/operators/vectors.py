@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 GUARD = 12  # digits that ranks look at
 BLOCK_BYTES = 32 << 20  # questions' vectors that a task holds at once
@@ -94,7 +95,12 @@ def _best(asks: pa.Table, k: int, ranges: bool):
     return run
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, pool: int | None = None, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", asked: str = "query_vector", within: tuple[str, str, str] | None = None, digits: int = 6, number: int | None = None) -> DataFrame:
+def asking(asked: list[list[float] | None], query: str = "query_id", vector: str = "query_vector") -> pa.Table:
+    """A few questions that the caller holds, numbered from 0, as ``knn`` takes them."""
+    return pa.table({query: pa.array(range(len(asked)), pa.int64()), vector: pa.array(asked, pa.list_(pa.float64()))})
+
+
+def knn(vectors: DataFrame, queries: DataFrame | pa.Table, k: int, where: Column | None = None, pool: int | None = None, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", asked: str = "query_vector", within: tuple[str, str, str] | None = None, digits: int = 6, number: int | None = None) -> DataFrame:
     """The k nearest rows for each query by cosine, ranks from 1: query, key, similarity, rank.
 
     ``where`` filters before ranking, so nothing is lost.  With ``pool`` the ``pool`` nearest are taken first and
@@ -105,23 +111,28 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = N
     meets it in a matrix product.  What leaves a task are rows among the k best of its batch and no worse than the k-th of those before; per partition
     and then per query Spark merges them.  Ranks come from cosines of GUARD digits, so that equal vectors tie, to the smaller key; the result has
     ``digits``.  Vectors that are null, zero, of another length or hold null or non-finite components take no part, on either side.  ``number``: how many
-    queries there are, where that is known and few, which spares counting them.
+    queries there are, where that is known and few, which spares counting them.  A few queries may also come as an Arrow table (``asking``), which
+    spares the job that fetches them.
     """
     rows = vectors if pool or where is None else vectors.where(where)
     passed = F.coalesce(where, F.lit(False)) if pool and where is not None else F.lit(True)
     value = [F.col(within[0]).cast("long").alias("value")] if within else []
     rows = rows.select(F.col(key).alias("key"), F.col(vector).alias("v"), passed.alias("pass"), *value)
     ranges = [F.col(within[1]).cast("long").alias("lo"), F.col(within[2]).cast("long").alias("hi")] if within else []
-    asks = queries.select(F.col(query).alias("q"), F.col(asked).alias("v"), *ranges)
-    kinds = [d.schema[c].dataType.simpleString() for d, c in ((asks, "q"), (rows, "key"))]
-    width = 1
-    if number is None:
-        number, width = asks.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    blocks = max(1, -(-number * max(width, 1) * 8 // BLOCK_BYTES))
+    key_kind = rows.schema["key"].dataType.simpleString()
+    if isinstance(queries, pa.Table):
+        blocks, number, asks = 1, queries.num_rows, queries.select([query, asked, *(within or ())[1:]]).rename_columns(["q", "v", "lo", "hi"][: 4 if within else 2])
+        query_kind = from_arrow_type(asks.schema.field("q").type).simpleString()
+    else:
+        asks, width = queries.select(F.col(query).alias("q"), F.col(asked).alias("v"), *ranges), 1
+        query_kind = asks.schema["q"].dataType.simpleString()
+        if number is None:
+            number, width = asks.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+        blocks = max(1, -(-number * max(width, 1) * 8 // BLOCK_BYTES))
     found = None
     for b in range(blocks):
-        held = (asks.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else asks).toArrow()  # BLOCK_BYTES, about
-        part = rows.mapInArrow(_best(held, pool or k, bool(within)), f"q {kinds[0]}, key {kinds[1]}, similarity double, pass boolean")
+        held = asks if isinstance(asks, pa.Table) else (asks.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else asks).toArrow()  # BLOCK_BYTES, about
+        part = rows.mapInArrow(_best(held, pool or k, bool(within)), f"q {query_kind}, key {key_kind}, similarity double, pass boolean")
         found = part if found is None else found.unionByName(part)
     if number == 1 and not pool:  # one question needs no shuffle: each task's best are merged where the result is read
         found = found.orderBy(F.desc("similarity"), "key").limit(k)

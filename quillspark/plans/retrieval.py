@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.text import text_tokens, tokens
 from ..operators import bm25, context, fusion, vectors
@@ -69,39 +69,59 @@ def few(spark: SparkSession, rows: list, schema: StructType) -> DataFrame:
     return spark.sql("select 1").select(F.inline(F.from_json(F.lit(text), kind)))
 
 
-def ask(chunks: DataFrame, embeddings: DataFrame, index: tuple[DataFrame, DataFrame], now: int, query: str, vector: list[float] | None = None, k: int = 10, k_vector: int = 20, k_keyword: int = 20, strategy: str = "rrf", where: Column | None = None, weights: dict | None = None, authority: dict | None = None, scorer: Callable[[Column, Column], Column] = overlap) -> DataFrame:
-    """``retrieve`` for one question on a saved index, with few jobs: the two paths run side by side, then the chunks they found are fetched
-    by their keys.  At most ``k_vector`` and ``k_keyword`` hits and their chunks come to the driver; fusion and reranking then run on one partition
-    without a shuffle.  The filter holds for the vector path."""
-    spark, terms = chunks.sparkSession, text_tokens(query)
-    blocks, stats = index
-    rows = embeddings if where is None else embeddings.join(chunks.drop("text"), "chunk_id").where(where)
-    none = StructType([StructField("query_id", LongType()), StructField("chunk_id", chunks.schema["chunk_id"].dataType)])
-    near_kind = StructType([*none, StructField("similarity", DoubleType()), StructField("rank", IntegerType())])
-    word_kind = StructType([*none, StructField("score", DoubleType()), StructField("rank", IntegerType())])
+class Asking:
+    """``retrieve`` for single questions on a saved index, with few jobs.  What doesn't depend on the question is made once.
 
-    def by_vector():
-        return vectors.knn(rows, question(spark, 0, query, vector).drop("query"), k_vector, key="chunk_id", digits=vectors.GUARD, number=1).collect() if vector else []
+    The two paths run side by side, then the chunks they found are fetched by their keys.  At most ``k_vector`` and ``k_keyword`` hits and their
+    chunks come to the driver; fusion and reranking then run on one partition without a shuffle.  The filter holds for the vector path.
+    """
 
-    def by_words():
-        if not terms:
-            return []
-        idf = {r["term"]: r["idf"] for r in stats.where(F.col("term").isin(sorted(set(terms)))).select("term", "idf").collect()}
+    def __init__(self, chunks: DataFrame, embeddings: DataFrame, index: tuple[DataFrame, DataFrame], now: int, k: int = 10, k_vector: int = 20, k_keyword: int = 20, strategy: str = "rrf", where: Column | None = None, weights: dict | None = None, authority: dict | None = None, scorer: Callable[[Column, Column], Column] = overlap):
+        self.spark, self.chunks, self.k_vector, self.k_keyword = chunks.sparkSession, chunks, k_vector, k_keyword
+        rows = embeddings if where is None else embeddings.join(chunks.drop("text"), "chunk_id").where(where)
+        self.rows = rows.select("chunk_id", "embedding")
+        self.blocks, self.terms = index[0], index[1].select("term", "idf")
+        own = chunks.schema
+        kinds = [("query_id", LongType()), ("chunk_id", own["chunk_id"].dataType), ("vector_score", DoubleType()), ("vector_rank", IntegerType()), ("keyword_score", DoubleType()), ("keyword_rank", IntegerType()), ("query", StringType()), ("chunk", own)]
+        self.kind = StructType([StructField(*x) for x in kinds])
+        self.fusing = [fusion.paths(), *fusion.fusing(strategy)]
+        columns = [*(n for n, _ in kinds[:6]), *fusion.paths(), "fused_score", "fused_rank"]
+        self.columns = [*map(F.col, columns), *(F.col(f"chunk.`{c}`") for c in own.names if c != "chunk_id"), F.col("query")]
+        self.reranking = fusion.reranking(now, scorer(F.col("query"), F.col("text")), weights, authority)
+        self.best, self.positive = F.col("final_rank") <= k, F.col("score") > 0
+        self.order, self.query_id = [F.desc("score"), F.col("chunk_id")], F.lit(0).cast("long")
+        self.pool = ThreadPoolExecutor(2)
+
+    def by_vector(self, vector: list[float] | None) -> list[Row]:
+        return vectors.knn(self.rows, vectors.asking([vector]), self.k_vector, key="chunk_id", digits=vectors.GUARD).collect() if vector else []
+
+    def by_words(self, terms: list[str]) -> list[Row]:
+        """The best chunks by the question's terms: chunk_id, score, best first."""
+        idf = {r["term"]: r["idf"] for r in self.terms.where(bm25.among(terms)).collect()} if terms else {}
         if not idf:
             return []
-        weight = F.create_map(*(F.lit(x) for t, v in idf.items() for x in (t, v * terms.count(t))))
-        asked = blocks.where(F.col("term").isin(sorted(idf))).withColumns({"query_id": F.lit(0).cast("long"), "weight": weight[F.col("term")]})
-        best = bm25.summed(asked, "chunk_id", "query_id").where("score > 0").orderBy(F.desc("score"), "chunk_id").limit(k_keyword).collect()
-        return [Row(query_id=0, chunk_id=r["chunk_id"], score=r["score"], rank=i) for i, r in enumerate(best, 1)]
-
-    with ThreadPoolExecutor(2) as pool:
-        near, words = (f.result() for f in [pool.submit(inheritable_thread_target(spark)(f)) for f in (by_vector, by_words)])
-    keys = sorted({r["chunk_id"] for r in [*near, *words]})
-    found = few(spark, chunks.where(F.col("chunk_id").isin(keys)).collect() if keys else [], chunks.schema)
-    fused = fusion.fuse(fusion.merge(few(spark, near, near_kind), few(spark, words, word_kind)), strategy)
-    full = fused.join(found, "chunk_id", "left").withColumn("query", F.lit(query))
-    full = full.select("query_id", *(c for c in full.columns if c != "query_id"))
-    return fusion.rerank(full, now, scorer(F.col("query"), F.col("text")), weights, authority, k=k)
+        weight = F.from_json(F.lit(json.dumps({t: v * terms.count(t) for t, v in idf.items()})), "map<string, double>")
+        asked = self.blocks.where(bm25.among(list(idf))).withColumns({"query_id": self.query_id, "weight": weight[F.col("term")]})
+        return bm25.summed(asked, "chunk_id", "query_id").where(self.positive).orderBy(*self.order).limit(self.k_keyword).collect()
+
+    def __call__(self, query: str, vector: list[float] | None = None) -> DataFrame:
+        """The k best chunks for one question, as ``retrieve`` gives them for query_id 0."""
+        tasks = [(self.by_vector, vector), (self.by_words, text_tokens(query))]
+        near, words = (f.result() for f in [self.pool.submit(inheritable_thread_target(self.spark)(run), x) for run, x in tasks])
+        hits: dict = {}
+        for r in near:
+            hits[r["chunk_id"]] = {"vector_score": r["similarity"], "vector_rank": r["rank"]}
+        for i, r in enumerate(words, 1):
+            hits.setdefault(r["chunk_id"], {}).update(keyword_score=r["score"], keyword_rank=i)
+        found = {r["chunk_id"]: r for r in self.chunks.where(F.col("chunk_id").isin(sorted(hits))).collect()} if hits else {}
+        rows = [Row(query_id=0, chunk_id=c, query=query, chunk=found.get(c), **hit) for c, hit in hits.items()]
+        fused = fusion.steps(few(self.spark, rows, self.kind), self.fusing).select(*self.columns)
+        return fusion.steps(fused, self.reranking).where(self.best)
+
+
+def ask(chunks: DataFrame, embeddings: DataFrame, index: tuple[DataFrame, DataFrame], now: int, query: str, vector: list[float] | None = None, **how) -> DataFrame:
+    """One question by ``Asking``, which those who ask more often should keep."""
+    return Asking(chunks, embeddings, index, now, **how)(query, vector)
 
 
 def contexts(hits: DataFrame, budget: int = 3000, most_per_source: int = 2, source: str = "source", least_left: int = 50) -> DataFrame:

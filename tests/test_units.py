@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import bm25, chunking, context, evaluate, filters, fusion, profile, sessions
+from quillspark.operators import bm25, chunking, context, evaluate, filters, fusion, profile, sessions, vectors
 from quillspark.plans import retrieval, service
 from quillspark.sources import markup, tables
 from quillspark.streaming import ingest
@@ -367,3 +367,36 @@ def test_ask_one_question(spark, tmp_path):
         want = retrieval.retrieve(chunks, embeddings, own, 2026).orderBy("final_rank").collect()
         assert retrieval.ask(chunks, embeddings, index, 2026, text, vector).orderBy("final_rank").collect() == want
         assert bool(want) == (text != "unknown")
+
+
+def test_asking_more_than_once(spark, tmp_path):
+    """One prepared object serves all strategies' questions; a hit whose chunk is gone stays, with nulls."""
+    chunks = spark.createDataFrame([(i, f"alpha word{i} beta", "nature" if i % 2 else None, 2000 + i, "it's", i) for i in range(8)], "chunk_id long, text string, journal string, pub_year int, section string, `a.b` int")
+    embeddings = spark.createDataFrame([(i, [1.0, float(i % 5)]) for i in range(9)], "chunk_id long, embedding array<float>")
+    bm25.save(chunks, f"{tmp_path}/index", key="chunk_id")
+    index = bm25.load(spark, f"{tmp_path}/index")
+    for strategy in ("simple", "rrf", "weighted"):
+        desk = retrieval.Asking(chunks, embeddings, index, 2026, strategy=strategy, k_vector=4)
+        for text, vector in (("word3 alpha word3", [1.0, 3.0]), ("beta", [0.0, 1.0])):
+            want = retrieval.retrieve(chunks, embeddings, retrieval.question(spark, 0, text, vector), 2026, strategy=strategy, k_vector=4).orderBy("final_rank").collect()
+            got = desk(text, vector).orderBy("final_rank").collect()
+            assert got == want and [list(r.asDict()) for r in got] == [list(r.asDict()) for r in want]
+    lone = retrieval.Asking(chunks, embeddings.where("chunk_id = 8"), index, 2026)("", [1.0, 3.0]).collect()
+    assert [(r["chunk_id"], r["text"], r["sources"]) for r in lone] == [(8, None, ["vector"])]
+    filtered = retrieval.Asking(chunks, embeddings, index, 2026, where=F.col("pub_year") >= 2006)("", [1.0, 1.0]).collect()
+    assert sorted(r["chunk_id"] for r in filtered) == [6, 7]
+
+
+def test_few_questions_as_arrow(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0, -float(i % 3)]) for i in range(40)] + [(40, None), (41, [0.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    asked = [[1.0, 0.5, 0.0], None, [0.0, 0.0, 0.0], [-1.0, 2.0, 1.0]]
+    table = spark.createDataFrame(list(enumerate(asked)), "query_id long, query_vector array<double>")
+    for where in (None, F.col("vec_id") % 2 == 0):
+        want = sorted(map(tuple, vectors.knn(rows, table, 3, where).collect()))
+        assert len(want) == 6 and sorted(map(tuple, vectors.knn(rows, vectors.asking(asked), 3, where).collect())) == want
+        assert sorted(map(tuple, vectors.knn(rows, vectors.asking(asked[:1]), 3, where).collect())) == [r for r in want if r[0] == 0]
+
+
+def test_terms_as_a_filter(spark):
+    table = spark.createDataFrame([("it's",), ("a-b",), ("ü\\",), ("other",)], "term string")
+    assert {r[0] for r in table.where(bm25.among(["it's", "ü\\", "a-b", "a-b"])).collect()} == {"it's", "ü\\", "a-b"} and table.where(bm25.among([])).count() == 0
