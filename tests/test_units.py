@@ -400,3 +400,17 @@ def test_few_questions_as_arrow(spark):
 def test_terms_as_a_filter(spark):
     table = spark.createDataFrame([("it's",), ("a-b",), ("ü\\",), ("other",)], "term string")
     assert {r[0] for r in table.where(bm25.among(["it's", "ü\\", "a-b", "a-b"])).collect()} == {"it's", "ü\\", "a-b"} and table.where(bm25.among([])).count() == 0
+
+
+def test_both_ways_to_gather_scores(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * j) % 11}" for j in range(i % 9)) or None) for i in range(300)], "doc_id long, text string")
+    asks = spark.createDataFrame([(1, "word3 word4 word3"), (2, "word1 nothing"), (3, None), (None, "word5")], "query_id long, query string")
+    bm25.save(docs, f"{tmp_path}/index", window=16)
+    blocks, stats = bm25.load(spark, f"{tmp_path}/index")
+    want = sorted(map(repr, bm25.scores(docs, asks).collect()))
+    weighed = bm25.weights(stats, asks)
+    few, many = (bm25.gathered(blocks, weighed, "doc_id", "query_id", held) for held in (100, 1))
+    assert want and sorted(map(repr, few.collect())) == sorted(map(repr, many.collect())) == want
+    plan = few._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Exchange hashpartitioning(window" in plan and "Exchange" not in plan.split("Generate")[0]  # what is summed isn't shuffled
+    assert bm25.gathered(blocks, weighed.limit(0), "doc_id", "query_id").count() == bm25.gathered(blocks.limit(0), weighed, "doc_id", "query_id").count() == 0
