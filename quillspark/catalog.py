@@ -126,7 +126,7 @@ fin as (select * exclude (fs), round(fs, 6) as final_score, row_number() over (p
 @query(f"with {BM25} select query_id, chunk_id as doc_id, round(score, 6) as score, rank from kw where rank <= 10")
 def bm25_topk(spark, d):
     asks = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return bm25.top(bm25.scores(table(spark, d, "documents"), asks), 10)
+    return bm25.best(table(spark, d, "documents"), asks, 10)
 
 
 @query(f"with {BM25} select query_id, chunk_id as doc_id, round(score, 6) as score, rank from kw where rank <= 10")
@@ -134,7 +134,7 @@ def bm25_saved_topk(spark, d):
     path = tables.workspace(spark, "bm25")
     bm25.save(table(spark, d, "documents"), path)
     asks = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return bm25.rank_top(*bm25.load(spark, path), asks, 10)
+    return bm25.best_saved(*bm25.load(spark, path), asks, 10)
 
 
 @query(f"with {POSTINGS} select term, df, round(idf, 6) as idf from st")
@@ -178,7 +178,7 @@ def _merged(spark, d):
     queries = hybrid_queries(spark, d)
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     near = vectors.knn(_vectors(spark, d).withColumnRenamed("vec_id", "chunk_id"), queries.where("query_vector is not null").select("query_id", "query_vector"), 20, key="chunk_id", digits=vectors.GUARD)
-    return fusion.merge(near, bm25.top(bm25.scores(chunks, queries, key="chunk_id"), 20, key="chunk_id", digits=bm25.GUARD))
+    return fusion.merge(near, bm25.best(chunks, queries, 20, key="chunk_id", digits=bm25.GUARD))
 
 
 FUSED = ["query_id", "chunk_id", "n_sources", "fused_score", "fused_rank"]
@@ -873,7 +873,8 @@ select kw.query_id, chunk_id, len(list_filter(keywords, lambda k: contains(lower
 def keyword_sanity(spark, d):
     asks = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     docs = table(spark, d, "documents")
-    top = bm25.top(bm25.scores(docs, asks), 3).join(docs.select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    hits = tables.written(bm25.best(docs, asks, 3), "hits")
+    top = hits.join(tables.fetched(docs.select("doc_id", "text"), hits, "doc_id", bm25.HELD), "doc_id").withColumnRenamed("doc_id", "chunk_id")
     wanted = asks.select("query_id", F.slice(F.array_sort(F.array_distinct(T.tokens(F.col("query")))), 1, 4).alias("keywords"))
     return evaluate.keyword_sanity(top, wanted).select("query_id", "chunk_id", "n_held", "passes")
 

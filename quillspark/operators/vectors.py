@@ -43,6 +43,29 @@ def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at, x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def exact(q: np.ndarray, x: np.ndarray, ask: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Cosines of pairs with GUARD digits, each summed by itself: in a matrix product the last bits depend on where a row stands, so copies needn't tie."""
+    step = max(1, SLAB // q.shape[1])
+    parts = [(q[ask[i : i + step]] * x[row[i : i + step]]).sum(axis=1) for i in range(0, len(ask), step)]
+    return np.round(np.concatenate(parts), GUARD) if parts else np.zeros(0)
+
+
+def nearest(values: np.ndarray, k: int, floor: np.ndarray, settled=None, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of ``values`` (questions by candidates, in order of their keys; -inf: no candidate) the k greatest that aren't below ``floor``, which is raised to the k-th:
+    question, candidate, value.  ``settled`` gives the final values of pairs, where ``values`` may be off by half of ``slack``."""
+    n = values.shape[1]
+    kth = np.partition(values, n - k, axis=1)[:, -k] if n > k else values.min(axis=1)
+    fine = np.isfinite(kth)
+    ask, row = np.nonzero(values >= (np.maximum(floor, np.where(fine, kth, -1e9)) - slack)[:, None])
+    value = settled(ask, row) if settled else values[ask, row]
+    by = np.lexsort((row, -value, ask))
+    ask, row, value = ask[by], row[by], value[by]
+    some = np.arange(len(ask)) - np.searchsorted(ask, ask) < k  # those left are the latest of equal ones
+    if n >= k:
+        np.maximum(floor, np.where(fine, kth, -np.inf), out=floor)
+    return ask[some], row[some], value[some]
+
+
 def _best(asks: pa.Table, k: int, ranges: bool):
     """For each batch of rows the questions' k nearest of the batch that aren't below the k-th best of earlier batches: question, key, similarity, pass."""
     dims = pc.list_value_length(asks.column("v").combine_chunks())
@@ -69,25 +92,12 @@ def _best(asks: pa.Table, k: int, ranges: bool):
                 step = max(1, SLAB // len(at))
                 for begin in range(0, len(q), step):
                     end = min(begin + step, len(q))
-                    near = np.round(q[begin:end] @ x.T, GUARD)
+                    near = q[begin:end] @ x.T
                     if spans:
                         lo, hi = (s[begin:end, None] for s in spans)
                         open_ = (lo == -(2**62)) | ((value >= lo) & (value <= hi))
                         near = np.where(open_, near, -np.inf)
-                    if near.shape[1] > k:
-                        kth = np.partition(near, near.shape[1] - k, axis=1)[:, -k]
-                    else:
-                        kth = near.min(axis=1)
-                    least = np.maximum(floor[begin:end], np.where(np.isfinite(kth), kth, -1e9))
-                    ask, row = np.nonzero(near >= least[:, None])
-                    value_ = near[ask, row]
-                    by = np.lexsort((row, -value_, ask))
-                    ask, row, value_ = ask[by], row[by], value_[by]
-                    first = np.searchsorted(ask, ask)  # of each question at most k go on; those left are the latest of equal ones
-                    some = np.arange(len(ask)) - first < k
-                    ask, row, value_ = ask[some], row[some], value_[some]
-                    if near.shape[1] >= k:
-                        floor[begin:end] = np.maximum(floor[begin:end], np.where(np.isfinite(kth), kth, -np.inf))
+                    ask, row, value_ = nearest(near, k, floor[begin:end], lambda i, j, b=begin, q=q, x=x: exact(q, x, i + b, j), 10.0**-GUARD * 4)
                     if len(ask):
                         rows = pa.array(at[row])
                         yield pa.RecordBatch.from_arrays([names.take(pa.array(ask + begin)), keys.take(rows), pa.array(value_), passes.take(rows)], names=["q", "key", "similarity", "pass"])

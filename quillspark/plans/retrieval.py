@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 
 from ..functions.text import text_tokens, tokens
 from ..operators import bm25, context, fusion, vectors
+from ..sources import tables
 
 
 def overlap(query: Column, text: Column) -> Column:
@@ -32,7 +33,7 @@ def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now:
     index: postings and statistics by chunk_id of all chunks, as ``bm25.load`` gives them; without it, or where ``filter_keywords`` asks for those
     of the filtered chunks only, they are built on the way.
     lead: with an index, how many windows ``bm25.rank_top`` scores before it leaves out those that can't hold any of the best.  That pays for large indexes and short
-    questions; without it every posting of the questions' terms is scored, in one pass.
+    questions; without it every posting of the questions' terms is scored, in one pass over the windows.
     scorer: relevance of a text for a query, as a Column; ``fusion.scored`` makes one of a model.
     """
     asks, own = queries, understood is not None and where is None
@@ -46,13 +47,16 @@ def retrieve(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, now:
     ready = index is not None and text is chunks
     if lead and ready and not (own and filter_keywords):
         ranked = bm25.rank_top(*index, asks, k_keyword, lead, key="chunk_id", digits=bm25.GUARD)
-    else:
+    elif own and filter_keywords:
         scored = bm25.rank(*index, asks, key="chunk_id") if ready else bm25.scores(text, asks, key="chunk_id")
-        if own and filter_keywords:
-            scored = scored.join(chunks.select("chunk_id", "pub_year"), "chunk_id").join(asks.select("query_id", "lo", "hi"), "query_id").where(F.col("lo").isNull() | F.col("pub_year").between(F.col("lo"), F.col("hi")))
+        scored = scored.join(chunks.select("chunk_id", "pub_year"), "chunk_id").join(asks.select("query_id", "lo", "hi"), "query_id").where(F.col("lo").isNull() | F.col("pub_year").between(F.col("lo"), F.col("hi")))
         ranked = bm25.top(scored.select("query_id", "chunk_id", "score"), k_keyword, key="chunk_id", digits=bm25.GUARD)
-    fused = fusion.fuse(fusion.merge(near, ranked), strategy)
-    full = fused.join(chunks, "chunk_id", "left").join(queries.select("query_id", "query"), "query_id")
+    elif ready:
+        ranked = bm25.best_saved(*index, asks, k_keyword, key="chunk_id", digits=bm25.GUARD)
+    else:
+        ranked = bm25.best(text, asks, k_keyword, key="chunk_id", digits=bm25.GUARD)
+    fused = tables.written(fusion.fuse(fusion.merge(near, ranked), strategy), "fused")  # however often the result is read, the search runs once
+    full = fused.join(tables.fetched(chunks, fused, "chunk_id", bm25.HELD), "chunk_id", "left").join(queries.select("query_id", "query"), "query_id")
     return fusion.rerank(full, now, scorer(F.col("query"), F.col("text")), weights, authority, k=k)
 
 

@@ -41,6 +41,12 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def fetched(rows: DataFrame, hits: DataFrame, key: str, held: int) -> DataFrame:
+    """The ``rows`` whose key some hit has.  Up to ``held`` hits are counted and sent to where the rows lie, so that rows that nobody hit aren't shuffled; with more
+    of them all rows are left to the join that follows."""
+    return rows.join(F.broadcast(hits.select(key).distinct()), key, "left_semi") if hits.count() <= held else rows
+
+
 def read_manifest(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     return clean_manifest(spark.read.option("header", True).schema(MANIFEST).option("enforceSchema", True).csv(path), limit)
 
