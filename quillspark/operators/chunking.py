@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from ..functions.text import imrad, kept_type, words
 
 LIMIT, SIZE, OVERLAP, TARGET = 512, 400, 80, 300
 SEPARATORS = ["\n\n", "\n", ". ", " "]
+ROWS, CHARS = 1024, 1 << 22  # what a task turns into Python objects at once, and what it gathers before it passes it on
 
 
 def windows(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,8 +66,7 @@ def merge_paragraphs(rows: DataFrame, target: int = TARGET, group=("doc_id",), p
 
         for batch in batches:
             kinds = kinds or [*batch.schema.types[:n], pa.int32(), pa.string(), pa.int64()]
-            columns = [c.to_pylist() for c in batch.columns]
-            for *own_, t, k in zip(*columns):
+            for *own_, t, k in (row for i in range(0, batch.num_rows, ROWS) for row in zip(*(c.to_pylist() for c in batch.slice(i, ROWS).columns))):
                 if own_ != now or held + k > target:
                     if now is not None:
                         put(*now, index, "\n\n".join(texts), held)
@@ -76,7 +75,7 @@ def merge_paragraphs(rows: DataFrame, target: int = TARGET, group=("doc_id",), p
                     texts, held = [], 0
                 texts += [t] if t is not None else []
                 held += k
-                if len(out[0]) >= 10_000 or size >= 1 << 24:
+                if len(out[0]) >= 10 * ROWS or size >= CHARS:
                     yield flush()
                     size = 0
         if now is not None:
@@ -112,19 +111,43 @@ def split_recursively(text: str, size: int = SIZE, overlap: int = OVERLAP, separ
     return [p for p in [*out, "".join(held).strip()] if p]
 
 
+def _pieces(last: int, size: int, overlap: int, names: list[str]):
+    """Pieces of the texts in column ``last``, each with the columns before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, places, pieces, chars = [], [], [], 0
+            for i, t in enumerate(batch.column(last)):
+                own = split_recursively(t.as_py() or "", size, overlap)
+                at += [i] * len(own)
+                places += range(len(own))
+                pieces += own
+                chars += sum(map(len, own))
+                if chars >= CHARS or i == batch.num_rows - 1:
+                    took = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(took) for c in range(last)), pa.array(places, pa.int32()), pa.array(pieces, pa.string())], names=names)
+                    at, places, pieces, chars = [], [], [], 0
+
+    return run
+
+
+def split_texts(rows: DataFrame, text: str, size: int, overlap: int, index: str, piece: str) -> DataFrame:
+    """``rows`` with a row for each piece of ``split_recursively`` in place of their text: index from 0, piece.
+
+    Texts are taken from a batch one by one, and pieces go on by CHARS characters, so a task holds one Arrow batch, one text and little more, however many rows there are."""
+    others = [c for c in rows.columns if c != text]
+    schema = StructType([*(rows.schema[c] for c in others), StructField(index, IntegerType()), StructField(piece, StringType())])
+    return rows.select(*others, text).mapInArrow(_pieces(len(others), size, overlap, schema.names), schema)
+
+
 def strategy_chunks(docs: DataFrame, limit: int = LIMIT, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", title: str = "title", text: str = "text") -> DataFrame:
     """Title and text as one chunk if they fit (A_no_split), else pieces of the text with the title before each (B_sliding_window):
     key, chunk_id, chunk_index, total_chunks, text, token_count, split_strategy."""
 
-    @F.pandas_udf("array<string>")
-    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield series.map(lambda t: split_recursively(t or "", size, overlap))
-
     whole = F.concat_ws("\n\n", F.col(title), F.col(text))
     fits = docs.select(key, title, text, whole.alias("whole"), F.size(words(whole)).alias("n"))
     small = fits.where(F.col("n") <= limit).select(key, F.lit(0).alias("chunk_index"), F.col("whole").alias("text"), F.lit("A_no_split").alias("split_strategy"))
-    large = fits.where(F.col("n") > limit).select(key, title, F.posexplode(pieces(F.col(text))).alias("chunk_index", "piece"))
+    large = split_texts(fits.where(F.col("n") > limit).select(key, title, text), text, size, overlap, "chunk_index", "piece")
     large = large.select(key, "chunk_index", F.concat_ws("\n\n", F.col(title), "piece").alias("text"), F.lit("B_sliding_window").alias("split_strategy"))
     out = small.unionByName(large).withColumn("token_count", F.size(words(F.col("text"))))
     out = out.withColumn("total_chunks", F.count("*").over(Window.partitionBy(key)))
@@ -141,11 +164,6 @@ def body_chunks(rows: DataFrame, limit: int = LIMIT, target: int = TARGET, size:
     (D_body_recursive).  The kind of section is that of the top title of the path.
     """
 
-    @F.pandas_udf("array<string>")
-    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield series.map(lambda t: split_recursively(t or "", size, overlap))
-
     own = rows.select(key, "pos", "text", *(F.coalesce(c, F.lit("")).alias(c) for c in ("section_title", "section_path")))
     parts = islands(own.withColumn("token_count", F.size(words(F.col("text")))), "section_path", key)
     merged = merge_paragraphs(parts, target, (key, "island", "section_title", "section_path")).withColumnRenamed("chunk_index", "part")
@@ -154,7 +172,7 @@ def body_chunks(rows: DataFrame, limit: int = LIMIT, target: int = TARGET, size:
     fits = F.size(words(F.col("whole"))) <= limit
     names = [key, "island", "part", "section_title", "section_path"]
     short = merged.where(fits).select(*names, F.lit(0).alias("piece"), F.col("whole").alias("text"), F.lit("C_body_merged").alias("split_strategy"))
-    long = merged.where(~fits).select(*names, "prefix", F.posexplode(pieces(F.col("text"))).alias("piece", "own"))
+    long = split_texts(merged.where(~fits).select(*names, "prefix", "text"), "text", size, overlap, "piece", "own")
     long = long.select(*names, "piece", F.concat("prefix", "own").alias("text"), F.lit("D_body_recursive").alias("split_strategy"))
     order = Window.partitionBy(key).orderBy("island", "part", "piece")
     out = short.unionByName(long).withColumn("chunk_index", F.row_number().over(order) - 1).withColumn("total_chunks", F.count("*").over(Window.partitionBy(key)))
