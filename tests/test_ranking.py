@@ -6,6 +6,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from quillspark.operators import bm25, vectors
+from quillspark.plans import retrieval
 
 
 def test_best_is_the_top_of_all_scores(spark, tmp_path, monkeypatch):
@@ -78,3 +79,19 @@ def test_counts_that_are_added_up_stay_bounded():
         whole = pa.Table.from_batches(out + list(met.rest())).group_by("term").aggregate([("df", "sum"), ("total", "sum")])
         want = pa.Table.from_batches(batches).group_by("term").aggregate([("df", "sum"), ("total", "sum")])
         assert sorted(map(str, whole.to_pylist())) == sorted(map(str, want.to_pylist()))
+
+
+def test_what_is_ranked_does_not_grow_with_the_documents(spark, monkeypatch):
+    top, passed = bm25.top, []
+
+    def counted(scored, *how, **more):
+        passed.append(scored.count())
+        return top(scored, *how, **more)
+
+    monkeypatch.setattr(bm25, "top", counted)
+    asks = spark.createDataFrame([(q, f"everywhere w{q}", [1.0, float(q)]) for q in range(5)], "query_id long, query string, query_vector array<double>")
+    for n in (200, 1600):
+        chunks = spark.range(n).selectExpr("id as chunk_id", "concat('everywhere w', id % 7, ' own', id) as text", "'a' as journal", "2000 as pub_year").coalesce(1)
+        vectors_ = spark.range(50).selectExpr("id as chunk_id", "array(1d, cast(id as double)) as embedding")
+        assert retrieval.retrieve(chunks, vectors_, asks, 2026).count() == 50
+    assert passed == [100, 100]  # the 20 best of each question, where every document holds a term of all
